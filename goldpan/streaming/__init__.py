@@ -1,0 +1 @@
+"""No streaming operators: every exploration statement is a one-shot batch query."""

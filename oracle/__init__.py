@@ -1,0 +1 @@
+"""DuckDB SQL that computes every statement a second, independent way."""
