@@ -2,7 +2,7 @@
 
 Averages, shares and rates are rounded half away from zero on integers, never on
 doubles, so a value lying exactly on a half cent rounds the same way whatever the
-partitioning of the data or the engine that checks it.
+partitioning of the data or the engine that checks it. Operands are SQL expressions.
 """
 
 from __future__ import annotations
@@ -15,32 +15,30 @@ from pyspark.sql import functions as F
 WIDE = "decimal(38,0)"
 
 
-def half_up(num: Column, den: Column, digits: int, integer: str = WIDE) -> Column:
+def half_up(num: str, den: str, digits: int, integer: str = WIDE) -> Column:
     """``num / den`` of two whole numbers at ``digits`` decimals; NULL when ``den`` is 0.
 
     ``integer`` is the type the arithmetic runs in. The wide default suits totals of
     any size; ``bigint`` is the fast choice for one row's own values.
     """
-    n = F.abs(num.cast(integer))
-    d = F.nullif(F.abs(den.cast(integer)), F.lit(0).cast(integer))
-    two = F.lit(2).cast(integer)
-    shift = F.lit(10**digits).cast(integer)
-    size = F.call_function("div", two * shift * n + d, two * d)
-    negative = (num < 0) != (den < 0)
-    signed = F.when(negative, -size).otherwise(size).cast("decimal(20,0)")
-    return (signed * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(20,{digits})")
+    n = f"abs(cast({num} as {integer}))"
+    d = f"nullif(abs(cast({den} as {integer})), 0)"
+    size = f"(({2 * 10**digits} * {n} + {d}) div (2 * {d}))"
+    sign = f"(case when (({num}) < 0) = (({den}) < 0) then 1 else -1 end)"
+    unit = f"{Decimal(1).scaleb(-digits)}BD"
+    return F.expr(f"cast(cast({sign} * {size} as decimal(20,0)) * {unit} as decimal(20,{digits}))")
 
 
-def cents(money: Column) -> Column:
+def cents(money: str) -> str:
     """A number with at most two decimals, as a whole number of hundredths."""
-    return (money * F.lit(100)).cast(WIDE)
+    return f"cast(({money}) * 100 as {WIDE})"
 
 
-def mean(total: Column, count: Column, digits: int = 2) -> Column:
+def mean(total: str, count: str, digits: int = 2) -> Column:
     """Average from a sum (at most two decimals) and a row count."""
-    return half_up(cents(total), count * F.lit(100), digits)
+    return half_up(cents(total), f"({count}) * 100", digits)
 
 
-def percent(part: Column, whole: Column, digits: int = 2) -> Column:
+def percent(part: str, whole: str, digits: int = 2) -> Column:
     """``part`` as a percentage of ``whole``, both with at most two decimals."""
-    return half_up(cents(part) * F.lit(100), cents(whole), digits)
+    return half_up(f"{cents(part)} * 100", cents(whole), digits)

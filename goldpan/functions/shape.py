@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_WHOLE = (T.ByteType, T.ShortType, T.IntegerType)
-_FRACTIONAL = (T.DecimalType, T.FloatType)
+_WHOLE = ("tinyint", "smallint", "int")
 
 
 def result_types(df: DataFrame) -> DataFrame:
     """Widen the final columns: whole numbers to bigint, fractional ones to double."""
 
-    def widen(field: T.StructField):
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, _WHOLE):
-            return column.cast("bigint").alias(field.name)
-        if isinstance(field.dataType, _FRACTIONAL):
-            return column.cast("double").alias(field.name)
-        return column
+    def widen(name: str, kind: str) -> str:
+        if kind in _WHOLE:
+            return f"cast(`{name}` as bigint) as `{name}`"
+        if kind == "float" or kind.startswith("decimal"):
+            return f"cast(`{name}` as double) as `{name}`"
+        return f"`{name}`"
 
-    return df.select(*[widen(field) for field in df.schema.fields])
+    return df.selectExpr(*[widen(name, kind) for name, kind in df.dtypes])

@@ -2,92 +2,69 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from goldpan.plans.star import Entry
 
-Measure = Callable[[str], Column]
-
-
-def null_count(column: str) -> Column:
-    return F.count(F.lit(1)) - F.count(F.col(column))
-
-
-def distinct_count(column: str) -> Column:
-    """Distinct values, NULL not counted."""
-    return F.countDistinct(F.col(column))
-
-
-def approximate_distinct_count(column: str) -> Column:
-    """Distinct values within 5 %: fixed-size state whatever the cardinality."""
-    return F.approx_count_distinct(F.col(column))
+# Measures of a column, as SQL over {c}.
+NULL_COUNT = "count(*) - count({c})"
+DISTINCT_COUNT = "count(distinct {c})"
+APPROXIMATE_DISTINCT_COUNT = "approx_count_distinct({c})"
 
 
 def column_audit(
-    df: DataFrame, columns: Sequence[str], measure: Measure, label: str, value: str
+    df: DataFrame, columns: Sequence[str], measure: str, label: str, value: str
 ) -> DataFrame:
     """``measure`` of every column as rows ``(label, value)``.
 
     All columns are aggregated together and the single result row is turned into
     rows, where one query per column would scan the table once per column.
     """
-    wide = df.agg(*[measure(c).alias(f"m{i}") for i, c in enumerate(columns)])
-    pairs = [
-        F.struct(F.lit(c).alias(label), F.col(f"m{i}").alias(value)) for i, c in enumerate(columns)
-    ]
-    return wide.select(F.inline(F.array(*pairs)))
+    wide = [f"{measure.format(c=f'`{c}`')} as m{i}" for i, c in enumerate(columns)]
+    rows = [f"struct('{c}' as {label}, m{i} as {value})" for i, c in enumerate(columns)]
+    return df.selectExpr(*wide).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def column_dictionary(df: DataFrame, layer: str, name: str) -> DataFrame:
     """Declared position, type and nullability with measured longest text and NULL count."""
-    fields = df.schema.fields
-    measures = []
-    for i, field in enumerate(fields):
-        longest = F.lit(None).cast("bigint")
-        if isinstance(field.dataType, T.StringType):
-            longest = F.max(F.length(field.name)).cast("bigint")
-        measures += [longest.alias(f"length{i}"), null_count(field.name).alias(f"nulls{i}")]
-    wide = df.agg(*measures)
-    described = [
-        F.struct(
-            F.lit(layer).alias("schema_name"),
-            F.lit(name).alias("object_name"),
-            F.lit(i + 1).cast("bigint").alias("col_position"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("data_type"),
-            F.col(f"length{i}").alias("max_length"),
-            F.lit("YES" if field.nullable else "NO").alias("is_nullable"),
-            F.col(f"nulls{i}").alias("null_count"),
+    wide, rows = [], []
+    for i, field in enumerate(df.schema.fields):
+        text = isinstance(field.dataType, T.StringType)
+        longest = f"max(length(`{field.name}`))" if text else "null"
+        wide += [
+            f"cast({longest} as bigint) as length{i}",
+            f"{NULL_COUNT.format(c=f'`{field.name}`')} as nulls{i}",
+        ]
+        rows.append(
+            f"struct('{layer}' as schema_name, '{name}' as object_name, {i + 1}L as col_position, "
+            f"'{field.name}' as column_name, '{field.dataType.simpleString()}' as data_type, "
+            f"length{i} as max_length, '{'YES' if field.nullable else 'NO'}' as is_nullable, "
+            f"nulls{i} as null_count)"
         )
-        for i, field in enumerate(fields)
-    ]
-    return wide.select(F.inline(F.array(*described)))
+    return df.selectExpr(*wide).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def row_counts(entries: Iterable[Entry]) -> DataFrame:
     """Layer, name, kind, column count and row count of every object, empty ones included.
 
-    Rows carry only their object's labels through one union into one aggregation;
+    Rows carry only their object's number through one union into one aggregation;
     each task sends a single partial count per object.
     """
-    tagged, seeds = [], []
-    for entry in entries:
-        labels = [
-            F.lit(entry.layer).alias("schema_name"),
-            F.lit(entry.name).alias("object_name"),
-            F.lit(entry.kind).alias("object_type"),
-            F.lit(len(entry.df.columns)).cast("bigint").alias("column_count"),
-        ]
-        tagged.append(entry.df.select(*labels, F.lit(1).cast("bigint").alias("n")))
-        seeds.append(F.struct(*labels, F.lit(0).cast("bigint").alias("n")))
-        spark = entry.df.sparkSession
-    seed = spark.range(1).select(F.inline(F.array(*seeds)))
-    every = reduce(DataFrame.unionByName, tagged, seed)
-    return every.groupBy("schema_name", "object_name", "object_type", "column_count").agg(
-        F.sum("n").alias("row_count")
+    entries = list(entries)
+    spark = entries[0].df.sparkSession
+    tagged = [entry.df.selectExpr(f"{i} as object") for i, entry in enumerate(entries)]
+    counts = reduce(DataFrame.union, tagged).groupBy("object").agg(F.count("*").alias("n"))
+    described = [
+        f"struct({i} as object, '{e.layer}' as schema_name, '{e.name}' as object_name, "
+        f"'{e.kind}' as object_type, {len(e.df.columns)}L as column_count)"
+        for i, e in enumerate(entries)
+    ]
+    objects = spark.range(1).selectExpr(f"inline(array({', '.join(described)}))")
+    return objects.join(counts, "object", "left").selectExpr(
+        "schema_name", "object_name", "object_type", "column_count", "coalesce(n, 0L) as row_count"
     )

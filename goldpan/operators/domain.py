@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldpan.functions import percent
+from goldpan.operators.ranking import SINGLE_TASK_ROWS, settled
 
 
 def domain(df: DataFrame, column: str, name: str, collation: str | None = None) -> DataFrame:
@@ -24,16 +25,23 @@ def domain(df: DataFrame, column: str, name: str, collation: str | None = None)
     return merged.select(name).orderBy(name)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], name: str, counted: str | None = None) -> DataFrame:
+def value_counts(
+    df: DataFrame, columns: Sequence[str], name: str, counted: str | None = None
+) -> DataFrame:
     """Rows (or non-NULL ``counted``) per combination present; absent ones stay absent."""
-    return df.groupBy(*columns).agg(F.count(F.col(counted) if counted else F.lit(1)).alias(name))
+    return df.groupBy(*columns).agg(F.count(counted or "*").alias(name))
 
 
-def with_share(groups: DataFrame, measure: str, name: str) -> DataFrame:
+def with_share(groups: DataFrame, measure: str, name: str, rows: int) -> DataFrame:
     """Add each group's percentage of the measure's total over all groups.
 
-    The total is a scalar subquery over the same aggregate: the groups are never
-    brought together in one task, and their shuffle is reused to compute it.
+    ``rows`` bounds the number of groups. Few enough pass through one window; more are
+    written once and their total, a partial sum per task, is read back as a scalar.
     """
-    total: Column = groups.agg(F.sum(measure)).scalar()
-    return groups.withColumn(name, percent(F.col(measure), total))
+    groups, rows = settled(groups, rows)
+    if rows <= SINGLE_TASK_ROWS:
+        total = F.expr(f"sum({measure}) over ()")
+    else:
+        total = groups.agg(F.sum(measure)).scalar()
+    totalled = groups.withColumn("grand_total", total)
+    return totalled.withColumn(name, percent(measure, "grand_total")).drop("grand_total")

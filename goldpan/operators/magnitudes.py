@@ -11,31 +11,30 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Metric:
-    """A fact metric: ``count`` or ``sum`` of a column, or its ``distinct`` count."""
+    """A fact metric by SQL expression: ``count`` or ``sum`` of it, or its ``distinct`` count.
+
+    Counts and sums add up over partial groups; distinct counts do not.
+    """
 
     name: str
     kind: str
-    column: str | Column
+    expression: str
 
-    def over_rows(self, distinct_as_count: bool = False) -> Column:
-        if self.kind == "sum":
-            return F.sum(self.column).alias(self.name)
-        if self.kind == "distinct" and not distinct_as_count:
-            return F.countDistinct(self.column).alias(self.name)
-        return F.count(self.column).alias(self.name)
+    def over_rows(self) -> Column:
+        inner = f"distinct {self.expression}" if self.kind == "distinct" else self.expression
+        function = "sum" if self.kind == "sum" else "count"
+        return F.expr(f"{function}({inner}) as {self.name}")
 
     def over_partials(self) -> Column:
-        total = F.sum(self.name)
+        total = f"sum({self.name})"
         if self.kind != "sum":
-            total = F.coalesce(total, F.lit(0))
-        return total.alias(self.name)
+            total = f"coalesce({total}, 0)"
+        return F.expr(f"{total} as {self.name}")
 
 
-def by_attributes(
-    fact: DataFrame, by: Sequence[str], metrics: Sequence[Metric], unique: bool
-) -> DataFrame:
+def by_attributes(fact: DataFrame, by: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
     """Metrics per combination of the fact's own attributes."""
-    return fact.groupBy(*by).agg(*[m.over_rows(unique) for m in metrics])
+    return fact.groupBy(*by).agg(*[m.over_rows() for m in metrics])
 
 
 def by_dimension(
@@ -44,32 +43,27 @@ def by_dimension(
     key: str,
     by: Sequence[str],
     metrics: Sequence[Metric],
-    unique: bool,
     how: str = "inner",
-    members: str | None = None,
+    members: Metric | None = None,
 ) -> DataFrame:
     """Metrics per combination of dimension attributes.
 
     ``how="inner"`` drops facts without a member; ``how="left"`` keeps members without
-    facts. ``members`` names a count of the distinct members seen. ``unique`` states that
-    the dimension key and every column counted distinct are proven unique; then facts
-    are summed per key before the join, so what is joined is one row per key, however
-    the facts are spread over keys. Otherwise rows are joined and distinct values counted.
+    facts. ``members`` counts the members themselves. Unless a metric counts distinct
+    values, facts are summed per key before the join: one row per key is joined, however
+    the facts are spread over keys. Otherwise the rows are joined and counted after it.
     """
-    needs_distinct = members or any(m.kind == "distinct" for m in metrics)
     attributes = dim.select(*dict.fromkeys([key, *by]))
-    if unique or not needs_distinct:
-        facts = fact.groupBy(key).agg(*[m.over_rows(True) for m in metrics])
-        totals = [m.over_partials() for m in metrics]
-        counted = F.count(key)
-    else:
+    if any(m.kind == "distinct" for m in metrics):
         facts = fact
         totals = [m.over_rows() for m in metrics]
-        counted = F.countDistinct(key)
+    else:
+        facts = by_attributes(fact, [key], metrics)
+        totals = [m.over_partials() for m in metrics]
+    if members:
+        totals.insert(0, members.over_rows())
     if how == "left":
         joined = attributes.join(facts, key, "left")
     else:
         joined = facts.join(attributes, key)
-    if members:
-        totals = [counted.alias(members), *totals]
     return joined.groupBy(*by).agg(*totals)

@@ -13,17 +13,17 @@ from goldpan.operators.ranking import order_positions
 
 def average(column: str, digits: int = 2) -> Column:
     """Average rounded half away from zero; NULL without values."""
-    return mean(F.sum(column), F.count(column), digits)
+    return mean(f"sum({column})", f"count({column})", digits)
 
 
 def deviation(column: str, digits: int = 2) -> Column:
     """Sample standard deviation; NULL for fewer than two values."""
-    return F.round(F.stddev_samp(column), digits)
+    return F.expr(f"round(stddev_samp({column}), {digits})")
 
 
 def variation_pct(column: str, digits: int = 2) -> Column:
     """Coefficient of variation in percent; NULL for a zero mean."""
-    return F.round(F.stddev_samp(column) / F.nullif(F.avg(column), F.lit(0)) * 100, digits)
+    return F.expr(f"round(stddev_samp({column}) / nullif(avg({column}), 0) * 100, {digits})")
 
 
 def order_statistics(
@@ -35,10 +35,9 @@ def order_statistics(
     is compared exactly, in whole numbers. This is the lower order statistic, not an
     interpolated percentile.
     """
-    positions = order_positions(df, column, rows)
-    before = F.col("rows_before").cast("decimal(38,0)")
+    before = "cast(rows_before as decimal(38,0))"
     picked = [
-        F.max(F.when(before * f.denominator <= f.numerator * (rows - 1), F.col(column))).alias(name)
+        f"max({column}) filter (where {before} * {f.denominator} <= {f.numerator * (rows - 1)}) as {name}"
         for name, f in fractions.items()
     ]
-    return positions.agg(*picked)
+    return order_positions(df, column, rows).selectExpr(*picked)

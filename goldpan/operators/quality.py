@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from goldpan.functions import month_boundaries, year_month
 
 
-def orphans(fact: DataFrame, key: str, dim: DataFrame, dim_key: str, name: str) -> DataFrame:
+def orphans(
+    fact: DataFrame, key: str, dim: DataFrame, dim_key: str, name: str, unique: bool = False
+) -> DataFrame:
     """Fact rows whose key has no match; a NULL key is an orphan.
 
     Fact rows are counted per key first, so the anti-join sees each key once and a
-    key holding a third of the rows costs no more than any other.
+    key holding a third of the rows costs no more than any other. The keys looked up
+    are made distinct too, unless ``unique`` says they are.
     """
     per_key = fact.groupBy(F.col(key).alias("fk")).agg(F.count(F.lit(1)).alias("n"))
     keys = dim.select(F.col(dim_key).alias("pk"))
+    keys = keys if unique else keys.distinct()
     lost = per_key.join(keys, per_key.fk == keys.pk, "left_anti")
     return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias(name))
 
@@ -30,37 +34,42 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return counted.where(F.col("occurrences") > 1).orderBy(F.desc("occurrences"), *names)
 
 
+def surplus(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows beyond the first of each key, as a ``(check_name, violations)`` row."""
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint")
+    return counted.agg(extra.alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+
+
 def coverage(df: DataFrame, date: str, first: str, last: str) -> DataFrame:
     """First and last date, months spanned, and how many years and months occur.
 
     Rows collapse to one per calendar month before anything distinct is counted.
     """
-    months = df.groupBy(year_month(F.col(date)).alias("month")).agg(
+    months = df.groupBy(year_month(date).alias("month")).agg(
         F.min(date).alias("low"), F.max(date).alias("high")
     )
     return months.agg(
         F.min("low").alias(first),
         F.max("high").alias(last),
-        month_boundaries(F.min("low"), F.max("high")).alias("span_months"),
+        month_boundaries("min(low)", "max(high)").alias("span_months"),
         F.countDistinct(F.year("month")).alias("years_covered"),
         F.count("month").alias("distinct_year_months"),
     )
 
 
-def flag_count(condition: Column) -> Column:
+def flag_count(condition: str) -> Column:
     """Rows where the condition holds; NULL when there are no rows at all."""
-    return F.sum(F.when(condition, 1).otherwise(0))
+    return F.expr(f"sum(case when {condition} then 1 else 0 end)")
 
 
-def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+def violations(df: DataFrame, checks: dict[str, str]) -> DataFrame:
     """Rows breaking each rule, as ``(check_name, violations)``, from one scan."""
-    names = list(checks)
-    wide = df.agg(*[F.count_if(rule).alias(f"v{i}") for i, rule in enumerate(checks.values())])
-    pairs = [
-        F.struct(F.lit(n).alias("check_name"), F.col(f"v{i}").alias("violations"))
-        for i, n in enumerate(names)
+    wide = [f"count_if({rule}) as v{i}" for i, rule in enumerate(checks.values())]
+    rows = [
+        f"struct('{name}' as check_name, v{i} as violations)" for i, name in enumerate(checks)
     ]
-    return wide.select(F.inline(F.array(*pairs)))
+    return df.selectExpr(*wide).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def gate(parts: Sequence[DataFrame]) -> DataFrame:

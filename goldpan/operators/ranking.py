@@ -31,9 +31,16 @@ def direction(column: str, descending: bool) -> Column:
     return F.col(column).desc() if descending else F.col(column).asc()
 
 
-def settled(groups: DataFrame, rows: int) -> DataFrame:
-    """The groups, computed once when they are too many for the single-task window."""
-    return groups if rows <= SINGLE_TASK_ROWS else cut_lineage(groups)
+def settled(groups: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Groups with a bound on their number, computed once where the bound is a high one.
+
+    Written groups can be counted, and the count, often far below the bound (countries
+    against customers), decides how they are ranked.
+    """
+    if rows <= SINGLE_TASK_ROWS:
+        return groups, rows
+    groups = cut_lineage(groups)
+    return groups, groups.count()
 
 
 def leaderboard(

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.operators.audit import column_audit, distinct_count
+from goldpan.operators.audit import DISTINCT_COUNT, column_audit
 from goldpan.operators.domain import domain, value_counts, with_share
 from goldpan.operators.measures import average
 from goldpan.plans.star import Star
 
 
-def cardinality(star: Star, measure=distinct_count) -> DataFrame:
+def cardinality(star: Star, measure: str = DISTINCT_COUNT) -> DataFrame:
     label, value = "dimension_column", "distinct_values"
     counts = column_audit(
         star.dim_customer, star.roles.customer_categories, measure, label, value
@@ -62,14 +62,15 @@ def store_matrix(star: Star) -> DataFrame:
     return value_counts(star.dim_store, pair, "store_count", counted="store_id").orderBy(*pair)
 
 
-def _shares(df: DataFrame, column: str, name: str) -> DataFrame:
-    counted = with_share(value_counts(df, [column], name), name, "pct_of_total")
-    return counted.orderBy(F.desc(name), column)
+def _shares(star: Star, name: str, column: str, counted: str) -> DataFrame:
+    groups = value_counts(star.gold[name], [column], counted)
+    shared = with_share(groups, counted, "pct_of_total", star.rows(name))
+    return shared.orderBy(F.desc(counted), column)
 
 
 def status_share(star: Star) -> DataFrame:
-    return _shares(star.fact_sales, "delivery_status", "order_count")
+    return _shares(star, "fact_sales", "delivery_status", "order_count")
 
 
 def reason_share(star: Star) -> DataFrame:
-    return _shares(star.fact_returns, "return_reason", "return_count")
+    return _shares(star, "fact_returns", "return_reason", "return_count")

@@ -10,60 +10,77 @@ from goldpan.operators.domain import with_share
 from goldpan.operators.magnitudes import Metric, by_attributes, by_dimension
 from goldpan.plans.star import KEYS, Star
 
-ORDERS = Metric("total_orders", "distinct", "order_number")
 UNITS = Metric("units_sold", "sum", "quantity")
 REVENUE = Metric("total_revenue", "sum", "sales_amount")
 PRICED = Metric("priced_lines", "count", "sales_amount")
 
+ORDERS = "total_orders"
 AVERAGE = "avg_order_value"
 MONTH = ["order_year", "order_month", "order_month_name"]
 
 
+def distinct_keys(star: Star, counted: str, name: str, *joined: str) -> Metric:
+    """COUNT(DISTINCT key) of an object, by the cheapest expression proven equal to it.
+
+    Keys that never repeat, joined to members that never repeat, need no distinct
+    count, and where none is NULL the key column need not be read at all.
+    """
+    if not star.unique(counted, *joined):
+        return Metric(name, "distinct", KEYS[counted])
+    return Metric(name, "count", "*" if star.proof(counted).complete else KEYS[counted])
+
+
+def members(star: Star, dim: str, name: str) -> Metric:
+    return Metric(name, "count" if star.unique(dim) else "distinct", KEYS[dim])
+
+
 def with_average(groups: DataFrame, revenue: str = REVENUE.name) -> DataFrame:
-    average = mean(F.col(revenue), F.col(PRICED.name))
-    return groups.withColumn(AVERAGE, average).drop(PRICED.name)
+    return groups.withColumn(AVERAGE, mean(revenue, PRICED.name)).drop(PRICED.name)
 
 
-def sales_by(star: Star, dim: str, by: list[str], metrics: list[Metric], **options) -> DataFrame:
-    return by_dimension(
-        star.fact_sales,
-        star.gold[dim],
-        KEYS[dim],
-        by,
-        metrics,
-        unique=star.unique("fact_sales", dim),
-        **options,
-    )
+def sales_by(
+    star: Star, dim: str, by: list[str], *metrics: Metric, orders: bool = True, **options
+) -> DataFrame:
+    """Sales metrics by attributes of one dimension, led by the number of orders."""
+    if orders:
+        metrics = (distinct_keys(star, "fact_sales", ORDERS, dim), *metrics)
+    return by_dimension(star.fact_sales, star.gold[dim], KEYS[dim], by, metrics, **options)
+
+
+def sales_by_own(star: Star, by: list[str], *metrics: Metric) -> DataFrame:
+    return by_attributes(star.fact_sales, by, [distinct_keys(star, "fact_sales", ORDERS), *metrics])
 
 
 def by_year(star: Star) -> DataFrame:
     units = Metric("total_units_sold", "sum", "quantity")
-    metrics = [ORDERS, units, REVENUE, PRICED]
-    years = by_attributes(star.fact_sales, ["order_year"], metrics, star.unique("fact_sales"))
+    years = sales_by_own(star, ["order_year"], units, REVENUE, PRICED)
     return with_average(years).orderBy("order_year")
 
 
 def by_category(star: Star) -> DataFrame:
-    groups = sales_by(star, "dim_product", ["category"], [ORDERS, UNITS, REVENUE])
-    return with_share(groups, REVENUE.name, "revenue_pct").orderBy(F.desc(REVENUE.name), "category")
+    groups = sales_by(star, "dim_product", ["category"], UNITS, REVENUE)
+    shared = with_share(groups, REVENUE.name, "revenue_pct", star.rows("dim_product"))
+    return shared.orderBy(F.desc(REVENUE.name), "category")
 
 
 def by_store_type(star: Star) -> DataFrame:
-    groups = sales_by(star, "dim_store", ["store_type"], [ORDERS, UNITS, REVENUE, PRICED])
-    shared = with_share(with_average(groups), REVENUE.name, "revenue_pct")
+    groups = with_average(sales_by(star, "dim_store", ["store_type"], UNITS, REVENUE, PRICED))
+    shared = with_share(groups, REVENUE.name, "revenue_pct", star.rows("dim_store"))
     return shared.orderBy(F.desc(REVENUE.name), "store_type")
 
 
 def by_continent(star: Star) -> DataFrame:
-    metrics = [ORDERS, REVENUE]
-    groups = sales_by(star, "dim_customer", ["continent"], metrics, members="unique_customers")
-    return with_share(groups, REVENUE.name, "revenue_pct").orderBy(F.desc(REVENUE.name), "continent")
+    dim = "dim_customer"
+    counted = members(star, dim, "unique_customers")
+    groups = sales_by(star, dim, ["continent"], REVENUE, members=counted)
+    shared = with_share(groups, REVENUE.name, "revenue_pct", star.rows(dim))
+    return shared.orderBy(F.desc(REVENUE.name), "continent")
 
 
 def by_country(star: Star) -> DataFrame:
-    by = ["country", "continent"]
-    metrics = [ORDERS, REVENUE, PRICED]
-    groups = sales_by(star, "dim_customer", by, metrics, members="unique_customers")
+    dim, by = "dim_customer", ["country", "continent"]
+    counted = members(star, dim, "unique_customers")
+    groups = sales_by(star, dim, by, REVENUE, PRICED, members=counted)
     return with_average(groups).orderBy(F.desc(REVENUE.name), *by)
 
 
@@ -73,24 +90,18 @@ def returns_by_category(star: Star) -> DataFrame:
     They are summed per order first: however many returns one order has, the two
     facts meet one row to one.
     """
-    per_order = star.fact_returns.groupBy("order_number").agg(
-        F.count("return_id").alias("returns"),
-        F.sum("return_amount").alias("value"),
-        F.count("return_amount").alias("valued"),
-    )
+    returns = Metric("total_returns", "count", "return_id")
+    value = Metric("total_returned_value", "sum", "return_amount")
+    valued = Metric("valued", "count", "return_amount")
+    metrics = [returns, value, valued]
+    per_order = by_attributes(star.fact_returns, ["order_number"], metrics)
     returned = star.fact_sales.select("order_number", "product_id").join(per_order, "order_number")
-    metrics = [
-        Metric("total_returns", "sum", "returns"),
-        Metric("total_returned_value", "sum", "value"),
-        Metric("valued", "sum", "valued"),
-    ]
-    groups = by_dimension(
-        returned, star.dim_product, "product_id", ["category"], metrics, unique=False
-    )
-    average = mean(F.col("total_returned_value"), F.col("valued"))
-    groups = groups.withColumn("avg_return_amount", average).drop("valued")
-    shared = with_share(groups, "total_returned_value", "return_value_pct")
-    return shared.orderBy(F.desc("total_returns"), "category")
+    sums = [Metric(m.name, "sum", m.name) for m in metrics]
+    groups = by_dimension(returned, star.dim_product, "product_id", ["category"], sums)
+    average = mean(value.name, valued.name).alias("avg_return_amount")
+    groups = groups.select("category", returns.name, value.name, average)
+    shared = with_share(groups, value.name, "return_value_pct", star.rows("dim_product"))
+    return shared.orderBy(F.desc(returns.name), "category")
 
 
 def by_segment(
@@ -100,19 +111,17 @@ def by_segment(
 
     ``year`` restricts the sales that are matched, not the customers.
     """
-    if year is not None:
-        fact = star.fact_sales.where(F.col("order_year") == year)
-    else:
-        fact = star.fact_sales
+    dim = "dim_customer"
+    fact = star.fact_sales if year is None else star.fact_sales.where(f"order_year = {year}")
+    metrics = [distinct_keys(star, "fact_sales", ORDERS, dim), REVENUE]
     groups = by_dimension(
         fact,
         star.dim_customer,
-        "customer_id",
+        KEYS[dim],
         [column],
-        [ORDERS, REVENUE, PRICED] if average else [ORDERS, REVENUE],
-        unique=star.unique("fact_sales", "dim_customer"),
+        [*metrics, PRICED] if average else metrics,
         how="left",
-        members="customer_count",
+        members=members(star, dim, "customer_count"),
     )
     groups = with_average(groups) if average else groups
     return groups.orderBy(F.desc(REVENUE.name), column)
@@ -120,7 +129,4 @@ def by_segment(
 
 def monthly_trend(star: Star) -> DataFrame:
     revenue = Metric("monthly_revenue", "sum", "sales_amount")
-    months = by_attributes(
-        star.fact_sales, MONTH, [ORDERS, UNITS, revenue], star.unique("fact_sales")
-    )
-    return months.orderBy(*MONTH)
+    return sales_by_own(star, MONTH, UNITS, revenue).orderBy(*MONTH)

@@ -7,8 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.functions import half_up, percent
-from goldpan.functions.exact import cents
+from goldpan.functions import cents, half_up, percent
 from goldpan.operators.measures import average, deviation, order_statistics, variation_pct
 from goldpan.plans.star import Star
 
@@ -18,7 +17,7 @@ QUARTILES = {"p25": Fraction(1, 4), "p50_median": Fraction(1, 2), "p75": Fractio
 def sales_profile(star: Star) -> DataFrame:
     amount = "sales_amount"
     moments = star.fact_sales.agg(
-        F.count(F.lit(1)).alias("total_orders"),
+        F.count("*").alias("total_orders"),
         F.sum(amount).alias("total_revenue"),
         F.min(amount).alias("min_order_value"),
         F.max(amount).alias("max_order_value"),
@@ -32,7 +31,7 @@ def sales_profile(star: Star) -> DataFrame:
 
 
 def price_and_quantity(star: Star) -> DataFrame:
-    units = F.sum("quantity")
+    per_unit = half_up(cents("sum(sales_amount)"), "sum(quantity) * 100", 2)
     return star.fact_sales.agg(
         F.min("price").alias("min_unit_price"),
         F.max("price").alias("max_unit_price"),
@@ -41,15 +40,15 @@ def price_and_quantity(star: Star) -> DataFrame:
         F.min("quantity").alias("min_qty_per_order"),
         F.max("quantity").alias("max_qty_per_order"),
         average("quantity").alias("avg_qty_per_order"),
-        units.alias("total_units_sold"),
-        half_up(cents(F.sum("sales_amount")), units * 100, 2).alias("effective_price_per_unit"),
+        F.sum("quantity").alias("total_units_sold"),
+        per_unit.alias("effective_price_per_unit"),
     )
 
 
 def returns_profile(star: Star) -> DataFrame:
     amount = "return_amount"
     return star.fact_returns.agg(
-        F.count(F.lit(1)).alias("total_return_transactions"),
+        F.count("*").alias("total_return_transactions"),
         F.sum(amount).alias("total_returned_value"),
         F.min(amount).alias("min_return_amount"),
         F.max(amount).alias("max_return_amount"),
@@ -62,7 +61,8 @@ def return_rate(star: Star) -> DataFrame:
     """Returned value as a percentage of sales value."""
     sold = star.fact_sales.agg(F.sum("sales_amount")).scalar()
     returned = star.fact_returns.agg(F.sum("return_amount").alias("returned"))
-    return returned.select(percent(F.col("returned"), sold).alias("return_rate_pct"))
+    both = returned.withColumn("sold", sold)
+    return both.select(percent("returned", "sold").alias("return_rate_pct"))
 
 
 def cost_by_category(star: Star) -> DataFrame:

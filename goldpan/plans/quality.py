@@ -7,9 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.operators.audit import column_audit, null_count
+from goldpan.operators.audit import NULL_COUNT, column_audit
 from goldpan.operators.measures import average
-from goldpan.operators.quality import coverage, duplicate_keys, flag_count, orphans
+from goldpan.operators.quality import (
+    coverage,
+    duplicate_keys,
+    flag_count,
+    gate,
+    orphans,
+    surplus,
+    violations,
+)
 from goldpan.plans.star import KEYS, Star
 
 
@@ -23,7 +31,7 @@ def returns_dates(star: Star) -> DataFrame:
 
 
 def _nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    counts = column_audit(df, columns, null_count, "column_name", "null_count")
+    counts = column_audit(df, columns, NULL_COUNT, "column_name", "null_count")
     return counts.orderBy(F.desc("null_count"), "column_name")
 
 
@@ -43,24 +51,25 @@ def returns_nulls(star: Star) -> DataFrame:
     return _nulls(star.fact_returns, star.roles.returns_audit)
 
 
+def _lost(star: Star, fact: str, dim: str, key: str, name: str) -> DataFrame:
+    unique = KEYS[dim] == key and star.unique(dim)
+    return orphans(star.gold[fact], key, star.gold[dim], key, name, unique)
+
+
 def orphan_customers(star: Star) -> DataFrame:
-    key = "customer_id"
-    return orphans(star.fact_sales, key, star.dim_customer, key, "orphan_customers")
+    return _lost(star, "fact_sales", "dim_customer", "customer_id", "orphan_customers")
 
 
 def orphan_products(star: Star) -> DataFrame:
-    key = "product_id"
-    return orphans(star.fact_sales, key, star.dim_product, key, "orphan_products")
+    return _lost(star, "fact_sales", "dim_product", "product_id", "orphan_products")
 
 
 def orphan_stores(star: Star) -> DataFrame:
-    key = "store_id"
-    return orphans(star.fact_sales, key, star.dim_store, key, "orphan_stores")
+    return _lost(star, "fact_sales", "dim_store", "store_id", "orphan_stores")
 
 
 def orphan_returns(star: Star) -> DataFrame:
-    key = "order_number"
-    return orphans(star.fact_returns, key, star.fact_sales, key, "orphan_returns")
+    return _lost(star, "fact_returns", "fact_sales", "order_number", "orphan_returns")
 
 
 def duplicates(star: Star, name: str) -> DataFrame:
@@ -71,12 +80,34 @@ def sanity(star: Star) -> DataFrame:
     """Extremes, average and out-of-range counts of one customer attribute."""
     roles = star.roles
     column = roles.sanity_column
-    value = F.col(column)
     return star.dim_customer.agg(
         F.min(column).alias(roles.sanity_lowest),
         F.max(column).alias(roles.sanity_highest),
         average(column, 1).alias(f"avg_{column}"),
-        flag_count(value < roles.sanity_low).alias(f"{column}_under_{roles.sanity_low}"),
-        flag_count(value > roles.sanity_high).alias(f"{column}_over_{roles.sanity_high}"),
-        flag_count(value.isNull()).alias(f"{column}_null"),
+        flag_count(f"{column} < {roles.sanity_low}").alias(f"{column}_under_{roles.sanity_low}"),
+        flag_count(f"{column} > {roles.sanity_high}").alias(f"{column}_over_{roles.sanity_high}"),
+        flag_count(f"{column} is null").alias(f"{column}_null"),
     )
+
+
+def sign_off(star: Star) -> DataFrame:
+    """The gate: every expectation, reference and key with its violations and verdict."""
+    parts = []
+    for name, df in star.gold.items():
+        domains = star.roles.domains.get(name, {})
+        ranges = star.roles.ranges.get(name, {})
+        rules = {}
+        for column, allowed in domains.items():
+            listed = ", ".join(f"'{value}'" for value in allowed)
+            rules[f"{name}.{column} domain"] = f"{column} not in ({listed})"
+        for column, (low, high) in ranges.items():
+            rules[f"{name}.{column} range"] = f"{column} not between '{low}' and '{high}'"
+        if rules:
+            parts.append(violations(df, rules))
+        parts.append(surplus(df, KEYS[name], f"{name}.{KEYS[name]} unique"))
+    for statement in (orphan_customers, orphan_products, orphan_stores, orphan_returns):
+        lost = statement(star)
+        (name,) = lost.columns
+        label = name.replace("_", " ")
+        parts.append(lost.selectExpr(f"'{label}' as check_name", f"{name} as violations"))
+    return gate(parts)

@@ -15,7 +15,9 @@ from goldpan.plans.magnitudes import (
     PRICED,
     REVENUE,
     UNITS,
+    distinct_keys,
     sales_by,
+    sales_by_own,
     with_average,
 )
 from goldpan.plans.star import Star
@@ -32,7 +34,7 @@ def product_board(
 ) -> DataFrame:
     """Ten products by revenue; same-named products count as one unless ``by_key``."""
     by = ["product_id", *PRODUCT] if by_key else PRODUCT
-    groups = sales_by(star, "dim_product", by, [UNITS, REVENUE])
+    groups = sales_by(star, "dim_product", by, UNITS, REVENUE, orders=False)
     return leaderboard(groups, REVENUE.name, 10, rank, by, descending, method)
 
 
@@ -48,14 +50,14 @@ def best_customers(star: Star) -> DataFrame:
     roles = star.roles
     by = ["customer_id", "full_name", "country", roles.age_group, roles.gender]
     lifetime = Metric("lifetime_revenue", "sum", "sales_amount")
-    groups = sales_by(star, "dim_customer", by, [ORDERS, lifetime, PRICED])
-    board = leaderboard(with_average(groups, lifetime.name), lifetime.name, 10, "clv_rank", by)
-    return board.select(*by, ORDERS.name, lifetime.name, AVERAGE, "clv_rank")
+    groups = with_average(sales_by(star, "dim_customer", by, lifetime, PRICED), lifetime.name)
+    board = leaderboard(groups, lifetime.name, 10, "clv_rank", by)
+    return board.select(*by, ORDERS, lifetime.name, AVERAGE, "clv_rank")
 
 
 def products_in_category(star: Star) -> DataFrame:
-    rows = star.rows("dim_product")
-    groups = settled(sales_by(star, "dim_product", PRODUCT, [REVENUE, UNITS]), rows)
+    groups = sales_by(star, "dim_product", PRODUCT, REVENUE, UNITS, orders=False)
+    groups, rows = settled(groups, star.rows("dim_product"))
     ranked = with_rank(groups, REVENUE.name, "global_rank", rows)
     ranked = with_rank(ranked, REVENUE.name, "rank_within_category", rows, ["category"])
     ordered = ranked.orderBy("category", "rank_within_category", *PRODUCT)
@@ -75,19 +77,12 @@ def stores_two_ways(star: Star) -> DataFrame:
 
     Both parts of the rate are exact counts and it is divided once, so equal rates tie.
     """
-    rows = star.rows("dim_store")
-    punctual = F.when(F.col("delivery_status") == "On Time", 1).otherwise(0)
-    metrics = [
-        ORDERS,
-        REVENUE,
-        Metric("on_time", "sum", punctual),
-        Metric("lines", "count", F.lit(1)),
-    ]
-    groups = settled(sales_by(star, "dim_store", STORE, metrics), rows)
-    on_time, lines = F.col("on_time"), F.col("lines")
-    rated = groups.withColumn("on_time_pct", half_up(on_time * 100, lines, 2)).withColumn(
-        "rate", on_time.cast("double") / F.nullif(lines, F.lit(0)).cast("double")
+    punctual = Metric("on_time", "sum", "case when delivery_status = 'On Time' then 1 else 0 end")
+    groups = sales_by(star, "dim_store", STORE, REVENUE, punctual, Metric("lines", "count", "*"))
+    rated = groups.withColumn("on_time_pct", half_up("on_time * 100", "lines", 2)).withColumn(
+        "rate", F.expr("double(on_time) / nullif(double(lines), 0)")
     )
+    rated, rows = settled(rated, star.rows("dim_store"))
     ranked = with_rank(rated, REVENUE.name, "revenue_rank", rows)
     ranked = with_rank(ranked, "rate", "delivery_rank", rows)
     return ranked.drop("on_time", "lines", "rate").orderBy("revenue_rank", *STORE)
@@ -95,30 +90,31 @@ def stores_two_ways(star: Star) -> DataFrame:
 
 def months(star: Star) -> DataFrame:
     revenue = Metric("monthly_revenue", "sum", "sales_amount")
-    groups = by_attributes(star.fact_sales, MONTH, [ORDERS, revenue], star.unique("fact_sales"))
+    groups = sales_by_own(star, MONTH, revenue)
     ranked = with_rank(groups, revenue.name, "overall_rank", MAX_MONTHS)
     ranked = with_rank(ranked, revenue.name, "rank_within_year", MAX_MONTHS, ["order_year"])
     return ranked.orderBy(*MONTH)
 
 
 def countries_by_returns(star: Star) -> DataFrame:
-    """Returns per hundred orders, worst country first."""
+    """Returns per hundred orders, worst country first.
+
+    Unique returns are counted per order before the two facts meet.
+    """
     by = ["country", "continent"]
-    unique = star.unique("fact_sales", "fact_returns", "dim_customer")
-    sales = star.fact_sales.select("order_number", "customer_id")
-    if unique:
-        returns = star.fact_returns.groupBy("order_number").agg(F.count("return_id").alias("returned"))
-        counted = Metric("total_returns", "sum", F.coalesce("returned", F.lit(0)))
-    else:
+    orders = distinct_keys(star, "fact_sales", ORDERS, "fact_returns", "dim_customer")
+    if orders.kind == "distinct":
         returns = star.fact_returns.select("order_number", "return_id")
-        counted = Metric("total_returns", "distinct", "return_id")
-    fact = sales.join(returns, "order_number", "left")
-    groups = by_dimension(fact, star.dim_customer, "customer_id", by, [ORDERS, counted], unique)
-    rows = star.rows("dim_customer")
-    groups = settled(groups, rows)
-    orders, returned = F.col(ORDERS.name), F.col("total_returns")
-    rated = groups.withColumn("return_rate_pct", half_up(returned * 100, orders, 2)).withColumn(
-        "rate", returned.cast("double") / F.nullif(orders, F.lit(0)).cast("double")
-    )
+        returned = Metric("total_returns", "distinct", "return_id")
+    else:
+        each = distinct_keys(star, "fact_returns", "returned")
+        returns = by_attributes(star.fact_returns, ["order_number"], [each])
+        returned = Metric("total_returns", "sum", "coalesce(returned, 0)")
+    fact = star.fact_sales.select("order_number", "customer_id").join(returns, "order_number", "left")
+    groups = by_dimension(fact, star.dim_customer, "customer_id", by, [orders, returned])
+    rated = groups.withColumn(
+        "return_rate_pct", half_up("total_returns * 100", ORDERS, 2)
+    ).withColumn("rate", F.expr(f"double(total_returns) / nullif(double({ORDERS}), 0)"))
+    rated, rows = settled(rated, star.rows("dim_customer"))
     ranked = with_rank(rated, "rate", "return_rank", rows).drop("rate")
     return ranked.orderBy("return_rank", *by)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,25 @@ KEYS = {
     "fact_returns": "return_id",
 }
 
+# The domains and ranges a retail warehouse is expected to keep to.
+RETAIL_DOMAINS = {
+    "dim_customer": {
+        "gender": ("Male", "Female", "Unknown"),
+        "marital_status": ("Married", "Single", "Divorced"),
+        "age_group": ("Under 20", "20-29", "30-39", "40-49", "50-59", "60+", "Unknown"),
+        "continent": ("Europe", "North America", "Asia", "Latin America", "Oceania"),
+    },
+    "dim_product": {"category": ("Bikes", "Accessories", "Clothing", "Components")},
+    "dim_store": {"store_type": ("Flagship", "Retail", "Online", "Outlet")},
+    "fact_sales": {"delivery_status": ("On Time", "Late", "Unknown")},
+    "fact_returns": {"return_reason": ("Defective", "Size Mismatch", "Unsatisfied", "Wrong Item")},
+}
+RETAIL_RANGES = {
+    "dim_customer": {"age": (18, 100)},
+    "fact_sales": {"order_date": (date(2023, 1, 1), date(2024, 12, 31))},
+    "fact_returns": {"return_date": (date(2023, 1, 1), date(2024, 12, 31))},
+}
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -78,6 +99,10 @@ class Roles:
     sanity_high: int = 100
     sanity_lowest: str = "youngest_customer"
     sanity_highest: str = "oldest_customer"
+    domains: Mapping[str, Mapping[str, tuple[str, ...]]] = field(
+        default_factory=lambda: RETAIL_DOMAINS
+    )
+    ranges: Mapping[str, Mapping[str, tuple]] = field(default_factory=lambda: RETAIL_RANGES)
 
 
 @dataclass(frozen=True)
@@ -90,6 +115,15 @@ class Entry:
     df: DataFrame
 
 
+@dataclass(frozen=True)
+class Proof:
+    """Row count, whether no non-NULL key repeats, and whether no key is NULL."""
+
+    rows: int
+    unique: bool
+    complete: bool
+
+
 @dataclass
 class Star:
     """Five gold objects, the inventory around them, and facts proven about their keys."""
@@ -101,7 +135,7 @@ class Star:
     fact_returns: DataFrame
     roles: Roles = field(default_factory=Roles)
     upstream: tuple[Entry, ...] = ()
-    _proofs: dict[str, tuple[int, bool]] = field(default_factory=dict, repr=False)
+    _proofs: dict[str, Proof] = field(default_factory=dict, repr=False)
 
     @property
     def gold(self) -> dict[str, DataFrame]:
@@ -111,29 +145,30 @@ class Star:
     def inventory(self) -> list[Entry]:
         return [*self.upstream, *(Entry("gold", n, "VIEW", df) for n, df in self.gold.items())]
 
-    def rows(self, name: str) -> int:
-        """Row count of a gold object."""
-        return self._proof(name)[0]
-
-    def unique(self, *names: str) -> bool:
-        """Whether no non-NULL business key of the named objects occurs twice.
+    def source(self, name: str) -> DataFrame:
+        """An upstream object by name."""
+        return next(entry.df for entry in self.upstream if entry.name == name)
 
-        With that proven, COUNT(DISTINCT key) over the object is COUNT(key), which
-        pre-aggregates; without it the statements count distinct keys.
-        """
-        return all(self._proof(name)[1] for name in names)
-
-    def _proof(self, name: str) -> tuple[int, bool]:
+    def proof(self, name: str) -> Proof:
+        """What one pass over an object's keys shows; each object is read once."""
         if name not in self._proofs:
-            key = KEYS[name]
-            per_key = self.gold[name].groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            found = per_key.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.max(F.when(F.col(key).isNotNull(), F.col("n"))), F.lit(0)).alias("most"),
+            per_key = self.gold[name].groupBy(KEYS[name]).agg(F.count("*").alias("n"))
+            found = per_key.selectExpr(
+                "coalesce(sum(n), 0) as rows",
+                f"coalesce(max(n) filter (where {KEYS[name]} is not null), 0) as most",
+                f"count_if({KEYS[name]} is null) as unkeyed",
             ).first()
-            self._proofs[name] = (found["rows"], found["most"] <= 1)
+            self._proofs[name] = Proof(found["rows"], found["most"] <= 1, found["unkeyed"] == 0)
         return self._proofs[name]
 
+    def rows(self, name: str) -> int:
+        """Row count of a gold object."""
+        return self.proof(name).rows
+
+    def unique(self, *names: str) -> bool:
+        """Whether no business key of the named objects occurs twice."""
+        return all(self.proof(name).unique for name in names)
+
     def register(self) -> None:
         """Expose the gold objects to ``spark.sql`` as temporary views."""
         for name, df in self.gold.items():

@@ -8,6 +8,8 @@ of shuffling. The gold objects are views over silver and the dimension tables.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,23 @@ LAKE_ROLES = Roles(
     sanity_high=9000,
     sanity_lowest="lowest_balance",
     sanity_highest="highest_balance",
+    domains={
+        "dim_customer": {
+            "balance_band": ("0-2499", "2500-4999", "5000-7499", "7500+"),
+            "account_status": ("Debtor", "Creditor"),
+        },
+        "dim_product": {
+            "product_line": ("S", "M", "L"),
+            "maintenance_required": ("Yes", "No"),
+        },
+        "dim_store": {"store_type": ("Tier A", "Tier B", "Tier C", "Tier D")},
+        "fact_sales": {"delivery_status": ("On Time", "Late", "Unknown")},
+    },
+    ranges={
+        "dim_customer": {"balance": (0, 9000)},
+        "fact_sales": {"order_date": (date(1995, 1, 1), date(2001, 12, 31))},
+        "fact_returns": {"return_date": (date(1995, 1, 1), date(2001, 12, 31))},
+    },
 )
 
 MONEY = "decimal(18,2)"
@@ -188,7 +207,7 @@ def fact_sales(lines: DataFrame) -> DataFrame:
     due = F.date_add("order_date", allowed_days)
     lead = F.datediff("shipping_date", "order_date")
     lead = F.when(lead >= 0, lead)
-    amount = (F.col("sales_amount") * 100).cast("bigint")
+    price = half_up("cast(sales_amount * 100 as bigint)", "quantity * 100", 2, "bigint")
     return lines.select(
         "order_number",
         "product_id",
@@ -200,7 +219,7 @@ def fact_sales(lines: DataFrame) -> DataFrame:
         "quantity",
         "sales_amount",
         "discount",
-        half_up(amount, F.col("quantity") * 100, 2, "bigint").cast(MONEY).alias("price"),
+        price.cast(MONEY).alias("price"),
         F.year("order_date").cast("bigint").alias("order_year"),
         F.month("order_date").cast("bigint").alias("order_month"),
         F.date_format("order_date", "MMMM").alias("order_month_name"),

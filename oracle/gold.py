@@ -75,7 +75,7 @@ UPSTREAM = {
         "region": 2,
         "nation": 3,
         "customer": 5,
-        "supplier": 5,
+        "supplier": 4,
         "part": 6,
         "orders": 6,
         "lineitem": 11,
@@ -146,3 +146,6 @@ COLUMNS = {
         "return_amount": "decimal(18,2)",
     },
 }
+
+# Columns whose definition leaves no room for NULL.
+NEVER_NULL = {("fact_sales", "delivery_status")}

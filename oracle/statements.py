@@ -80,16 +80,17 @@ def inventory(upstream: dict[str, dict[str, int]], columns: dict[str, dict[str,
     )
 
 
-def dictionary(columns: dict[str, dict[str, str]]) -> str:
+def dictionary(columns: dict[str, dict[str, str]], never_null: set[tuple[str, str]]) -> str:
     rows = []
     for name, fields in columns.items():
         for position, (column, kind) in enumerate(fields.items(), 1):
+            nullable = "NO" if (name, column) in never_null else "YES"
             longest = f"max(length({column}))" if kind == "string" else "NULL"
             rows.append(
                 f"SELECT 'gold' AS schema_name, '{name}' AS object_name, "
                 f"CAST({position} AS BIGINT) AS col_position, '{column}' AS column_name, "
                 f"'{kind}' AS data_type, CAST({longest} AS BIGINT) AS max_length, "
-                f"'YES' AS is_nullable, count(*) - count({column}) AS null_count FROM {name}"
+                f"'{nullable}' AS is_nullable, count(*) - count({column}) AS null_count FROM {name}"
             )
     return " UNION ALL ".join(rows) + " ORDER BY object_name, col_position"
 
@@ -120,7 +121,39 @@ def product_board(
       FROM sold ORDER BY {rank}, {ties} LIMIT 10"""
 
 
-def structure(upstream: dict[str, dict[str, int]], columns: dict[str, dict[str, str]]) -> dict[str, str]:
+def sign_off(roles, keys: dict[str, str]) -> str:
+    checks = []
+
+    def add(name: str, sql: str) -> None:
+        checks.append(f"SELECT '{name}' AS check_name, ({sql}) AS violations")
+
+    for table, key in keys.items():
+        for column, allowed in roles.domains.get(table, {}).items():
+            listed = ", ".join(f"'{v}'" for v in allowed)
+            add(f"{table}.{column} domain", f"SELECT count(*) FROM {table} WHERE {column} NOT IN ({listed})")
+        for column, (low, high) in roles.ranges.get(table, {}).items():
+            outside = f"{column} < '{low}' OR {column} > '{high}'"
+            add(f"{table}.{column} range", f"SELECT count(*) FROM {table} WHERE {outside}")
+        groups = f"SELECT DISTINCT {key} FROM {table}"
+        add(f"{table}.{key} unique", f"(SELECT count(*) FROM {table}) - (SELECT count(*) FROM ({groups}))")
+    for fact, dim, key, name in (
+        ("fact_sales", "dim_customer", "customer_id", "orphan customers"),
+        ("fact_sales", "dim_product", "product_id", "orphan products"),
+        ("fact_sales", "dim_store", "store_id", "orphan stores"),
+        ("fact_returns", "fact_sales", "order_number", "orphan returns"),
+    ):
+        add(name, lost(fact, dim, key, "n"))
+    return f"""
+      SELECT check_name, {whole("violations")} AS violations,
+             CASE violations WHEN 0 THEN 'pass' ELSE 'fail' END AS verdict
+      FROM ({" UNION ALL ".join(checks)}) ORDER BY violations DESC, check_name"""
+
+
+def structure(
+    upstream: dict[str, dict[str, int]],
+    columns: dict[str, dict[str, str]],
+    never_null: set[tuple[str, str]],
+) -> dict[str, str]:
     """Phase 1."""
     objects = inventory(upstream, columns)
     return {
@@ -128,15 +161,43 @@ def structure(upstream: dict[str, dict[str, int]], columns: dict[str, dict[str,
           SELECT schema_name, count(*) AS object_count, {whole("sum(row_count)")} AS total_rows
           FROM ({objects}) GROUP BY ALL ORDER BY 1""",
         "p1_2_object_inventory": f"SELECT * FROM ({objects}) ORDER BY 1, 3, 2",
-        "p1_3_column_dictionary": dictionary(columns),
+        "p1_3_column_dictionary": dictionary(columns, never_null),
         "p1_4_row_counts": f"""
           SELECT 'gold.' || object_name AS gold_object, row_count FROM ({objects})
           WHERE schema_name = 'gold' ORDER BY row_count DESC, 1""",
     }
 
 
-def statements(roles) -> dict[str, str]:
-    """Phases 2 to 6."""
+def variants(roles) -> dict[str, str]:
+    """The operators' other uses, on the lake."""
+    in_1995 = "AND s.order_year = 1995"
+    return {
+        "p3_6e_orders_without_lines": lost(
+            "orders", "lineitem", "o_orderkey", "orders_without_lines", "l_orderkey"
+        ),
+        "p3_6f_documents_without_labels": lost(
+            "documents", "labels", "doc_id", "documents_without_labels"
+        ),
+        "p3_6g_customers_without_events": lost(
+            "customer", "events", "c_custkey", "customers_without_events", "user_id"
+        ),
+        "p3_7e_dup_raw_lines": repeated(
+            "lineitem", "l_orderkey, l_linenumber", f"l_orderkey, {whole('l_linenumber')} AS l_linenumber"
+        ),
+        "p3_7f_dup_document_texts": repeated("documents", "text", "sha256(text) AS text_sha256"),
+        "p5_6d_by_age_group_1995": by_attribute(roles.age_group, on=in_1995),
+        "p5_6e_by_gender_1995": by_attribute(roles.gender, on=in_1995),
+        "p5_6f_by_marital_1995": by_attribute(roles.marital_status, False, in_1995),
+        "p6_1b_top10_products_by_key": product_board("DESC", "revenue_rank", by_key=True),
+        "p6_1c_top10_products_rank": product_board("DESC", "revenue_rank", method="rank"),
+        "p6_1d_top10_products_row_number": product_board(
+            "DESC", "revenue_rank", method="row_number"
+        ),
+    }
+
+
+def statements(roles, keys: dict[str, str], sanity_type: str) -> dict[str, str]:
+    """Phases 2 to 6. ``sanity_type`` is the type the checked attribute is shown in."""
     distinct = "count(DISTINCT {c})"
     nulls = "count(*) FILTER ({c} IS NULL)"
     checked = roles.sanity_column
@@ -209,7 +270,8 @@ def statements(roles) -> dict[str, str]:
         "p3_7c_dup_orders": repeated("fact_sales", "order_number"),
         "p3_7d_dup_returns": repeated("fact_returns", "return_id"),
         "p3_8_age_sanity": f"""
-          SELECT min({checked}) AS {roles.sanity_lowest}, max({checked}) AS {roles.sanity_highest},
+          SELECT CAST(min({checked}) AS {sanity_type}) AS {roles.sanity_lowest},
+                 CAST(max({checked}) AS {sanity_type}) AS {roles.sanity_highest},
                  {average(checked, 1)} AS avg_{checked},
                  {whole(f"sum(CASE WHEN {checked} < {roles.sanity_low} THEN 1 ELSE 0 END)")}
                    AS {checked}_under_{roles.sanity_low},
@@ -217,6 +279,7 @@ def statements(roles) -> dict[str, str]:
                    AS {checked}_over_{roles.sanity_high},
                  {whole(f"sum(CASE WHEN {checked} IS NULL THEN 1 ELSE 0 END)")} AS {checked}_null
           FROM dim_customer""",
+        "p3_9_sign_off": sign_off(roles, keys),
         "p4_1_sales_profile": f"""
           WITH placed AS (
             SELECT sales_amount AS x,
