@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from goldpan.functions import mean
 from goldpan.operators.ranking import order_positions
 
+# Quantile sketches are within rows / SKETCH_ACCURACY of the position asked for.
+SKETCH_ACCURACY = 100_000
+
 
 def average(column: str, digits: int = 2) -> Column:
     """Average rounded half away from zero; NULL without values."""
@@ -26,18 +31,86 @@ def variation_pct(column: str, digits: int = 2) -> Column:
     return F.expr(f"round(stddev_samp({column}) / nullif(avg({column}), 0) * 100, {digits})")
 
 
-def order_statistics(
-    df: DataFrame, column: str, fractions: dict[str, Fraction], rows: int
-) -> DataFrame:
+def order_statistics(df: DataFrame, column: str, fractions: dict[str, Fraction]) -> DataFrame:
     """One row holding, per fraction, the largest value whose percent rank is within it.
 
-    Percent rank is (rows before) / (rows - 1) over all ``rows`` rows, NULLs first, and
-    is compared exactly, in whole numbers. This is the lower order statistic, not an
-    interpolated percentile.
+    Percent rank is (rows before) / (rows - 1), NULLs first, so this is the value at
+    position floor(fraction * (rows - 1)) of the sorted rows: the lower order statistic,
+    not an interpolated percentile.
+
+    Exact without sorting the column: a quantile sketch brackets each position, the rows
+    below each bracket are counted, and only values inside brackets are put in order.
+    The driver sees counts and bracket ends.
+    """
+    kind = df.schema[column].dataType.simpleString()
+    counts = df.agg(F.count("*").alias("rows"), F.count(column).alias("present")).first()
+    rows, present = counts["rows"], counts["present"]
+    wanted = {name: math.floor(f * (rows - 1)) - (rows - present) for name, f in fractions.items()}
+    sought = sorted({position for position in wanted.values() if position >= 0})
+    if not sought:
+        empty = df.where("false")
+        return empty.selectExpr(*[f"cast(max({column}) as {kind}) as {name}" for name in wanted])
+    values = df.where(F.col(column).isNotNull()).select(column)
+    brackets = _brackets(values, column, kind, sought, present)
+    inside = " or ".join(f"{column} between {b.low} and {b.high}" for b in brackets)
+    number = "".join(f" when {column} <= {b.high} then {i}" for i, b in enumerate(brackets))
+    candidates = values.where(inside).withColumn("bracket", F.expr(f"case{number} end"))
+    most = sum(b.rows for b in brackets)
+    places = order_positions(candidates, column, most, ["bracket"])
+    below = "".join(f" when {i} then {b.below}L" for i, b in enumerate(brackets))
+    placed = places.withColumn("before", F.expr(f"rows_before + case bracket{below} end"))
+    return placed.selectExpr(
+        *[f"max({column}) filter (where before <= {at}) as {name}" for name, at in wanted.items()]
+    )
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """An interval of values, how many rows lie in it and how many below it."""
+
+    low: str
+    high: str
+    rows: int
+    below: int
+
+
+def _brackets(
+    values: DataFrame, column: str, kind: str, positions: list[int], rows: int
+) -> list[Bracket]:
+    """Disjoint intervals holding the values at the given positions of the sorted rows.
+
+    The ends are sketched twice the sketch's error away from each position. What they
+    hold is then counted, and should a position be missed all the same, one interval
+    over every value replaces them.
     """
-    before = "cast(rows_before as decimal(38,0))"
-    picked = [
-        f"max({column}) filter (where {before} * {f.denominator} <= {f.numerator * (rows - 1)}) as {name}"
-        for name, f in fractions.items()
+    margin = 2 / SKETCH_ACCURACY
+    ends = [
+        min(max(at / rows + side, 0.0), 1.0) for at in positions for side in (-margin, margin)
+    ]
+    sketch = F.percentile_approx(column, ends, SKETCH_ACCURACY)
+    points = values.agg(sketch.alias("p"), F.min(column).alias("a"), F.max(column).alias("z"))
+    found = points.first()
+    spans: list[list] = []
+    for low, high in zip(found["p"][0::2], found["p"][1::2]):
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(high, spans[-1][1])
+        else:
+            spans.append([low, high])
+    brackets = _counted(values, column, kind, spans)
+    if not all(any(b.below <= at < b.below + b.rows for b in brackets) for at in positions):
+        brackets = _counted(values, column, kind, [[found["a"], found["z"]]])
+    return brackets
+
+
+def _counted(values: DataFrame, column: str, kind: str, spans: list[list]) -> list[Bracket]:
+    ends = [[f"cast('{value}' as {kind})" for value in span] for span in spans]
+    counts = [
+        count
+        for low, high in ends
+        for count in (
+            f"count_if({column} between {low} and {high})",
+            f"count_if({column} < {low})",
+        )
     ]
-    return order_positions(df, column, rows).selectExpr(*picked)
+    found = values.selectExpr(*counts).first()
+    return [Bracket(*pair, found[2 * i], found[2 * i + 1]) for i, pair in enumerate(ends)]

@@ -25,7 +25,7 @@ def sales_profile(star: Star) -> DataFrame:
         deviation(amount).alias("stddev_order_value"),
         variation_pct(amount).alias("cv_pct"),
     )
-    quartiles = order_statistics(star.fact_sales, amount, QUARTILES, star.rows("fact_sales"))
+    quartiles = order_statistics(star.fact_sales, amount, QUARTILES)
     row = quartiles.select(F.struct(*QUARTILES)).scalar()
     return moments.withColumn("q", row).select(*moments.columns, "q.*")
 

@@ -399,7 +399,9 @@ def statements(roles, keys: dict[str, str], sanity_type: str) -> dict[str, str]:
             FROM fact_sales JOIN dim_customer USING (customer_id) GROUP BY ALL)
           SELECT * EXCLUDE (revenue), {dbl("revenue")} AS lifetime_revenue,
                  dense_rank() OVER (ORDER BY revenue DESC NULLS LAST) AS clv_rank
-          FROM g ORDER BY clv_rank, customer_id, full_name LIMIT 10""",
+          FROM g ORDER BY clv_rank, customer_id NULLS FIRST, full_name NULLS FIRST,
+            country NULLS FIRST, {roles.age_group} NULLS FIRST, {roles.gender} NULLS FIRST
+          LIMIT 10""",
         "p6_4_rank_in_category": f"""
           WITH g AS (
             SELECT category, subcategory, product_name, sum(sales_amount) AS revenue,
