@@ -46,7 +46,7 @@ def order_statistics(df: DataFrame, column: str, fractions: dict[str, Fraction])
     counts = df.agg(F.count("*").alias("rows"), F.count(column).alias("present")).first()
     rows, present = counts["rows"], counts["present"]
     wanted = {name: math.floor(f * (rows - 1)) - (rows - present) for name, f in fractions.items()}
-    sought = sorted({position for position in wanted.values() if position >= 0})
+    sought = sorted({position for position in wanted.values() if 0 <= position < present})
     if not sought:
         empty = df.where("false")
         return empty.selectExpr(*[f"cast(max({column}) as {kind}) as {name}" for name in wanted])

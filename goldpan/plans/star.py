@@ -135,6 +135,9 @@ class Star:
     fact_returns: DataFrame
     roles: Roles = field(default_factory=Roles)
     upstream: tuple[Entry, ...] = ()
+    kinds: Mapping[str, str] = field(default_factory=dict)
+    # Objects whose key cannot repeat because it is what their rows were grouped by.
+    grouped_by_key: frozenset[str] = frozenset()
     _proofs: dict[str, Proof] = field(default_factory=dict, repr=False)
 
     @property
@@ -143,7 +146,8 @@ class Star:
 
     @cached_property
     def inventory(self) -> list[Entry]:
-        return [*self.upstream, *(Entry("gold", n, "VIEW", df) for n, df in self.gold.items())]
+        gold = [Entry("gold", n, self.kinds.get(n, "VIEW"), df) for n, df in self.gold.items()]
+        return [*self.upstream, *gold]
 
     def source(self, name: str) -> DataFrame:
         """An upstream object by name."""
@@ -152,13 +156,19 @@ class Star:
     def proof(self, name: str) -> Proof:
         """What one pass over an object's keys shows; each object is read once."""
         if name not in self._proofs:
-            per_key = self.gold[name].groupBy(KEYS[name]).agg(F.count("*").alias("n"))
-            found = per_key.selectExpr(
-                "coalesce(sum(n), 0) as rows",
-                f"coalesce(max(n) filter (where {KEYS[name]} is not null), 0) as most",
-                f"count_if({KEYS[name]} is null) as unkeyed",
-            ).first()
-            self._proofs[name] = Proof(found["rows"], found["most"] <= 1, found["unkeyed"] == 0)
+            key, df = KEYS[name], self.gold[name]
+            if name in self.grouped_by_key:
+                found = df.selectExpr("count(*) as rows", f"count_if({key} is null) as unkeyed").first()
+                unique = True
+            else:
+                per_key = df.groupBy(key).agg(F.count("*").alias("n"))
+                found = per_key.selectExpr(
+                    "coalesce(sum(n), 0) as rows",
+                    f"coalesce(max(n) filter (where {key} is not null), 0) as most",
+                    f"count_if({key} is null) as unkeyed",
+                ).first()
+                unique = found["most"] <= 1
+            self._proofs[name] = Proof(found["rows"], unique, found["unkeyed"] == 0)
         return self._proofs[name]
 
     def rows(self, name: str) -> int:

@@ -8,6 +8,7 @@ of shuffling. The gold objects are views over silver and the dimension tables.
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from goldpan.functions import half_up
 from goldpan.plans.star import Entry, Roles, Star
-from goldpan.sources.lake import LAKE_SCHEMAS, read_table
+from goldpan.sources.lake import LAKE_SCHEMAS, read_table, table_bytes
 from goldpan.sources.storage import new_folder
 
 # The lake has no demographics; fixed stand-in columns take their roles.
@@ -96,6 +97,7 @@ LAKE_ROLES = Roles(
 )
 
 MONEY = "decimal(18,2)"
+BUCKET_BYTES = 1 << 30
 
 
 def geography(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -245,19 +247,33 @@ def fact_returns(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_order_lines(spark: SparkSession, lines: DataFrame, folder: str, schema: str) -> DataFrame:
-    """Write silver bucketed by order number, one bucket per shuffle partition.
+def bucket_count(spark: SparkSession, source_bytes: int) -> int:
+    """Buckets of about a gigabyte of source each, as a multiple of the shuffle partitions.
 
-    The deduplication already distributes rows by order number over that many
-    partitions, so the write needs no further shuffle.
+    Being a multiple, every bucket lies within one shuffle partition: the task that
+    deduplicates a line also writes its bucket, and no bucket is split over tasks.
     """
-    buckets = int(
-        spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-        or spark.conf.get("spark.sql.shuffle.partitions")
+    conf = spark.conf
+    partitions = int(
+        conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        or conf.get("spark.sql.shuffle.partitions")
     )
+    most = int(conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    wanted = math.ceil(source_bytes / (partitions * BUCKET_BYTES))
+    return partitions * max(1, min(wanted, most // partitions))
+
+
+def write_order_lines(
+    spark: SparkSession, lines: DataFrame, folder: str, schema: str, source_bytes: int
+) -> DataFrame:
+    """Write silver bucketed by order number.
+
+    The deduplication has already distributed rows by order number, so the write needs
+    no further shuffle.
+    """
     (
         lines.write.format("parquet")
-        .bucketBy(buckets, "order_number")
+        .bucketBy(bucket_count(spark, source_bytes), "order_number")
         .option("path", f"{folder}/order_lines")
         .saveAsTable(f"{schema}.order_lines")
     )
@@ -289,7 +305,8 @@ def build_star(spark: SparkSession, folder: str) -> Star:
     target = new_folder(spark)
     schema = "silver_" + target.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {schema} LOCATION '{target}'")
-    lines = write_order_lines(spark, order_lines(lake["lineitem"], lake["orders"]), target, schema)
+    lines = order_lines(lake["lineitem"], lake["orders"])
+    lines = write_order_lines(spark, lines, target, schema, table_bytes(spark, folder, "lineitem"))
     places = lake["nation"], lake["region"]
     dimensions = {
         "dim_customer": dim_customer(lake["customer"], *places),
@@ -305,4 +322,5 @@ def build_star(spark: SparkSession, folder: str) -> Star:
         fact_returns=fact_returns(lines),
         roles=LAKE_ROLES,
         upstream=tuple(upstream),
+        grouped_by_key=frozenset({"fact_sales", "fact_returns"}),
     )

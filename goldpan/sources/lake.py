@@ -34,6 +34,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(LAKE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def table_bytes(spark: SparkSession, folder: str, name: str) -> int:
+    """Size of a table's files; they are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    sizes = files.load(f"{folder.rstrip('/')}/{name}.parquet").selectExpr("sum(length) as n")
+    return sizes.first()["n"] or 0
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A source-system CSV extract with a header line; a malformed row stops the read."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)

@@ -1,0 +1,128 @@
+"""Physical plans: what is read, shuffled and brought together."""
+
+from __future__ import annotations
+
+import io
+import re
+from contextlib import contextmanager, redirect_stdout
+from datetime import datetime
+
+import pytest
+
+from goldpan.plans.catalog import STATEMENTS, run
+from goldpan.sources import gold
+from goldpan.sources.lake import LAKE_SCHEMAS
+from tests.conftest import LAKE
+
+
+def plan(df) -> str:
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+@contextmanager
+def settings(spark, **values):
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture(scope="module")
+def star(spark):
+    return gold.lake_star(spark, LAKE)
+
+
+NO_BROADCAST = {"spark__sql__autoBroadcastJoinThreshold": "-1"}
+
+
+def scans(text: str) -> int:
+    return text.count("FileScan")
+
+
+@pytest.mark.parametrize("key", ["p2_1_cardinality", "p3_2_nulls_customer", "p3_4_nulls_sales", "p3_5_nulls_returns"])
+def test_audits_scan_once(star, key):
+    assert scans(plan(run(key, star))) == 1
+
+
+def test_only_needed_columns_are_read(star):
+    text = plan(run("p5_2_by_category", star))
+    read = [re.findall(r"(\w+):", s) for s in re.findall(r"ReadSchema: struct<(.*?)>", text)]
+    assert sorted(read) == [["product_id", "category"], ["product_id", "quantity", "sales_amount"]]
+
+
+def test_filters_reach_the_files(star):
+    text = plan(run("p4_3a_return_profile", star))
+    assert "EqualTo(return_flag,R)" in text
+
+
+def test_facts_meet_without_a_shuffle(spark, star):
+    """Both facts are bucketed by order number: only per-product sums are exchanged."""
+    with settings(spark, **NO_BROADCAST):
+        for key in ("p3_6d_orphan_returns", "p5_5_returns_by_category", "p6_7_country_return_rate"):
+            text = plan(run(key, star))
+            assert "hashpartitioning(order_number" not in text
+            assert "hashpartitioning(fk" not in text and "hashpartitioning(pk" not in text
+
+
+def test_duplicate_orders_are_found_within_buckets(star):
+    assert "hashpartitioning" not in plan(run("p3_7c_dup_orders", star))
+
+
+def test_facts_are_summed_before_the_join(spark, star):
+    """Without a broadcast the fact side of the join is its per-key partial sums."""
+    with settings(spark, **NO_BROADCAST):
+        text = plan(run("p5_4b_by_country", star))
+    assert re.search(r"HashAggregate\(keys=\[customer_id#\d+L\], functions=\[partial_count", text)
+    exchanged = re.findall(r"Exchange hashpartitioning\(customer_id#\d+L, \d+\)", text)
+    assert len(exchanged) == 2
+
+
+def test_one_order_key_column_is_not_read_to_count_it(star):
+    text = plan(run("p5_1_by_year", star))
+    assert "order_number" not in "".join(re.findall(r"ReadSchema: .*", text))
+
+
+def test_limit_comes_before_the_ranking_window(star):
+    text = plan(run("p6_1_top10_products", star))
+    assert text.index("Window [dense_rank") < text.index("TakeOrderedAndProject(limit=10")
+
+
+def test_no_statement_joins_everything_with_everything(star):
+    for key in STATEMENTS:
+        text = plan(run(key, star))
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, key
+
+
+def test_no_python_workers(star):
+    for key in STATEMENTS:
+        text = plan(run(key, star))
+        assert "Python" not in text and "Pandas" not in text, key
+
+
+def test_a_hot_order_is_split_in_the_build(spark):
+    """A third of all lines under one order: its join partition is split by size."""
+    day = datetime(2000, 1, 1)
+    hot = [(1, 1, 1, n, 1.0, 1.0, 0.0, 0.0, "A", "O", day) for n in range(10_000)]
+    cold = [(2 + n, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "A", "O", day) for n in range(20_000)]
+    orders = [(k, 1, "O", 1.0, day, "1-URGENT") for k in range(1, 20_003)]
+    lines = spark.createDataFrame(hot + cold, LAKE_SCHEMAS["lineitem"]).repartition(8)
+    table = spark.createDataFrame(orders, LAKE_SCHEMAS["orders"]).repartition(8)
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+    ):
+        built = gold.order_lines(lines, table)
+        assert len(built.collect()) == 30_000
+        assert "skew=true" in plan(built)

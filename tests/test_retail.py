@@ -8,6 +8,7 @@ import pytest
 from goldpan.operators import ranking
 from goldpan.plans.catalog import STATEMENTS, run
 from goldpan.plans.star import KEYS, Roles, Star
+from goldpan.sources import catalog_star
 from oracle.statements import statements
 from tests.compare import assert_same
 from tests.retail import database, frames
@@ -73,3 +74,27 @@ def test_views_answer_sql(spark, stars):
     star = stars["clean"][0]
     star.register()
     assert spark.sql("SELECT count(*) AS n FROM fact_sales").first()["n"] == star.rows("fact_sales")
+
+
+def test_star_from_catalog_schemas(spark, tmp_path):
+    dfs = frames(spark, "clean")
+    for schema in ("bronze", "gold"):
+        spark.sql(f"CREATE DATABASE {schema} LOCATION '{tmp_path}/{schema}'")
+    dfs["dim_store"].write.option("path", f"{tmp_path}/bronze/raw").saveAsTable("bronze.raw_store")
+    spark.sql("CREATE VIEW gold.dim_store AS SELECT * FROM bronze.raw_store")
+    for name in set(KEYS) - {"dim_store"}:
+        dfs[name].write.option("path", f"{tmp_path}/gold/{name}").saveAsTable(f"gold.{name}")
+    star = catalog_star(spark, upstream=["bronze"])
+    found = {(r.schema_name, r.object_name): r for r in run("p1_2_object_inventory", star).collect()}
+    assert len(found) == 6
+    assert found["gold", "dim_store"].object_type == "VIEW"
+    assert found["gold", "dim_customer"].object_type == "BASE TABLE"
+    assert found["bronze", "raw_store"].row_count == found["gold", "dim_store"].row_count == 12
+    layers = {r.schema_name: r.object_count for r in run("p1_1_layer_inventory", star).collect()}
+    assert layers == {"bronze": 1, "gold": 5}
+    counts = [r.row_count for r in run("p1_4_row_counts", star).collect()]
+    assert counts == sorted((df.count() for df in dfs.values()), reverse=True)
+    described = run("p1_3_column_dictionary", star).where("object_name = 'dim_product'")
+    nulls = {r.column_name: (r.data_type, r.null_count) for r in described.collect()}
+    assert nulls["cost"] == ("decimal(18,2)", 2) and nulls["product_id"] == ("bigint", 0)
+    assert run("p5_2_by_category", star).count() == 4
