@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from goldpan.functions import mean
 from goldpan.operators.ranking import order_positions
 
 # Quantile sketches are within rows / SKETCH_ACCURACY of the position asked for.
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000
 
 
 def average(column: str, digits: int = 2) -> Column:
@@ -43,15 +44,20 @@ def order_statistics(df: DataFrame, column: str, fractions: dict[str, Fraction])
     The driver sees counts and bracket ends.
     """
     kind = df.schema[column].dataType.simpleString()
-    counts = df.agg(F.count("*").alias("rows"), F.count(column).alias("present")).first()
-    rows, present = counts["rows"], counts["present"]
+    values = df.select(column)
+    seen = _sketched(values, column, fractions.values())
+    rows, present = seen["rows"], seen["present"]
     wanted = {name: math.floor(f * (rows - 1)) - (rows - present) for name, f in fractions.items()}
     sought = sorted({position for position in wanted.values() if 0 <= position < present})
     if not sought:
-        empty = df.where("false")
+        empty = values.where("false")
         return empty.selectExpr(*[f"cast(max({column}) as {kind}) as {name}" for name in wanted])
-    values = df.where(F.col(column).isNotNull()).select(column)
-    brackets = _brackets(values, column, kind, sought, present)
+    if present < rows or rows < 2 * SKETCH_ACCURACY:
+        # NULLs, or few rows, shift positions away from the fractions sketched.
+        seen = _sketched(values, column, [Fraction(at, present) for at in sought])
+    brackets = _counted(values, column, kind, _merged(seen["ends"]))
+    if not all(any(b.below <= at < b.below + b.rows for b in brackets) for at in sought):
+        brackets = _counted(values, column, kind, [[seen["least"], seen["greatest"]]])
     inside = " or ".join(f"{column} between {b.low} and {b.high}" for b in brackets)
     number = "".join(f" when {column} <= {b.high} then {i}" for i, b in enumerate(brackets))
     candidates = values.where(inside).withColumn("bracket", F.expr(f"case{number} end"))
@@ -74,32 +80,28 @@ class Bracket:
     below: int
 
 
-def _brackets(
-    values: DataFrame, column: str, kind: str, positions: list[int], rows: int
-) -> list[Bracket]:
-    """Disjoint intervals holding the values at the given positions of the sorted rows.
+def _sketched(values: DataFrame, column: str, fractions: Iterable[Fraction]) -> Row:
+    """Counts, extremes, and two ends around each fraction, beyond the sketch's error."""
+    margin = 3 / SKETCH_ACCURACY
+    points = [min(max(float(f) + side, 0.0), 1.0) for f in fractions for side in (-margin, margin)]
+    return values.agg(
+        F.count("*").alias("rows"),
+        F.count(column).alias("present"),
+        F.min(column).alias("least"),
+        F.max(column).alias("greatest"),
+        F.percentile_approx(column, points, SKETCH_ACCURACY).alias("ends"),
+    ).first()
 
-    The ends are sketched twice the sketch's error away from each position. What they
-    hold is then counted, and should a position be missed all the same, one interval
-    over every value replaces them.
-    """
-    margin = 2 / SKETCH_ACCURACY
-    ends = [
-        min(max(at / rows + side, 0.0), 1.0) for at in positions for side in (-margin, margin)
-    ]
-    sketch = F.percentile_approx(column, ends, SKETCH_ACCURACY)
-    points = values.agg(sketch.alias("p"), F.min(column).alias("a"), F.max(column).alias("z"))
-    found = points.first()
+
+def _merged(ends: list) -> list[list]:
+    """Pairs of ends as disjoint intervals in order."""
     spans: list[list] = []
-    for low, high in zip(found["p"][0::2], found["p"][1::2]):
+    for low, high in sorted(zip(ends[0::2], ends[1::2])):
         if spans and low <= spans[-1][1]:
             spans[-1][1] = max(high, spans[-1][1])
         else:
             spans.append([low, high])
-    brackets = _counted(values, column, kind, spans)
-    if not all(any(b.below <= at < b.below + b.rows for b in brackets) for at in positions):
-        brackets = _counted(values, column, kind, [[found["a"], found["z"]]])
-    return brackets
+    return spans
 
 
 def _counted(values: DataFrame, column: str, kind: str, spans: list[list]) -> list[Bracket]:

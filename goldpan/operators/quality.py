@@ -28,10 +28,16 @@ def orphans(
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
-    """Key values that occur more than once, most frequent first."""
+    """Key values that occur more than once, most frequent first.
+
+    Only the repeated keys are shuffled for sorting. Where the table is bucketed by the
+    key, they are all that is: sorting samples its input, and without this shuffle
+    the sample would read and group the table once more.
+    """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"))
     names = [c for c in counted.columns if c != "occurrences"]
-    return counted.where(F.col("occurrences") > 1).orderBy(F.desc("occurrences"), *names)
+    repeated = counted.where(F.col("occurrences") > 1).hint("rebalance", *names)
+    return repeated.orderBy(F.desc("occurrences"), *names)
 
 
 def surplus(df: DataFrame, key: str, name: str) -> DataFrame:

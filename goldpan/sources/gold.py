@@ -248,19 +248,23 @@ def fact_returns(lines: DataFrame) -> DataFrame:
 
 
 def bucket_count(spark: SparkSession, source_bytes: int) -> int:
-    """Buckets of about a gigabyte of source each, as a multiple of the shuffle partitions.
+    """Buckets of about a gigabyte of source each, but at least one per core.
 
-    Being a multiple, every bucket lies within one shuffle partition: the task that
-    deduplicates a line also writes its bucket, and no bucket is split over tasks.
+    The number divides the shuffle partitions or is a multiple of them, so that rows of
+    one shuffle partition fall into whole buckets or into one: the tasks that
+    deduplicate lines also write them, without spreading each over all buckets.
     """
     conf = spark.conf
     partitions = int(
         conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
         or conf.get("spark.sql.shuffle.partitions")
     )
+    wanted = max(math.ceil(source_bytes / BUCKET_BYTES), spark.sparkContext.defaultParallelism)
+    if wanted <= partitions:
+        return next(n for n in range(wanted, partitions + 1) if partitions % n == 0)
     most = int(conf.get("spark.sql.sources.bucketing.maxBuckets"))
-    wanted = math.ceil(source_bytes / (partitions * BUCKET_BYTES))
-    return partitions * max(1, min(wanted, most // partitions))
+    times = min(math.ceil(wanted / partitions), most // partitions)
+    return partitions * max(1, times)
 
 
 def write_order_lines(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
@@ -12,6 +13,19 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 LAKE = "/root/testdata/sf0.001"
 
 
+@contextmanager
+def settings(spark, **values):
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (

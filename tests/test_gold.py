@@ -12,7 +12,7 @@ from goldpan.plans.star import KEYS
 from goldpan.sources import gold, read_csv
 from goldpan.sources.lake import LAKE_SCHEMAS, table_bytes
 from goldpan.sources.storage import cut_lineage, shared_folder
-from tests.conftest import LAKE
+from tests.conftest import LAKE, settings
 
 
 def line(order, number, shipped="2000-01-05", part=1, amount=10.0, quantity=3.0, flag="R", discount=0.1):
@@ -117,12 +117,17 @@ def test_keys_grouped_by_are_unique(spark):
         assert df.select(KEYS[name]).distinct().count() == df.count() == star.rows(name)
 
 
-def test_buckets_are_a_multiple_of_the_shuffle_partitions(spark):
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert gold.bucket_count(spark, 10**6) == partitions
-    assert gold.bucket_count(spark, 10 * partitions * gold.BUCKET_BYTES) == 10 * partitions
+@pytest.mark.parametrize("partitions", [4, 12, 200, 1000])
+def test_buckets_fit_the_shuffle_partitions(spark, partitions):
+    cores = spark.sparkContext.defaultParallelism
+    gigabyte = gold.BUCKET_BYTES
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
-    assert most - partitions < gold.bucket_count(spark, 10**17) <= most
+    with settings(spark, spark__sql__shuffle__partitions=str(partitions)):
+        for size in (0, 10**6, 7 * gigabyte, partitions * gigabyte, 99 * partitions * gigabyte):
+            buckets = gold.bucket_count(spark, size)
+            assert partitions % buckets == 0 or buckets % partitions == 0
+            assert buckets >= max(cores, size / gigabyte)
+        assert most - partitions < gold.bucket_count(spark, 10**17) <= most
 
 
 def test_more_buckets_than_partitions_make_one_file_each(spark, monkeypatch, tmp_path):
