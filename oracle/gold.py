@@ -87,7 +87,7 @@ UPSTREAM = {
         "pages": 3,
         "benchmark": 2,
     },
-    "silver": {"order_lines": 11},
+    "silver": {"order_lines": 20},
 }
 
 # Declared columns of the gold objects.
@@ -146,6 +146,3 @@ COLUMNS = {
         "return_amount": "decimal(18,2)",
     },
 }
-
-# Columns whose definition leaves no room for NULL.
-NEVER_NULL = {("fact_sales", "delivery_status")}
