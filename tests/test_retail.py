@@ -9,7 +9,7 @@ from goldpan.operators import ranking
 from goldpan.plans.catalog import STATEMENTS, run
 from goldpan.plans.star import KEYS, Roles, Star
 from goldpan.sources import catalog_star
-from oracle.statements import statements
+from goldpan.oracle.statements import statements
 from tests.compare import assert_same
 from tests.retail import database, frames
 
