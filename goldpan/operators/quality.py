@@ -44,7 +44,7 @@ def surplus(df: DataFrame, key: str, name: str) -> DataFrame:
     """Rows beyond the first of each key, as a ``(check_name, violations)`` row."""
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint")
-    return counted.agg(extra.alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+    return counted.agg(F.lit(name).alias("check_name"), extra.alias("violations"))
 
 
 def coverage(df: DataFrame, date: str, first: str, last: str) -> DataFrame:

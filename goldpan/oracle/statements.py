@@ -105,10 +105,10 @@ def by_attribute(column: str, average_too: bool = True, on: str = "") -> str:
 
 
 def product_board(
-    way: str, rank: str, by_key: bool = False, method: str = "dense_rank", name: str = "product_name"
+    way: str, rank: str, by_key: bool = False, method: str = "dense_rank"
 ) -> str:
     nulls = "FIRST" if way == "ASC" else "LAST"
-    by = f"{'product_id, ' if by_key else ''}{name}, category, subcategory"
+    by = f"{'product_id, ' if by_key else ''}product_name, category, subcategory"
     ties = ", ".join(f"{c} NULLS FIRST" for c in by.split(", "))
     within = f", {ties}" if method == "row_number" else ""
     return f"""
@@ -129,12 +129,13 @@ def sign_off(roles, keys: dict[str, str]) -> str:
     for table, key in keys.items():
         for column, allowed in roles.domains.get(table, {}).items():
             listed = ", ".join(f"'{v}'" for v in allowed)
-            add(f"{table}.{column} domain", f"SELECT count(*) FROM {table} WHERE {column} NOT IN ({listed})")
+            strange = f"SELECT count(*) FROM {table} WHERE {column} NOT IN ({listed})"
+            add(f"{table}.{column} domain", strange)
         for column, (low, high) in roles.ranges.get(table, {}).items():
             outside = f"{column} < '{low}' OR {column} > '{high}'"
             add(f"{table}.{column} range", f"SELECT count(*) FROM {table} WHERE {outside}")
-        groups = f"SELECT DISTINCT {key} FROM {table}"
-        add(f"{table}.{key} unique", f"(SELECT count(*) FROM {table}) - (SELECT count(*) FROM ({groups}))")
+        distinct = f"(SELECT count(*) FROM (SELECT DISTINCT {key} FROM {table}))"
+        add(f"{table}.{key} unique", f"(SELECT count(*) FROM {table}) - {distinct}")
     for fact, dim, key, name in (
         ("fact_sales", "dim_customer", "customer_id", "orphan customers"),
         ("fact_sales", "dim_product", "product_id", "orphan products"),
@@ -180,7 +181,9 @@ def variants(roles) -> dict[str, str]:
             "customer", "events", "c_custkey", "customers_without_events", "user_id"
         ),
         "p3_7e_dup_raw_lines": repeated(
-            "lineitem", "l_orderkey, l_linenumber", f"l_orderkey, {whole('l_linenumber')} AS l_linenumber"
+            "lineitem",
+            "l_orderkey, l_linenumber",
+            f"l_orderkey, {whole('l_linenumber')} AS l_linenumber",
         ),
         "p3_7f_dup_document_texts": repeated("documents", "text", "sha256(text) AS text_sha256"),
         "p5_6d_by_age_group_1995": by_attribute(roles.age_group, on=in_1995),

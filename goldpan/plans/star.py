@@ -117,9 +117,8 @@ class Entry:
 
 @dataclass(frozen=True)
 class Proof:
-    """Row count, whether no non-NULL key repeats, and whether no key is NULL."""
+    """Whether no non-NULL key repeats, and whether no key is NULL."""
 
-    rows: int
     unique: bool
     complete: bool
 
@@ -139,6 +138,7 @@ class Star:
     # Objects whose key cannot repeat because it is what their rows were grouped by.
     grouped_by_key: frozenset[str] = frozenset()
     _proofs: dict[str, Proof] = field(default_factory=dict, repr=False)
+    _rows: dict[str, int] = field(default_factory=dict, repr=False)
 
     @property
     def gold(self) -> dict[str, DataFrame]:
@@ -158,7 +158,8 @@ class Star:
         if name not in self._proofs:
             key, df = KEYS[name], self.gold[name]
             if name in self.grouped_by_key:
-                found = df.selectExpr("count(*) as rows", f"count_if({key} is null) as unkeyed").first()
+                counts = ["count(*) as rows", f"count_if({key} is null) as unkeyed"]
+                found = df.selectExpr(*counts).first()
                 unique = True
             else:
                 per_key = df.groupBy(key).agg(F.count("*").alias("n"))
@@ -168,12 +169,15 @@ class Star:
                     f"count_if({key} is null) as unkeyed",
                 ).first()
                 unique = found["most"] <= 1
-            self._proofs[name] = Proof(found["rows"], unique, found["unkeyed"] == 0)
+            self._rows[name] = found["rows"]
+            self._proofs[name] = Proof(unique, found["unkeyed"] == 0)
         return self._proofs[name]
 
     def rows(self, name: str) -> int:
         """Row count of a gold object."""
-        return self.proof(name).rows
+        if name not in self._rows:
+            self._rows[name] = self.gold[name].count()
+        return self._rows[name]
 
     def unique(self, *names: str) -> bool:
         """Whether no business key of the named objects occurs twice."""

@@ -15,7 +15,7 @@ def catalog_star(
     upstream: Sequence[str] = ("bronze", "silver"),
     roles: Roles | None = None,
 ) -> Star:
-    """The five objects of a gold schema, with everything in the schemas before it."""
+    """The five objects of a gold schema, with everything in the upstream schemas present."""
 
     def kinds(schema: str) -> dict[str, str]:
         return {
@@ -27,6 +27,7 @@ def catalog_star(
     entries = [
         Entry(schema, name, kind, spark.table(f"{schema}.{name}"))
         for schema in upstream
+        if spark.catalog.databaseExists(schema)
         for name, kind in kinds(schema).items()
     ]
     return Star(

@@ -149,6 +149,27 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert sorted(r.id for r in cut_lineage(spark.range(3)).collect()) == [0, 1, 2]
 
 
+def test_a_local_session_without_the_setting_gets_one_folder():
+    class Context:
+        master, applicationId, folder = "local[2]", "local-test", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    folder = shared_folder(Session())
+    assert shared_folder(Session()) == folder == Session.sparkContext.folder
+
+
 def test_no_folder_on_a_cluster_is_refused():
     class Context:
         master = "yarn"

@@ -34,7 +34,10 @@ def scans(text: str) -> int:
     return text.count("FileScan")
 
 
-@pytest.mark.parametrize("key", ["p2_1_cardinality", "p3_2_nulls_customer", "p3_4_nulls_sales", "p3_5_nulls_returns"])
+AUDITS = ["p2_1_cardinality", "p3_2_nulls_customer", "p3_4_nulls_sales", "p3_5_nulls_returns"]
+
+
+@pytest.mark.parametrize("key", AUDITS)
 def test_audits_scan_once(star, key):
     assert scans(plan(run(key, star))) == 1
 
