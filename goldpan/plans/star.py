@@ -125,7 +125,10 @@ class Proof:
 
 @dataclass
 class Star:
-    """Five gold objects, the inventory around them, and facts proven about their keys."""
+    """Five gold objects, the inventory around them, and facts proven about their keys.
+
+    Row counts and proofs are kept: make a new star once the tables behind it change.
+    """
 
     dim_customer: DataFrame
     dim_product: DataFrame

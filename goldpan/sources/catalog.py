@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from goldpan.plans.star import KEYS, Entry, Roles, Star
+from goldpan.sources.storage import new_folder, written
 
 
 def catalog_star(
@@ -36,3 +38,13 @@ def catalog_star(
         upstream=tuple(entries),
         kinds=kinds(gold),
     )
+
+
+def materialized(star: Star) -> Star:
+    """The star with its five objects written once below the shared folder.
+
+    Worth it where they are views over joins, which every statement would run again.
+    """
+    folder = new_folder(star.fact_sales.sparkSession)
+    stored = {name: written(df, f"{folder}/{name}") for name, df in star.gold.items()}
+    return replace(star, **stored, _proofs={}, _rows={})

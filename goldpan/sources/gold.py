@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from goldpan.functions import half_up
 from goldpan.plans.star import Entry, Roles, Star
 from goldpan.sources.lake import LAKE_SCHEMAS, read_table, table_bytes
-from goldpan.sources.storage import new_folder
+from goldpan.sources.storage import new_folder, written
 
 # The lake has no demographics; fixed stand-in columns take their roles.
 LAKE_ROLES = Roles(
@@ -302,12 +302,6 @@ def write_order_lines(
     return spark.table(f"{schema}.order_lines")
 
 
-def write_dimension(df: DataFrame, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _stars: dict[tuple[str, str], Star] = {}
 
 
@@ -335,11 +329,11 @@ def build_star(spark: SparkSession, folder: str) -> Star:
         "dim_product": dim_product(lake["part"]),
         "dim_store": dim_store(lake["supplier"], *places),
     }
-    written = {name: write_dimension(df, target, name) for name, df in dimensions.items()}
+    stored = {name: written(df, f"{target}/{name}") for name, df in dimensions.items()}
     upstream = [Entry("bronze", name, "BASE TABLE", df) for name, df in lake.items()]
     upstream.append(Entry("silver", "order_lines", "BASE TABLE", lines))
     return Star(
-        **written,
+        **stored,
         fact_sales=fact_sales(lines),
         fact_returns=fact_returns(lines),
         roles=LAKE_ROLES,

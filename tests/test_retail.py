@@ -8,7 +8,7 @@ import pytest
 from goldpan.operators import ranking
 from goldpan.plans.catalog import STATEMENTS, run
 from goldpan.plans.star import KEYS, Roles, Star
-from goldpan.sources import catalog_star
+from goldpan.sources import catalog_star, materialized
 from goldpan.oracle.statements import statements
 from tests.compare import assert_same
 from tests.retail import database, frames
@@ -98,3 +98,11 @@ def test_star_from_catalog_schemas(spark, tmp_path):
     nulls = {r.column_name: (r.data_type, r.null_count) for r in described.collect()}
     assert nulls["cost"] == ("decimal(18,2)", 2) and nulls["product_id"] == ("bigint", 0)
     assert run("p5_2_by_category", star).count() == 4
+
+
+def test_materialized_star_answers_alike(stars):
+    star, con = stars["dirty"]
+    stored = materialized(star)
+    assert stored.roles is star.roles and stored.rows("fact_sales") == star.rows("fact_sales")
+    for key in ("p5_4b_by_country", "p6_7_country_return_rate"):
+        assert_same(run(key, stored), con, SQL[key])
