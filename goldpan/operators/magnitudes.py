@@ -25,15 +25,20 @@ class Metric:
         function = "sum" if self.kind == "sum" else "count"
         return F.expr(f"{function}({inner}) as {self.name}")
 
-    def over_partials(self) -> Column:
-        total = f"sum({self.name})"
-        if self.kind != "sum":
+    def over_partials(self, copies: str = "1") -> Column:
+        """From partial groups, each standing for ``copies`` groups like it."""
+        if self.kind == "distinct":
+            return self.over_rows()
+        total = f"sum({self.name})" if copies == "1" else f"sum({self.name} * {copies})"
+        if self.kind == "count":
             total = f"coalesce({total}, 0)"
         return F.expr(f"{total} as {self.name}")
 
 
 def by_attributes(fact: DataFrame, by: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
-    """Metrics per combination of the fact's own attributes."""
+    """Metrics per combination of the fact's own attributes; the combinations if none."""
+    if not metrics:
+        return fact.select(*by).distinct()
     return fact.groupBy(*by).agg(*[m.over_rows() for m in metrics])
 
 
@@ -49,19 +54,26 @@ def by_dimension(
     """Metrics per combination of dimension attributes.
 
     ``how="inner"`` drops facts without a member; ``how="left"`` keeps members without
-    facts. ``members`` counts the members themselves. Unless a metric counts distinct
-    values, facts are summed per key before the join: one row per key is joined, however
-    the facts are spread over keys. Otherwise the rows are joined and counted after it.
+    facts. ``members`` counts the members themselves.
+
+    Facts are summed before the join, so however they are spread over keys, one row per
+    key is joined. If a metric counts distinct values it is one row per key and value,
+    and members alike in every attribute are joined once and weighted by their number:
+    a key repeated on both sides never pairs each fact with each copy of the member.
     """
-    attributes = dim.select(*dict.fromkeys([key, *by]))
-    if any(m.kind == "distinct" for m in metrics):
-        facts = fact
-        totals = [m.over_rows() for m in metrics]
+    distinct = [m for m in metrics if m.kind == "distinct"]
+    if distinct:
+        kept = [key, *[m.expression for m in distinct]]
+        facts = by_attributes(fact, kept, [m for m in metrics if m.kind != "distinct"])
+        attributes = dim.groupBy(*dict.fromkeys([key, *by])).agg(F.count("*").alias("copies"))
+        totals = [m.over_partials("copies") for m in metrics]
     else:
         facts = by_attributes(fact, [key], metrics)
+        attributes = dim.select(*dict.fromkeys([key, *by]))
         totals = [m.over_partials() for m in metrics]
     if members:
-        totals.insert(0, members.over_rows())
+        seen = Metric(members.name, "distinct", key) if distinct else members
+        totals.insert(0, seen.over_rows())
     if how == "left":
         joined = attributes.join(facts, key, "left")
     else:

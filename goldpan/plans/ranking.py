@@ -97,25 +97,45 @@ def months(star: Star) -> DataFrame:
 
 
 def countries_by_returns(star: Star) -> DataFrame:
-    """Returns per hundred orders, worst country first.
-
-    Unique returns are counted per order before the two facts meet.
-    """
+    """Returns per hundred orders, worst country first."""
     by = ["country", "continent"]
-    orders = distinct_keys(star, "fact_sales", ORDERS, "fact_returns", "dim_customer")
-    if orders.kind == "distinct":
-        returns = star.fact_returns.select("order_number", "return_id")
-        returned = Metric("total_returns", "distinct", "return_id")
-    else:
-        each = distinct_keys(star, "fact_returns", "returned")
-        returns = by_attributes(star.fact_returns, ["order_number"], [each])
-        returned = Metric("total_returns", "sum", "coalesce(returned, 0)")
-    sales = star.fact_sales.select("order_number", "customer_id")
-    fact = sales.join(returns, "order_number", "left")
-    groups = by_dimension(fact, star.dim_customer, "customer_id", by, [orders, returned])
+    unique = star.unique("fact_sales", "fact_returns", "dim_customer")
+    groups = _unique_returns(star, by) if unique else _distinct_returns(star, by)
     rated = groups.withColumn(
         "return_rate_pct", half_up("total_returns * 100", ORDERS, 2)
     ).withColumn("rate", F.expr(f"double(total_returns) / nullif(double({ORDERS}), 0)"))
     rated, rows = settled(rated, star.rows("dim_customer"))
     ranked = with_rank(rated, "rate", "return_rank", rows).drop("rate")
     return ranked.orderBy("return_rank", *by)
+
+
+def _unique_returns(star: Star, by: list[str]) -> DataFrame:
+    """Orders and returns per group; returns are counted per order before the facts meet."""
+    each = distinct_keys(star, "fact_returns", "returned")
+    returns = by_attributes(star.fact_returns, ["order_number"], [each])
+    sales = star.fact_sales.select("order_number", "customer_id")
+    fact = sales.join(returns, "order_number", "left")
+    orders = distinct_keys(star, "fact_sales", ORDERS, "dim_customer")
+    returned = Metric("total_returns", "sum", "coalesce(returned, 0)")
+    return by_dimension(fact, star.dim_customer, "customer_id", by, [orders, returned])
+
+
+def _distinct_returns(star: Star, by: list[str]) -> DataFrame:
+    """The same with keys that repeat, counting distinct orders and returns.
+
+    Orders are reduced to the groups they were placed from before they meet returns, so
+    an order number repeated in both facts meets each return once per group at most.
+    """
+    key = "customer_id"
+    homes = star.dim_customer.select(key, *by).distinct()
+    buyers = star.fact_sales.select("order_number", key).distinct()
+    placed = buyers.join(homes, key).select(*by, "order_number").distinct()
+    returns = star.fact_returns.select("order_number", "return_id").distinct()
+    returned = placed.join(returns, "order_number").select(*by, "return_id").distinct()
+    orders = placed.groupBy(*by).agg(F.count("order_number").alias(ORDERS))
+    counted = returned.groupBy(*by).agg(F.count("return_id").alias("total_returns"))
+    both = orders.withColumn("total_returns", F.lit(0).cast("bigint")).unionByName(
+        counted.withColumn(ORDERS, F.lit(0).cast("bigint"))
+    )
+    sums = [F.sum(name).alias(name) for name in (ORDERS, "total_returns")]
+    return both.groupBy(*by).agg(*sums)

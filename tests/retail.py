@@ -91,7 +91,11 @@ def give_back(rnd, number, order):
 
 
 def tables(kind: str) -> dict[str, list[tuple]]:
-    """``clean``, ``dirty`` (NULL and repeated keys, orphans, fan-out), ``one`` or ``empty``."""
+    """The five tables.
+
+    ``clean``; ``dirty``: NULL and repeated keys, orphans, fan-out; ``dirty_facts`` and
+    ``dirty_dims``: only there; ``one`` row each; ``empty``.
+    """
     if kind == "empty":
         return {name: [] for name in SCHEMAS}
     rnd = random.Random(7)
@@ -108,10 +112,14 @@ def tables(kind: str) -> dict[str, list[tuple]]:
         # A third of all returns are for one order.
         order = "SO1" if i % 3 == 0 else f"SO{rnd.randint(1, len(sold))}"
         returned.append(give_back(rnd, f"R{i}", order))
-    if kind == "dirty":
+    if kind in ("dirty", "dirty_dims"):
         people += [(None, *people[0][1:]), (2, *people[7][1:]), (3, *people[8][1:])]
         goods += [(None, *goods[0][1:]), (4, *goods[9][1:])]
         shops += [(None, *shops[0][1:]), (2, *shops[3][1:])]
+        # The busiest customer and product many times over, some copies alike.
+        people += [people[0]] * 20 + [(1, *people[5][1:])] * 10
+        goods += [goods[2]] * 15
+    if kind in ("dirty", "dirty_facts"):
         sold += [
             sale(rnd, "SO5", 4, 4, 2),
             sale(rnd, "SO5", 9, 3, 1),
@@ -126,6 +134,8 @@ def tables(kind: str) -> dict[str, list[tuple]]:
             give_back(rnd, "RX", None),
             give_back(rnd, "RY", "nowhere"),
         ]
+        sold += [sale(rnd, "SO1", rnd.randint(1, 20), 3, 1) for _ in range(40)]
+        returned += returned[:30]
     return {
         "dim_customer": people,
         "dim_product": goods,

@@ -66,6 +66,18 @@ def test_repeated_orders_do_not_repeat_lines(spark):
     assert sorted((r.order_number, r.customer_id) for r in rows) == [("1-1", 4), ("1-2", 4)]
 
 
+def test_repeated_orders_are_reduced_before_the_join(spark, tmp_path):
+    once = spark.createDataFrame([order(1), order(2)], LAKE_SCHEMAS["orders"])
+    assert gold.one_order_per_key(once, str(tmp_path)) is once
+    copies = [order(1, customer=5), order(1, customer=4), order(1, "1999-01-01", customer=9), order(2)]
+    many = spark.createDataFrame(copies * 30, LAKE_SCHEMAS["orders"])
+    reduced = gold.one_order_per_key(many, str(tmp_path))
+    assert sorted((r.o_orderkey, r.o_custkey) for r in reduced.collect()) == [(1, 9), (2, 1)]
+    lines = spark.createDataFrame([line(1, 1), line(1, 1), line(2, 1)], LAKE_SCHEMAS["lineitem"])
+    direct = sorted(map(tuple, gold.order_lines(lines, many).collect()))
+    assert sorted(map(tuple, gold.order_lines(lines, reduced).collect())) == direct
+
+
 def test_derived_sales_columns(spark):
     lines = [
         line(1, 1, "2000-01-31", amount=10.0, quantity=3.0),

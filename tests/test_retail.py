@@ -14,7 +14,7 @@ from tests.compare import assert_same
 from tests.retail import database, frames
 
 SQL = statements(Roles(), KEYS, "BIGINT")
-KINDS = ["clean", "dirty", "one", "empty"]
+KINDS = ["clean", "dirty", "dirty_facts", "dirty_dims", "one", "empty"]
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,8 @@ def test_keys_are_proven_or_not(stars):
     clean, dirty = stars["clean"][0], stars["dirty"][0]
     assert clean.unique(*KEYS)
     assert not any(dirty.unique(name) for name in KEYS)
+    assert stars["dirty_facts"][0].unique("dim_customer", "dim_product", "dim_store")
+    assert stars["dirty_dims"][0].unique("fact_sales", "fact_returns")
     assert clean.proof("fact_sales").complete and not dirty.proof("fact_sales").complete
 
 
