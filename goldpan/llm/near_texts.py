@@ -1,0 +1,250 @@
+"""Near copies of texts: SimHash candidates, each link checked by shingle similarity.
+
+Texts alike up to ASCII case and white space collapse first. Fingerprints of word shingles
+within a radius make candidate groups; within a group the shingle sets themselves decide:
+two texts are linked at a Jaccard similarity of at least ``LIKENESS``. Groups are cut into
+blocks of a bounded number of texts. Blocks are compared within themselves and with one
+leading text first; only blocks of which the texts are then not all in one class are
+compared with each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from hashlib import blake2b, sha256
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from goldpan.llm import simhash
+from goldpan.llm.common import batched, rows, stored
+from goldpan.llm.components import components
+
+WIDTH = 5
+LIKENESS = 0.8
+RADIUS = 10
+BLOCK = 128  # texts in a block, on average at most
+COLUMNS = 20_000  # shingles counted at once
+
+IDS = pa.schema(
+    [("digest", pa.binary()), ("same", pa.string()), ("fp", pa.int64())]
+)
+
+
+def shingles(text: str, width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes of a text's word shingles in order; a shorter text is one shingle."""
+    words = text.encode().lower().split()
+    width = min(width, len(words)) or 1
+    each = zip(*(words[i:] for i in range(width)))
+    hashes = {xxhash.xxh64_intdigest(b" ".join(s), simhash.SEED) for s in each}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
+    """Whether each pair of shingle sets has at least the similarity; empty sets are alike."""
+    sizes = [np.array([len(x) for x in side], np.float32) for side in (left, right)]
+    flats = [np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    both = np.intersect1d(*flats)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    spots = []
+    for flat, owner in zip(flats, owners):
+        at = np.searchsorted(both, flat)
+        hit = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == flat) if len(both) else np.zeros(len(flat), bool)
+        spots.append((owner[hit], at[hit]))
+    for low in range(0, len(both), COLUMNS):
+        marks = []
+        for (owner, at), side in zip(spots, (left, right)):
+            inside = (at >= low) & (at < low + COLUMNS)
+            mark = np.zeros((len(side), min(COLUMNS, len(both) - low)), np.float32)
+            mark[owner[inside], at[inside] - low] = 1
+            marks.append(mark)
+        shared += marks[0] @ marks[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    return shared >= np.float32(least) * union - np.float32(1e-3)
+
+
+def _ids(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, digest, same, fp) of every row: exact text, text up to form, fingerprint."""
+    chosen = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    kind = chosen.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for (body,) in rows(iter([batch]), "text"):
+                raw = body.encode()
+                form = b" ".join(raw.lower().split())
+                fp = simhash.fingerprint(raw, WIDTH)
+                found.append(
+                    (sha256(raw).digest(), blake2b(form, digest_size=16).hexdigest(), fp)
+                )
+            digests, sames, fps = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"),
+                    pa.array(digests, pa.binary()),
+                    pa.array(sames, pa.string()),
+                    pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()),
+                ],
+                names=["key", "digest", "same", "fp"],
+            )
+
+    return chosen.mapInArrow(run, f"key {kind}, digest binary, same string, fp long")
+
+
+LINKS = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+
+def _forest(names: list[str], links: np.ndarray) -> Iterator[tuple[str, str]]:
+    """Links of each name to the first of its class, by a matrix of links among them."""
+    labels = np.arange(len(names))
+    x, y = np.nonzero(links)
+    simhash._merge(labels, x, y)
+    while not np.array_equal(labels, labels[labels]):
+        labels = labels[labels]
+    return ((names[i], names[j]) for i, j in enumerate(labels) if i != j)
+
+
+def _inside(blocks: DataFrame, least: float) -> DataFrame:
+    """Links within blocks (held: [(same, set)])."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple]:
+            for (held,) in rows(batches, "held"):
+                names = [x["same"] for x in held]
+                sets = [np.array(x["set"], np.int64) for x in held]
+                yield from _forest(names, alike(sets, sets, least))
+
+        return batched(records(), LINKS, size=10_000)
+
+    return blocks.select("held").mapInArrow(run, "a string, b string")
+
+
+def _between(pairs: DataFrame, least: float) -> DataFrame:
+    """Links between the blocks of pairs (left, right: [(same, set)])."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple]:
+            for left, right in rows(batches, "left", "right"):
+                sides = [[np.array(x["set"], np.int64) for x in side] for side in (left, right)]
+                n, names = len(left), [x["same"] for x in [*left, *right]]
+                links = np.zeros((len(names), len(names)), bool)
+                links[:n, n:] = alike(*sides, least)
+                yield from _forest(names, links)
+
+        return batched(records(), LINKS, size=10_000)
+
+    return pairs.select("left", "right").mapInArrow(run, "a string, b string")
+
+
+def near_links(suspects: DataFrame, least: float = LIKENESS, block: int = BLOCK) -> DataFrame:
+    """(a, b): links among suspects (root, same, set) that join all that are alike.
+
+    Only texts of one root are compared. A class of texts costs a link each and block pair.
+    """
+    counted = suspects.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("same"), F.col("chunks"))
+    blocks = stored(
+        suspects.join(counted, "root")
+        .groupBy("root", "chunks", chunk.alias("chunk"))
+        .agg(F.sort_array(F.collect_list(F.struct("same", "set"))).alias("held"))
+    )
+    inside = _inside(blocks, least)
+    several = blocks.where("chunks > 1")
+    leaders = several.groupBy("root").agg(F.min(F.col("held")[0]).alias("leader"))
+    led = several.join(leaders, "root").select(
+        F.array("leader").alias("left"), F.col("held").alias("right")
+    )
+    first = stored(inside.unionByName(_between(led, least)).where("a <> b"))
+    if several.isEmpty():
+        return first
+    # Blocks of several texts' classes, or of another class than the block they would meet.
+    classes = components(first)
+    named = (
+        several.select("root", "chunk", F.explode("held.same").alias("same"))
+        .join(classes.withColumnRenamed("root", "class"), F.col("same") == F.col("node"), "left")
+        .withColumn("class", F.coalesce("class", "same"))
+        .groupBy("root", "chunk")
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    )
+    marked = several.join(named, ["root", "chunk"])
+    left = marked.select(
+        "root", "chunk", F.col("held").alias("left"), F.col("low").alias("left_low"), F.col("high").alias("left_high"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))).alias("other"),
+    )
+    settled = (F.col("low") == F.col("high")) & (F.col("low") == F.col("left_low")) & (F.col("low") == F.col("left_high"))
+    pairs = (
+        left.where("other < chunk")
+        .drop("chunk")
+        .withColumnRenamed("other", "chunk")
+        .join(marked.withColumnRenamed("held", "right"), ["root", "chunk"])
+        .where(~settled)
+    )
+    return first.unionByName(_between(pairs, least))
+
+
+def unique(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = LIKENESS
+) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the one of the lowest key.
+
+    A group is what links reach. NULL, empty and blank texts are one group; a NULL key comes
+    last; of rows alike in key and text one stays. All columns stay as they are.
+    """
+    ids = stored(_ids(docs, key, text))
+    row = F.struct(F.col("key").isNull().alias("unknown"), "key", "digest")
+    forms = stored(ids.groupBy("same", "fp").agg(F.min(row).alias("first")))
+    roots = components(simhash.links(forms.select("fp").distinct(), radius))
+    rooted = forms.join(roots, forms["fp"] == roots["node"], "left").select(
+        F.coalesce("root", "fp").alias("root"), "same", "first"
+    )
+    counted = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    suspects = stored(rooted.join(counted, "root").select("root", "same", "first"))
+    chosen = docs.select(
+        docs[key].alias("key"),
+        F.coalesce(docs[text], F.lit("")).alias("text"),
+    ).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    wanted = suspects.select("root", "same", F.col("first.key").alias("wkey"), F.col("first.digest").alias("wdigest"))
+    same_row = chosen["key"].eqNullSafe(wanted["wkey"]) & (chosen["digest"] == wanted["wdigest"])
+    bodies = chosen.join(wanted, same_row).select("root", "same", "text")
+    schema = pa.schema([("root", pa.int64()), ("same", pa.string()), ("set", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((root, same, shingles(body).tolist()) for root, same, body in rows(batches, "root", "same", "text"))
+        return batched(found, schema, limit=1 << 20)
+
+    # Rows alike in key and text bring the same set: one of them is enough.
+    sets = bodies.mapInArrow(run, "root long, same string, set array<long>").dropDuplicates(["same"])
+    classes = components(near_links(sets, least))
+    grouped = suspects.join(classes.withColumnRenamed("root", "class"), F.col("same") == F.col("node"), "left").select(
+        F.coalesce("class", "same").alias("class"), "first"
+    )
+    kept = grouped.groupBy("class").agg(F.min("first").alias("first"))
+    alone = rooted.join(counted, "root", "left_anti").select("first")
+    staying = stored(
+        kept.select("first").unionByName(alone).select("first.key", "first.digest")
+    )
+    return _rows(docs, staying, ids, key, text)
+
+
+def _rows(docs: DataFrame, staying: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that stay, each once."""
+    names = docs.columns
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    marked = docs.withColumns({"_key": docs[key], "_digest": digest})
+
+    def among(some: DataFrame) -> DataFrame:
+        same = marked["_key"].eqNullSafe(some["key"]) & (marked["_digest"] == some["digest"])
+        return marked.join(some, same, "left_semi")
+
+    repeated = ids.groupBy("key", "digest").count().where("count > 1").select("key", "digest")
+    both = staying["key"].eqNullSafe(repeated["key"]) & (staying["digest"] == repeated["digest"])
+    if repeated.isEmpty():
+        return among(staying).select(*names)
+    once = among(staying.join(repeated, both, "left_anti"))
+    more = among(staying.join(repeated, both, "left_semi")).dropDuplicates(["_key", "_digest"])
+    return once.unionByName(more).select(*names)

@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from goldpan.llm import (
     byte_bpe,
+    host_paths,
     jump_shards,
     line_quality,
+    packing,
+    secret_scans,
     simhash,
     token_files,
+    url_history,
+    url_lists,
     weighted_sampling,
 )
 from goldpan.llm.common import stored, table
@@ -24,6 +29,20 @@ RADIUS = 3
 END_ID = 2
 
 
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents by words, with their sequences."""
+    items = packing.counted(table(spark, folder, "documents"))
+    return packing.pack(items, "doc_id", "n_tokens").select(
+        F.col("key").alias("doc_id"),
+        "piece",
+        "start",
+        F.col("length").alias("n_tokens"),
+        "bin",
+        "bin_size",
+        "offset",
+    )
+
+
 def op2_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
     found = weighted_sampling.against_next(table(spark, folder, "documents"))
     return found.withColumnRenamed("key", "doc_id")
@@ -42,6 +61,21 @@ def op3_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page under the lists of its fetch date."""
+    pages = table(spark, folder, "pages")
+    return url_lists.filtered(url_history.captures(pages), url_history.history(pages))
+
+
+def op5_host_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return host_paths.extract(table(spark, folder, "pages")).select(
+        F.col("key").alias("page_id"),
+        "url",
+        "text",
+        F.char_length("text").cast("long").alias("n_chars"),
+    )
+
+
 def op6_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = line_quality.apply_rules(table(spark, folder, "documents"), with_text=False)
     return found.select(
@@ -85,21 +119,42 @@ def op9_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(manifest).withColumnRenamed("key", "doc_id")
 
 
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate in every document; secrets themselves are returned as digests."""
+    docs = table(spark, folder, "documents")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    forest = secret_scans.trained(spark, docs, vocabulary)
+    return secret_scans.findings(docs, forest, vocabulary).select(
+        F.col("key").alias("doc_id"),
+        "start",
+        "stop",
+        "kind",
+        F.sha2("secret", 256).alias("secret_sha256"),
+        F.round("probability", 6).alias("probability"),
+        "confirmed",
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_weighted_sampling": op2_weighted_sampling,
         "op3_jump_shards": op3_jump_shards,
+        "op4_url_lists": op4_url_lists,
+        "op5_host_paths": op5_host_paths,
         "op6_line_quality": op6_line_quality,
         "op7_simhash": op7_simhash,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_token_planes": op9_token_planes,
+        "op10_secret_scans": op10_secret_scans,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where SQL has the method; the others are tested against brute force."""
+    return {"op4_url_lists": url_history.SQL}
