@@ -1,8 +1,8 @@
 """Near copies of texts: SimHash candidates, each link checked by shingle similarity.
 
-Texts alike up to ASCII case and white space collapse first. Fingerprints of word shingles
-within a radius make candidate groups; within a group the shingle sets themselves decide:
-two texts are linked at a Jaccard similarity of at least ``LIKENESS``. Groups are cut into
+Texts alike up to ASCII case and white space collapse first. Fingerprints of short word
+shingles within a radius make candidate groups; within a group sets of longer shingles
+decide: two texts are linked at a Jaccard similarity of at least ``LIKENESS``. Groups are cut into
 blocks of a bounded number of texts. Blocks are compared within themselves and with one
 leading text first; only blocks of which the texts are then not all in one class are
 compared with each other.
@@ -23,8 +23,11 @@ from goldpan.llm import simhash
 from goldpan.llm.common import batched, rows, stored
 from goldpan.llm.components import components
 
-WIDTH = 5
+WIDTH = 5  # words of the shingles that decide
 LIKENESS = 0.8
+# Candidates: a changed word changes fewer of the shorter shingles, so that fingerprints of
+# texts at the bound differ by 6 bits on average, and by more than 10 in about one of 40.
+CANDIDATE_WIDTH = 2
 RADIUS = 10
 BLOCK = 128  # texts in a block, on average at most
 COLUMNS = 20_000  # shingles counted at once
@@ -78,7 +81,7 @@ def _ids(docs: DataFrame, key: str, text: str) -> DataFrame:
             for (body,) in rows(iter([batch]), "text"):
                 raw = body.encode()
                 form = b" ".join(raw.lower().split())
-                fp = simhash.fingerprint(raw, WIDTH)
+                fp = simhash.fingerprint(raw, CANDIDATE_WIDTH)
                 found.append(
                     (sha256(raw).digest(), blake2b(form, digest_size=16).hexdigest(), fp)
                 )

@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from goldpan.llm import jump_shards as js
+
+
+def one(key: int, shards: int) -> int:
+    """The published definition, one key at a time."""
+    here, target = -1, 0
+    key &= (1 << 64) - 1
+    while target < shards:
+        here = target
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        target = int((here + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return here
+
+
+def test_jump_equals_the_definition():
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 500)
+    for shards in (1, 2, 40, 41, 1000):
+        assert js.jump(keys, shards).tolist() == [one(int(k), shards) for k in keys]
+
+
+def test_one_more_shard_moves_rows_only_into_itself():
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 20_000)
+    before, after = js.jump(keys, 40), js.jump(keys, 41)
+    moved = before != after
+    assert set(after[moved]) == {40} and abs(moved.mean() - 1 / 41) < 0.01
+    assert np.bincount(before).std() / np.bincount(before).mean() < 0.1
+
+
+def slots_are_gapless(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    return all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_slots_and_sizes(documents):
+    rows = js.slots(js.assign(documents, 40)).collect()
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert len(rows) == len(texts) and slots_are_gapless(rows)
+    for r in rows:
+        raw = texts[r["key"]].encode()
+        assert r["size"] == len(raw) + 16 and r["text_crc32"] == zlib.crc32(raw)
+    for shard in {r["shard"] for r in rows}:
+        keys = [r["key"] for r in sorted(rows, key=lambda r: r["slot"]) if r["shard"] == shard]
+        assert keys == sorted(keys)
+
+
+def test_awkward_hot_and_empty(spark, awkward, nothing):
+    rows = js.slots(js.assign(awkward, 3)).collect()
+    assert len(rows) == awkward.count() and slots_are_gapless(rows)
+    assert {r["size"] for r in rows if r["key"] in (3, 4)} == {16}
+    assert js.slots(js.assign(nothing, 3)).count() == 0
+    hot = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
+    rows = js.slots(js.assign(hot, 40)).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(5000))
+
+
+def test_store_keeps_all_columns(spark, documents, tmp_path):
+    js.store(documents, f"{tmp_path}/shards", 5)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.select(documents.columns).exceptAll(documents).isEmpty()
+    assert back.count() == documents.count()
+    wrong = back.where(F.col("shard") != js.shard_of(F.col("doc_id"), 5))
+    assert wrong.isEmpty()

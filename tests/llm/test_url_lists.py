@@ -1,0 +1,67 @@
+from __future__ import annotations
+
+from datetime import date
+
+import duckdb
+
+from goldpan.llm import queries, url_history, url_lists
+
+
+def day(n):
+    return date(2024, 1, n)
+
+
+def test_intervals_and_as_of(spark):
+    events = spark.createDataFrame(
+        [
+            ("bad.com", "malware", day(2), True),
+            ("bad.com", "malware", day(5), False),
+            ("bad.com", "malware", day(5), True),  # listing wins on a day
+            ("bad.com", "malware", day(9), False),
+            ("a.bad.com/x", "allow", day(1), True),
+            ("1.2.3.4", "adult", day(1), True),
+            ("good.com", "adult", day(3), False),
+            (None, "adult", day(3), True),
+            ("n.com", None, day(3), True),
+        ],
+        "entry string, category string, on_date date, listed boolean",
+    )
+    spans = {tuple(r) for r in url_lists.intervals(events).collect()}
+    assert ("bad.com", "malware", day(2), day(5)) in spans
+    assert ("bad.com", "malware", day(5), day(9)) in spans and len(spans) == 4
+    cases = [
+        ("http://bad.com/", day(1), False, 0, None),
+        ("http://bad.com/", day(2), True, 1, "bad.com"),
+        ("HTTP://u:p@A.BAD.com:80/x/y?q#f", day(4), False, 2, "a.bad.com/x"),
+        ("http://a.bad.com/xx/y", day(4), True, 1, "bad.com"),
+        ("http://notbad.com/", day(4), False, 0, None),
+        ("http://bad.com/", day(9), False, 0, None),
+        ("ftp://1.2.3.4/x", day(4), True, 1, "1.2.3.4"),
+        ("http://2.3.4/x", day(4), False, 0, None),
+        ("bad.com", day(4), False, 0, None),
+        ("", day(4), False, 0, None),
+        (None, day(4), False, 0, None),
+        ("http://bad.com/", None, False, 0, None),
+        ("http://bad.com/" + "p/" * 3000, day(4), True, 1, "bad.com"),
+    ]
+    rows = [(u, d, "clash", i) for i, (u, d, *_) in enumerate(cases)] * 2
+    seen = spark.createDataFrame(rows, "url string, fetched_on date, entry string, i int")
+    got = url_lists.filtered(seen, events).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        _, _, blocked, active, entry = cases[r["i"]]
+        assert (r["blocked"], r["n_active"], r["entry"]) == (blocked, active, entry), cases[r["i"]]
+    assert url_lists.filtered(seen.limit(0), events).count() == 0
+    assert not any(r["blocked"] for r in url_lists.filtered(seen, events.limit(0)).collect())
+
+
+def test_query_equals_sql_and_runs_no_python(spark, lake):
+    found = queries.op4_url_lists(spark, lake)
+    plan = found._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{lake}/pages.parquet'")
+    sql = con.sql(url_history.SQL)
+    assert sorted(found.columns) == sorted(sql.columns)
+    want = {tuple(map(str, r)) for r in sql.select(*found.columns).fetchall()}
+    assert {tuple(map(str, r)) for r in found.collect()} == want
