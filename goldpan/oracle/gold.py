@@ -9,44 +9,58 @@ dim_customer AS (
               WHEN c.c_acctbal >= 5000 THEN '5000-7499'
               WHEN c.c_acctbal >= 2500 THEN '2500-4999'
               WHEN c.c_acctbal >= 0 THEN '0-2499' END AS balance_band,
-         CASE WHEN c.c_acctbal < 0 THEN 'Debtor' ELSE 'Creditor' END AS account_status
-  FROM customer c, nation n, region r
-  WHERE c.c_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey
+         CASE WHEN c.c_acctbal < 0 THEN 'Debtor'
+              WHEN c.c_acctbal >= 0 THEN 'Creditor' END AS account_status
+  FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 dim_product AS (
   SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
          p_brand AS subcategory,
-         CASE WHEN p_size <= 15 THEN 'S' WHEN p_size <= 35 THEN 'M' ELSE 'L' END AS product_line,
-         CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END AS maintenance_required,
+         CASE WHEN p_size <= 15 THEN 'S' WHEN p_size <= 35 THEN 'M'
+              WHEN p_size > 35 THEN 'L' END AS product_line,
+         CASE WHEN p_size > 25 THEN 'Yes' WHEN p_size <= 25 THEN 'No' END AS maintenance_required,
          CAST(p_retailprice AS DECIMAL(18,2)) AS cost
   FROM part
 ),
 dim_store AS (
   SELECT s.s_suppkey AS store_id, s.s_name AS store_name,
          CASE WHEN s.s_acctbal < 0 THEN 'Tier D' WHEN s.s_acctbal < 3000 THEN 'Tier C'
-              WHEN s.s_acctbal < 6500 THEN 'Tier B' ELSE 'Tier A' END AS store_type,
+              WHEN s.s_acctbal < 6500 THEN 'Tier B' WHEN s.s_acctbal >= 6500 THEN 'Tier A' END AS store_type,
          r.r_name AS region
-  FROM supplier s, nation n, region r
-  WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey
+  FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+distinct_lines AS (
+  SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CAST(l_quantity AS DECIMAL(24,6)) AS quantity,
+         CAST(l_extendedprice AS DECIMAL(24,6)) AS extended,
+         CAST(l_discount AS DECIMAL(24,6)) AS discounted, CAST(l_tax AS DECIMAL(24,6)) AS tax,
+         l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS shipped
+  FROM lineitem
+),
+distinct_orders AS (
+  SELECT DISTINCT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS ordered, o_orderpriority
+  FROM orders
 ),
 order_lines AS (
-  SELECT l.*, o.o_custkey, o.o_orderpriority,
-         CAST(o.o_orderdate AS DATE) AS ordered, CAST(l.l_shipdate AS DATE) AS shipped,
-         CAST(l.l_extendedprice AS DECIMAL(18,2)) AS amount,
-         CAST(l.l_quantity AS BIGINT) AS units,
-         CAST(l.l_discount AS DECIMAL(4,2)) AS reduction,
-         CAST(o.o_orderdate AS DATE)
-           + CAST(15 * CAST(o.o_orderpriority[1] AS INTEGER) AS INTEGER) AS due
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  QUALIFY row_number() OVER (
-    PARTITION BY l.l_orderkey, l.l_linenumber
-    ORDER BY l.l_shipdate NULLS FIRST, l.l_partkey NULLS FIRST, l.l_suppkey NULLS FIRST,
-             l.l_quantity NULLS FIRST, l.l_extendedprice NULLS FIRST, l.l_discount NULLS FIRST,
-             l.l_tax NULLS FIRST, l.l_returnflag NULLS FIRST, l.l_linestatus NULLS FIRST,
-             o.o_orderdate NULLS FIRST, o.o_custkey NULLS FIRST, o.o_orderpriority NULLS FIRST) = 1
+  SELECT l.*, o.*,
+         l_orderkey || '-' || l_linenumber || '-' || md5(
+           coalesce(l_orderkey::VARCHAR, '') || '|' || coalesce(l_linenumber::VARCHAR, '') || '|' ||
+           coalesce(l_partkey::VARCHAR, '') || '|' || coalesce(l_suppkey::VARCHAR, '') || '|' ||
+           coalesce(quantity::VARCHAR, '') || '|' || coalesce(extended::VARCHAR, '') || '|' ||
+           coalesce(discounted::VARCHAR, '') || '|' || coalesce(tax::VARCHAR, '') || '|' ||
+           coalesce(l_returnflag, '') || '|' || coalesce(l_linestatus, '') || '|' ||
+           coalesce(shipped::VARCHAR, '') || '|' || coalesce(o_orderkey::VARCHAR, '') || '|' ||
+           coalesce(o_custkey::VARCHAR, '') || '|' || coalesce(ordered::VARCHAR, '') || '|' ||
+           coalesce(o_orderpriority, '')) AS number,
+         CAST(extended AS DECIMAL(18,2)) AS amount, CAST(quantity AS BIGINT) AS units,
+         CAST(discounted AS DECIMAL(4,2)) AS reduction,
+         ordered + CAST(15 * TRY_CAST(o_orderpriority[1] AS INTEGER) AS INTEGER) AS due
+  FROM distinct_lines l LEFT JOIN distinct_orders o ON l.l_orderkey = o.o_orderkey
 ),
 fact_sales AS (
-  SELECT l_orderkey || '-' || l_linenumber AS order_number, l_partkey AS product_id,
+  SELECT number AS order_number, l_partkey AS product_id,
          o_custkey AS customer_id, l_suppkey AS store_id, ordered AS order_date,
          shipped AS shipping_date, due AS due_date, units AS quantity,
          amount AS sales_amount, reduction AS discount,
@@ -61,8 +75,7 @@ fact_sales AS (
   FROM order_lines
 ),
 fact_returns AS (
-  SELECT 'R-' || l_orderkey || '-' || l_linenumber AS return_id,
-         l_orderkey || '-' || l_linenumber AS order_number, shipped AS return_date,
+  SELECT 'R-' || number AS return_id, number AS order_number, shipped AS return_date,
          year(shipped) AS return_year, month(shipped) AS return_month,
          o_orderpriority AS return_reason,
          CAST(round(amount * (1 - reduction), 2) AS DECIMAL(18,2)) AS return_amount

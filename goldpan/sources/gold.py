@@ -1,9 +1,10 @@
 """The gold star schema over the lake's order tables.
 
-Silver ``order_lines`` is the one expensive step (join and deduplication of the two
-largest tables, and the columns derived from them). It is written once per session and
+Silver ``order_lines`` is the one expensive step (join of the two largest tables, exact
+copies collapsed, and the columns derived from them). It is written once per session and
 source folder, bucketed by order number, so that what matches facts by that key later
-reads co-located buckets instead of shuffling. The facts are selections from it, the
+reads co-located buckets instead of shuffling. No row of the lake is lost on the way: only
+rows equal in every column count once, and what lacks a partner keeps NULLs. The facts are selections from it, the
 dimensions are written as they are.
 """
 
@@ -102,7 +103,7 @@ BUCKET_BYTES = 1 << 30
 
 
 def geography(nation: DataFrame, region: DataFrame) -> DataFrame:
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select(
         "n_nationkey", "n_name", "r_name"
     )
 
@@ -117,7 +118,7 @@ def dim_customer(customer: DataFrame, nation: DataFrame, region: DataFrame) -> D
         .when(balance < 7500, "5000-7499")
         .otherwise("7500+")
     )
-    return customer.join(places, customer.c_nationkey == places.n_nationkey).select(
+    return customer.join(places, customer.c_nationkey == places.n_nationkey, "left").select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("full_name"),
         F.col("n_name").alias("country"),
@@ -125,7 +126,7 @@ def dim_customer(customer: DataFrame, nation: DataFrame, region: DataFrame) -> D
         F.col("c_mktsegment").alias("segment"),
         balance.cast(MONEY).alias("balance"),
         band.alias("balance_band"),
-        F.when(balance < 0, "Debtor").otherwise("Creditor").alias("account_status"),
+        F.when(balance < 0, "Debtor").when(balance >= 0, "Creditor").alias("account_status"),
     )
 
 
@@ -136,8 +137,8 @@ def dim_product(part: DataFrame) -> DataFrame:
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("subcategory"),
-        F.when(size <= 15, "S").when(size <= 35, "M").otherwise("L").alias("product_line"),
-        F.when(size > 25, "Yes").otherwise("No").alias("maintenance_required"),
+        F.when(size <= 15, "S").when(size <= 35, "M").when(size > 35, "L").alias("product_line"),
+        F.when(size > 25, "Yes").when(size <= 25, "No").alias("maintenance_required"),
         F.col("p_retailprice").cast(MONEY).alias("cost"),
     )
 
@@ -149,9 +150,9 @@ def dim_store(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> Data
         F.when(balance < 0, "Tier D")
         .when(balance < 3000, "Tier C")
         .when(balance < 6500, "Tier B")
-        .otherwise("Tier A")
+        .when(balance >= 6500, "Tier A")
     )
-    return supplier.join(places, supplier.s_nationkey == places.n_nationkey).select(
+    return supplier.join(places, supplier.s_nationkey == places.n_nationkey, "left").select(
         F.col("s_suppkey").alias("store_id"),
         F.col("s_name").alias("store_name"),
         tier.alias("store_type"),
@@ -159,66 +160,64 @@ def dim_store(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> Data
     )
 
 
-def order_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per order line: the first of its copies by every remaining column.
-
-    The smallest struct per key is a partial aggregate, so however many copies one
-    line has, each task shuffles at most one of them. Lines without a number are
-    kept apart by order: their order number is NULL and would merge otherwise.
-    """
-    rest = [
-        "l_shipdate",
-        "l_partkey",
-        "l_suppkey",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_tax",
-        "l_returnflag",
-        "l_linestatus",
-        "o_orderdate",
-        "o_custkey",
-        "o_orderpriority",
-    ]
-    number = F.concat(
-        F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")
-    )
-    joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-    first = (
-        joined.withColumn("order_number", number)
-        .withColumn("unnumbered", F.when(F.col("l_linenumber").isNull(), F.col("l_orderkey")))
-        .groupBy("order_number", "unnumbered")
-        .agg(F.min(F.struct(*rest)).alias("line"))
-    )
-    return first.select(
-        "order_number",
-        F.col("line.l_partkey").alias("product_id"),
-        F.col("line.o_custkey").alias("customer_id"),
-        F.col("line.l_suppkey").alias("store_id"),
-        F.col("line.o_orderdate").cast("date").alias("order_date"),
-        F.col("line.l_shipdate").cast("date").alias("shipping_date"),
-        F.col("line.o_orderpriority").alias("order_priority"),
-        F.col("line.l_returnflag").alias("return_flag"),
-        F.col("line.l_quantity").cast("bigint").alias("quantity"),
-        F.col("line.l_extendedprice").cast(MONEY).alias("sales_amount"),
-        F.col("line.l_discount").cast("decimal(4,2)").alias("discount"),
-    )
+# Measures of a line as exact decimals: what floating point columns hold up to a millionth.
+EXACT = "decimal(24,6)"
+LINE = {
+    "l_orderkey": "bigint",
+    "l_linenumber": "int",
+    "l_partkey": "bigint",
+    "l_suppkey": "bigint",
+    "l_quantity": EXACT,
+    "l_extendedprice": EXACT,
+    "l_discount": EXACT,
+    "l_tax": EXACT,
+    "l_returnflag": "string",
+    "l_linestatus": "string",
+    "l_shipdate": "date",
+}
+ORDER = {
+    "o_orderkey": "bigint",
+    "o_custkey": "bigint",
+    "o_orderdate": "date",
+    "o_orderpriority": "string",
+}
+
+
+def distinct_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows equal in every given column once: a hash aggregate that starts before the shuffle."""
+    return df.select(*(F.col(name).cast(kind) for name, kind in columns.items())).distinct()
 
 
-def one_order_per_key(orders: DataFrame, folder: str) -> DataFrame:
-    """Orders whose key occurs once: as they are, or the first copies, written.
+def order_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Every different order line, with what its order says; lines without an order too.
 
-    Repeated orders would pair with every copy of their lines. The copies are written
-    so that the join reads them from plain files: its sides then both sit directly on
-    an exchange, and a hot order can still be split.
+    Exact copies count once, however many there are: each task sends one. Lines that
+    share order and line number but differ elsewhere are sales of their own, and so is a
+    line under each of the different orders that claim one key. The order number ends
+    in a digest of all columns, which makes it unique; it is NULL where the order or the
+    line number is. A quantity that is not whole stops the build.
     """
-    key = "o_orderkey"
-    repeated = orders.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 and {key} is not null")
-    if repeated.isEmpty():
-        return orders
-    rest = ["o_orderdate", "o_custkey", "o_orderpriority"]
-    first = orders.groupBy(key).agg(F.min(F.struct(*rest)).alias("first")).select(key, "first.*")
-    return written(first, f"{folder}/orders")
+    lines = distinct_rows(lineitem, LINE)
+    once = distinct_rows(orders, ORDER)
+    joined = lines.join(once, lines.l_orderkey == once.o_orderkey, "left")
+    texts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*LINE, *ORDER])
+    parts = [F.col("l_orderkey"), F.col("l_linenumber"), F.md5(F.concat_ws("|", *texts))]
+    number = F.concat(*[x for part in parts for x in (part.cast("string"), F.lit("-"))][:-1])
+    whole = F.col("l_quantity").cast("bigint")
+    broken = F.raise_error(F.concat(F.lit("l_quantity is not whole: "), F.col("l_quantity")))
+    return joined.select(
+        number.alias("order_number"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("l_suppkey").alias("store_id"),
+        F.col("o_orderdate").alias("order_date"),
+        F.col("l_shipdate").alias("shipping_date"),
+        F.col("o_orderpriority").alias("order_priority"),
+        F.col("l_returnflag").alias("return_flag"),
+        F.when(F.col("l_quantity") != whole, broken.cast("bigint")).otherwise(whole).alias("quantity"),
+        F.col("l_extendedprice").cast(MONEY).alias("sales_amount"),
+        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
+    )
 
 
 def with_derived(lines: DataFrame) -> DataFrame:
@@ -279,18 +278,23 @@ def fact_returns(lines: DataFrame) -> DataFrame:
     )
 
 
+def _partitions(spark: SparkSession) -> int:
+    conf = spark.conf
+    return int(
+        conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        or conf.get("spark.sql.shuffle.partitions")
+    )
+
+
 def bucket_count(spark: SparkSession, source_bytes: int) -> int:
     """Buckets of about a gigabyte of source each, but at least one per core.
 
     The number divides the shuffle partitions or is a multiple of them, so that rows of
-    one shuffle partition fall into whole buckets or into one: the tasks that
-    deduplicate lines also write them, without spreading each over all buckets.
+    one shuffle partition fall into whole buckets or into one: no task spreads its rows
+    over all buckets.
     """
     conf = spark.conf
-    partitions = int(
-        conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-        or conf.get("spark.sql.shuffle.partitions")
-    )
+    partitions = _partitions(spark)
     wanted = max(math.ceil(source_bytes / BUCKET_BYTES), spark.sparkContext.defaultParallelism)
     if wanted <= partitions:
         return next(n for n in range(wanted, partitions + 1) if partitions % n == 0)
@@ -304,12 +308,13 @@ def write_order_lines(
 ) -> DataFrame:
     """Write silver bucketed by order number, returned lines together in each bucket.
 
-    The deduplication has already distributed rows by order number, so the write needs
-    no further shuffle. Sorted by return flag, a bucket's file statistics let a scan of
-    the returns skip the rest.
+    Rows are dealt out by order number first, so that each task writes whole buckets or
+    one. Sorted by return flag, a bucket's file statistics let a scan of the returns
+    skip the rest.
     """
     (
-        lines.write.format("parquet")
+        lines.repartition(_partitions(spark), "order_number")
+        .write.format("parquet")
         .bucketBy(bucket_count(spark, source_bytes), "order_number")
         .sortBy("return_flag")
         .option("path", f"{folder}/order_lines")
@@ -337,8 +342,7 @@ def build_star(spark: SparkSession, folder: str) -> Star:
     target = new_folder(spark)
     schema = "silver_" + target.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {schema} LOCATION '{target}'")
-    orders = one_order_per_key(lake["orders"], target)
-    lines = with_derived(order_lines(lake["lineitem"], orders))
+    lines = with_derived(order_lines(lake["lineitem"], lake["orders"]))
     lines = write_order_lines(spark, lines, target, schema, table_bytes(spark, folder, "lineitem"))
     places = lake["nation"], lake["region"]
     dimensions = {
