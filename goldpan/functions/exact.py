@@ -29,16 +29,21 @@ def half_up(num: str, den: str, digits: int, integer: str = WIDE) -> Column:
     return F.expr(f"cast(cast({sign} * {size} as decimal(20,0)) * {unit} as decimal(20,{digits}))")
 
 
-def cents(money: str) -> str:
-    """A number with at most two decimals, as a whole number of hundredths."""
-    return f"cast(({money}) * 100 as {WIDE})"
+# Decimals kept of money: enough for any usual money type, with room for totals to 10^22.
+DECIMALS = 9
+UNIT = 10**DECIMALS
+
+
+def units(money: str) -> str:
+    """A number of any type with at most nine decimals, as a whole number of billionths."""
+    return f"cast(cast(({money}) as decimal(38,{DECIMALS})) * {UNIT}BD as {WIDE})"
 
 
 def mean(total: str, count: str, digits: int = 2) -> Column:
-    """Average from a sum (at most two decimals) and a row count."""
-    return half_up(cents(total), f"({count}) * 100", digits)
+    """Average from a sum and a row count."""
+    return half_up(units(total), f"cast(({count}) as {WIDE}) * {UNIT}BD", digits)
 
 
 def percent(part: str, whole: str, digits: int = 2) -> Column:
-    """``part`` as a percentage of ``whole``, both with at most two decimals."""
-    return half_up(f"{cents(part)} * 100", cents(whole), digits)
+    """``part`` as a percentage of ``whole``."""
+    return half_up(f"{units(part)} * 100", units(whole), digits)

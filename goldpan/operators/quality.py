@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,13 +40,6 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return repeated.orderBy(F.desc("occurrences"), *names)
 
 
-def surplus(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows beyond the first of each key, as a ``(check_name, violations)`` row."""
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint")
-    return counted.agg(F.lit(name).alias("check_name"), extra.alias("violations"))
-
-
 def coverage(df: DataFrame, date: str, first: str, last: str) -> DataFrame:
     """First and last date, months spanned, and how many years and months occur.
 
@@ -69,13 +62,65 @@ def flag_count(condition: str) -> Column:
     return F.expr(f"sum(case when {condition} then 1 else 0 end)")
 
 
-def violations(df: DataFrame, checks: dict[str, str]) -> DataFrame:
-    """Rows breaking each rule, as ``(check_name, violations)``, from one scan."""
-    wide = [f"count_if({rule}) as v{i}" for i, rule in enumerate(checks.values())]
-    rows = [
-        f"struct('{name}' as check_name, v{i} as violations)" for i, name in enumerate(checks)
+def quoted(column: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def not_among(column: str, allowed: Sequence) -> Column:
+    """Whether a value is missing or none of those allowed."""
+    value = quoted(column)
+    return value.isNull() | ~value.isin(list(allowed))
+
+
+def not_between(column: str, low: object, high: object) -> Column:
+    """Whether a value is missing or outside of the bounds, which are allowed themselves."""
+    value = quoted(column)
+    return value.isNull() | (value < F.lit(low)) | (value > F.lit(high))
+
+
+def violations(
+    df: DataFrame, rules: Mapping[str, Column], key: str, label: str, unique: bool = False
+) -> DataFrame:
+    """Rows breaking each rule, keys that repeat and rows without one, from one scan.
+
+    Rows are ``(check_name, violations)``. Keys are counted unless ``unique`` says that
+    they are proven not to repeat.
+    """
+    flags = [F.count_if(rule).alias(f"v{i}") for i, rule in enumerate(rules.values())]
+    names = [*rules, f"{label} unique", f"{label} present"]
+    own = quoted(key)
+    if unique:
+        missing = F.count_if(own.isNull()).alias("missing")
+        wide = df.agg(*flags, F.lit(0).cast("bigint").alias("surplus"), missing)
+    else:
+        per_key = df.groupBy(own.alias("key_")).agg(*flags, F.count(F.lit(1)).alias("n_"))
+        keyed = F.col("key_").isNotNull()
+        sums = [F.sum(f"v{i}").alias(f"v{i}") for i in range(len(flags))]
+        surplus = F.sum(F.when(keyed, F.col("n_") - 1)).alias("surplus")
+        wide = per_key.agg(*sums, surplus, F.sum(F.when(~keyed, F.col("n_"))).alias("missing"))
+    found = [F.coalesce(quoted(c), F.lit(0)).cast("bigint") for c in wide.columns]
+    pairs = [
+        F.struct(F.lit(name).alias("check_name"), value.alias("violations"))
+        for name, value in zip(names, found, strict=True)
+    ]
+    return wide.select(F.inline(F.array(*pairs)))
+
+
+def expectations(df: DataFrame, checks: Mapping[str, tuple[Column, float, float]]) -> DataFrame:
+    """``(check_name, violations)`` of aggregates that should lie within bounds: 0 or 1 each.
+
+    An aggregate without a value, as the variation of nothing, is a violation.
+    """
+    wide = df.agg(*(found.alias(f"a{i}") for i, (found, _, _) in enumerate(checks.values())))
+    pairs = [
+        F.struct(
+            F.lit(name).alias("check_name"),
+            not_between(f"a{i}", low, high).cast("bigint").alias("violations"),
+        )
+        for i, (name, (_, low, high)) in enumerate(checks.items())
     ]
-    return df.selectExpr(*wide).selectExpr(f"inline(array({', '.join(rows)}))")
+    return wide.select(F.inline(F.array(*pairs)))
 
 
 def gate(parts: Sequence[DataFrame]) -> DataFrame:

@@ -57,6 +57,8 @@ def leaderboard(
     A rank depends only on the rows above, so the rows are limited first (each task
     keeps its best ``k``) and only those ``k`` reach the ranking window.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}: one of {', '.join(METHODS)}")
     order = [direction(measure, descending)]
     top = groups.orderBy(*order, *ties).limit(k)
     over = W.orderBy(*order, *ties) if method == "row_number" else W.orderBy(*order)
@@ -71,13 +73,23 @@ def with_rank(
     partition_by: Sequence[str] = (),
     descending: bool = True,
     method: str = "dense_rank",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Rank every row by ``measure``, overall or within partitions.
 
-    ``rows`` is a bound on the number of rows ranked. ``method`` is ``dense_rank`` or ``rank``.
+    ``rows`` is a bound on the number of rows ranked. ``method`` is ``dense_rank``, ``rank``
+    or ``row_number``; rows of equal measure are numbered in order of ``ties``, which should
+    tell all rows apart.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}: one of {', '.join(METHODS)}")
+    order = direction(measure, descending)
+    if method == "row_number":
+        order = [order, *(F.col(c) for c in ties)]
+        if rows > SINGLE_TASK_ROWS:
+            return numbered(groups, partition_by, order, rank)
     if rows <= SINGLE_TASK_ROWS:
-        over = W.partitionBy(*partition_by).orderBy(direction(measure, descending))
+        over = W.partitionBy(*partition_by).orderBy(order)
         return groups.withColumn(rank, METHODS[method]().over(over))
     before = {"dense_rank": "values_before", "rank": "rows_before"}[method]
     kept = groups.columns
@@ -89,6 +101,27 @@ def with_rank(
     return groups.join(positions, match).select(*kept, (F.col(before) + 1).alias(rank))
 
 
+def numbered(
+    df: DataFrame, partition_by: Sequence[str], order: Sequence[Column], name: str
+) -> DataFrame:
+    """Number rows from 1 in a total order, each range of it by its own task.
+
+    The engine samples the ranges. They are checkpointed with their number, so that every
+    later job sees the same, and each starts from the count of rows before it.
+    """
+    kept, groups = df.columns, [F.col(c) for c in partition_by]
+    dealt = df.repartitionByRange(*groups, *order).withColumn("range_", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    counts = dealt.groupBy(*groups, "range_").agg(F.count(F.lit(1)).alias("rows_"))
+    earlier = _earlier(W.partitionBy(*groups), F.col("range_"))
+    starts = counts.withColumn("start_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)))
+    inside = F.row_number().over(W.partitionBy(*groups, "range_").orderBy(*order))
+    local = dealt.withColumn("local_", inside)
+    match = [local[c].eqNullSafe(starts[c]) for c in [*partition_by, "range_"]]
+    found = local.join(starts, match)
+    return found.select(*(local[c] for c in kept), (F.col("start_") + F.col("local_")).alias(name))
+
+
 def order_positions(
     df: DataFrame,
     column: str,

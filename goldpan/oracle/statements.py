@@ -120,6 +120,20 @@ def product_board(
       FROM sold ORDER BY {rank}, {ties} LIMIT 10"""
 
 
+def rank_in_category(method: str, ties: str = "") -> str:
+    order = f"revenue DESC NULLS LAST{ties}"
+    return f"""
+      WITH g AS (
+        SELECT category, subcategory, product_name, sum(sales_amount) AS revenue,
+               sum(quantity) AS units
+        FROM fact_sales JOIN dim_product USING (product_id) GROUP BY ALL)
+      SELECT category, subcategory, product_name, {dbl("revenue")} AS total_revenue,
+             {whole("units")} AS units_sold,
+             {method}() OVER (ORDER BY {order}) AS global_rank,
+             {method}() OVER (PARTITION BY category ORDER BY {order}) AS rank_within_category
+      FROM g ORDER BY category NULLS FIRST, rank_within_category"""
+
+
 def sign_off(roles, keys: dict[str, str]) -> str:
     checks = []
 
@@ -129,13 +143,13 @@ def sign_off(roles, keys: dict[str, str]) -> str:
     for table, key in keys.items():
         for column, allowed in roles.domains.get(table, {}).items():
             listed = ", ".join(f"'{v}'" for v in allowed)
-            strange = f"SELECT count(*) FROM {table} WHERE {column} NOT IN ({listed})"
+            strange = f"SELECT count(*) FROM {table} WHERE coalesce({column} NOT IN ({listed}), TRUE)"
             add(f"{table}.{column} domain", strange)
         for column, (low, high) in roles.ranges.get(table, {}).items():
-            outside = f"{column} < '{low}' OR {column} > '{high}'"
+            outside = f"{column} IS NULL OR {column} < '{low}' OR {column} > '{high}'"
             add(f"{table}.{column} range", f"SELECT count(*) FROM {table} WHERE {outside}")
-        distinct = f"(SELECT count(*) FROM (SELECT DISTINCT {key} FROM {table}))"
-        add(f"{table}.{key} unique", f"(SELECT count(*) FROM {table}) - {distinct}")
+        add(f"{table}.{key} unique", f"SELECT count({key}) - count(DISTINCT {key}) FROM {table}")
+        add(f"{table}.{key} present", f"SELECT count(*) FROM {table} WHERE {key} IS NULL")
     for fact, dim, key, name in (
         ("fact_sales", "dim_customer", "customer_id", "orphan customers"),
         ("fact_sales", "dim_product", "product_id", "orphan products"),
@@ -171,6 +185,17 @@ def variants(roles) -> dict[str, str]:
     """The operators' other uses, on the lake."""
     in_1995 = "AND s.order_year = 1995"
     return {
+        # Exact: sketches of so few values are.
+        "p2_1b_cardinality_approximate": audit(
+            "dim_customer",
+            roles.customer_categories,
+            "count(DISTINCT {c})",
+            "dimension_column",
+            "distinct_values",
+        ),
+        "p2_2f_domain_segment_collated": """
+          SELECT min(segment) AS segment_value FROM dim_customer
+          GROUP BY lower(rtrim(segment, ' ')) ORDER BY 1 NULLS FIRST""",
         "p3_6e_orders_without_lines": lost(
             "orders", "lineitem", "o_orderkey", "orders_without_lines", "l_orderkey"
         ),
@@ -194,6 +219,10 @@ def variants(roles) -> dict[str, str]:
         "p6_1d_top10_products_row_number": product_board(
             "DESC", "revenue_rank", method="row_number"
         ),
+        "p6_4b_rank_in_category_rank": rank_in_category("rank"),
+        "p6_4c_rank_in_category_row_number": rank_in_category(
+            "row_number", ", product_name NULLS FIRST, category NULLS FIRST, subcategory NULLS FIRST"
+        ),
     }
 
 
@@ -329,7 +358,7 @@ def statements(roles, keys: dict[str, str], sanity_type: str) -> dict[str, str]:
                  {whole("max(days_to_due)")} AS max_days_to_due,
                  {average("days_to_due", 1)} AS avg_days_to_due,
                  {spread("days_to_due", 1)} AS stddev_days_to_due
-          FROM fact_sales WHERE days_to_ship + days_to_due IS NOT NULL""",
+          FROM fact_sales WHERE days_to_ship IS NOT NULL AND days_to_due IS NOT NULL""",
         "p5_1_by_year": f"""
           SELECT {whole("order_year")} AS order_year, count(DISTINCT order_number) AS total_orders,
                  {whole("sum(quantity)")} AS total_units_sold,
@@ -403,17 +432,7 @@ def statements(roles, keys: dict[str, str], sanity_type: str) -> dict[str, str]:
           FROM g ORDER BY clv_rank, customer_id NULLS FIRST, full_name NULLS FIRST,
             country NULLS FIRST, {roles.age_group} NULLS FIRST, {roles.gender} NULLS FIRST
           LIMIT 10""",
-        "p6_4_rank_in_category": f"""
-          WITH g AS (
-            SELECT category, subcategory, product_name, sum(sales_amount) AS revenue,
-                   sum(quantity) AS units
-            FROM fact_sales JOIN dim_product USING (product_id) GROUP BY ALL)
-          SELECT category, subcategory, product_name, {dbl("revenue")} AS total_revenue,
-                 {whole("units")} AS units_sold,
-                 dense_rank() OVER (ORDER BY revenue DESC NULLS LAST) AS global_rank,
-                 dense_rank() OVER (PARTITION BY category ORDER BY revenue DESC NULLS LAST)
-                   AS rank_within_category
-          FROM g ORDER BY category NULLS FIRST, rank_within_category""",
+        "p6_4_rank_in_category": rank_in_category("dense_rank"),
         "p6_5_store_dual_rank": f"""
           WITH g AS (
             SELECT store_name, store_type, region, count(DISTINCT order_number) AS orders,

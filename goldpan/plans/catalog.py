@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldpan.functions import result_types
+from goldpan.operators.audit import APPROXIMATE_DISTINCT_COUNT
+from goldpan.operators.domain import domain
 from goldpan.operators.quality import duplicate_keys, orphans
 from goldpan.plans import dimensions, magnitudes, measures, quality, ranking, structure
 from goldpan.plans.star import Star
@@ -99,6 +101,12 @@ def _repeated_texts(star: Star) -> DataFrame:
 # The same operators on the lake's own tables, where the checks find something, and the
 # options no statement above uses.
 VARIANTS: dict[str, Statement] = {
+    "p2_1b_cardinality_approximate": partial(
+        dimensions.cardinality, measure=APPROXIMATE_DISTINCT_COUNT
+    ),
+    "p2_2f_domain_segment_collated": lambda star: domain(
+        star.dim_customer, "segment", "segment_value", "UTF8_LCASE_RTRIM"
+    ),
     "p3_6e_orders_without_lines": _lost(
         "orders", "o_orderkey", "lineitem", "l_orderkey", "orders_without_lines"
     ),
@@ -126,6 +134,10 @@ VARIANTS: dict[str, Statement] = {
     "p6_1d_top10_products_row_number": lambda star: ranking.product_board(
         star, True, "revenue_rank", method="row_number"
     ),
+    "p6_4b_rank_in_category_rank": partial(ranking.products_in_category, method="rank"),
+    "p6_4c_rank_in_category_row_number": partial(
+        ranking.products_in_category, method="row_number"
+    ),
 }
 
 

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.functions import cents, half_up, percent
+from goldpan.functions import mean, percent
 from goldpan.operators.measures import average, deviation, order_statistics, variation_pct
 from goldpan.plans.star import Star
 
@@ -31,7 +31,7 @@ def sales_profile(star: Star) -> DataFrame:
 
 
 def price_and_quantity(star: Star) -> DataFrame:
-    per_unit = half_up(cents("sum(sales_amount)"), "sum(quantity) * 100", 2)
+    per_unit = mean("sum(sales_amount)", "sum(quantity)")
     return star.fact_sales.agg(
         F.min("price").alias("min_unit_price"),
         F.max("price").alias("max_unit_price"),

@@ -12,10 +12,13 @@ from goldpan.operators.measures import average
 from goldpan.operators.quality import (
     coverage,
     duplicate_keys,
+    expectations,
     flag_count,
     gate,
+    not_among,
+    not_between,
     orphans,
-    surplus,
+    quoted,
     violations,
 )
 from goldpan.plans.star import KEYS, Star
@@ -91,23 +94,35 @@ def sanity(star: Star) -> DataFrame:
 
 
 def sign_off(star: Star) -> DataFrame:
-    """The gate: every expectation, reference and key with its violations and verdict."""
-    parts = []
+    """The gate: every expectation, reference and key with its violations and verdict.
+
+    A missing value or key is a violation. Each object is scanned once, and once more for
+    the counts and variations that the roles expect of it, if any.
+    """
+    roles, parts = star.roles, []
     for name, df in star.gold.items():
-        domains = star.roles.domains.get(name, {})
-        ranges = star.roles.ranges.get(name, {})
         rules = {}
-        for column, allowed in domains.items():
-            listed = ", ".join(f"'{value}'" for value in allowed)
-            rules[f"{name}.{column} domain"] = f"{column} not in ({listed})"
-        for column, (low, high) in ranges.items():
-            rules[f"{name}.{column} range"] = f"{column} not between '{low}' and '{high}'"
-        if rules:
-            parts.append(violations(df, rules))
-        parts.append(surplus(df, KEYS[name], f"{name}.{KEYS[name]} unique"))
+        for column, allowed in roles.domains.get(name, {}).items():
+            rules[f"{name}.{column} domain"] = not_among(column, allowed)
+        for column, (low, high) in roles.ranges.get(name, {}).items():
+            rules[f"{name}.{column} range"] = not_between(column, low, high)
+        key = KEYS[name]
+        parts.append(violations(df, rules, key, f"{name}.{key}", star.unique(name)))
+        expected = {}
+        if name in roles.row_counts:
+            expected[f"{name} row count"] = (F.count(F.lit(1)), *roles.row_counts[name])
+        for column, bounds in roles.value_counts.get(name, {}).items():
+            values = F.countDistinct(quoted(column))
+            expected[f"{name}.{column} value count"] = (values, *bounds)
+        for column, bounds in roles.variations.get(name, {}).items():
+            value = quoted(column)
+            spread = F.try_divide(F.stddev_samp(value) * 100, F.avg(value).cast("double"))
+            expected[f"{name}.{column} variation"] = (spread, *bounds)
+        if expected:
+            parts.append(expectations(df, expected))
     for statement in (orphan_customers, orphan_products, orphan_stores, orphan_returns):
         lost = statement(star)
         (name,) = lost.columns
-        label = name.replace("_", " ")
-        parts.append(lost.selectExpr(f"'{label}' as check_name", f"{name} as violations"))
+        label = F.lit(name.replace("_", " ")).alias("check_name")
+        parts.append(lost.select(label, F.col(name).alias("violations")))
     return gate(parts)

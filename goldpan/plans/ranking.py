@@ -55,11 +55,12 @@ def best_customers(star: Star) -> DataFrame:
     return board.select(*by, ORDERS, lifetime.name, AVERAGE, "clv_rank")
 
 
-def products_in_category(star: Star) -> DataFrame:
+def products_in_category(star: Star, method: str = "dense_rank") -> DataFrame:
     groups = sales_by(star, "dim_product", PRODUCT, REVENUE, UNITS, orders=False)
     groups, rows = settled(groups, star.rows("dim_product"))
-    ranked = with_rank(groups, REVENUE.name, "global_rank", rows)
-    ranked = with_rank(ranked, REVENUE.name, "rank_within_category", rows, ["category"])
+    ways = {"method": method, "ties": PRODUCT}
+    ranked = with_rank(groups, REVENUE.name, "global_rank", rows, **ways)
+    ranked = with_rank(ranked, REVENUE.name, "rank_within_category", rows, ["category"], **ways)
     ordered = ranked.orderBy("category", "rank_within_category", *PRODUCT)
     return ordered.select(
         "category",

@@ -39,6 +39,30 @@ RETAIL_RANGES = {
 }
 
 
+# What the retail warehouse documents of its own size and columns. Pass them
+# to Roles(row_counts=..., value_counts=...) to have the gate check them.
+RETAIL_ROW_COUNTS = {
+    "dim_customer": (25_000, 25_000),
+    "dim_product": (5_000, 5_000),
+    "dim_store": (100, 100),
+    "fact_sales": (30_000, 30_000),
+    "fact_returns": (26_967, 26_967),
+}
+RETAIL_VALUE_COUNTS = {
+    "dim_customer": {
+        "gender": (2, 3),
+        "marital_status": (3, 3),
+        "age_group": (6, 7),
+        "continent": (5, 5),
+        "country": (17, 17),
+    },
+    "dim_product": {"category": (4, 4)},
+    "dim_store": {"store_type": (4, 4)},
+    "fact_sales": {"delivery_status": (2, 3)},
+    "fact_returns": {"return_reason": (4, 4)},
+}
+
+
 @dataclass(frozen=True)
 class Roles:
     """Which column answers which question. The defaults are a retail warehouse's own names."""
@@ -103,6 +127,11 @@ class Roles:
         default_factory=lambda: RETAIL_DOMAINS
     )
     ranges: Mapping[str, Mapping[str, tuple]] = field(default_factory=lambda: RETAIL_RANGES)
+    # Optional expectations of the gate, as (lowest, highest): rows of an object, distinct
+    # values of a column, its coefficient of variation in percent.
+    row_counts: Mapping[str, tuple[int, int]] = field(default_factory=dict)
+    value_counts: Mapping[str, Mapping[str, tuple[int, int]]] = field(default_factory=dict)
+    variations: Mapping[str, Mapping[str, tuple[float, float]]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

@@ -9,8 +9,18 @@ from fractions import Fraction
 from math import floor
 
 import pytest
+from pyspark.sql import functions as F
 
-from goldpan.functions import half_up, mean, month_boundaries, percent, result_types
+from goldpan.functions import (
+    age,
+    age_group,
+    full_name,
+    half_up,
+    mean,
+    month_boundaries,
+    percent,
+    result_types,
+)
 
 
 def rounded(ratio: Fraction, digits: int) -> Decimal:
@@ -42,6 +52,43 @@ def test_percent(spark):
     assert [r[0] for r in df.select(percent("a", "b")).collect()] == [Decimal("33.33"), None]
 
 
+@pytest.mark.parametrize("kind", ["decimal(19,4)", "decimal(18,6)", "decimal(18,2)", "bigint"])
+def test_means_and_shares_of_any_scale(spark, kind):
+    rnd = random.Random(len(kind))
+    places = int(kind[-2]) if kind.startswith("decimal") else 0
+    values = [Decimal(rnd.randint(-(10**7), 10**7)).scaleb(-places) for _ in range(50)]
+    values += [Decimal(149).scaleb(-places)] * 2 + [Decimal(-149).scaleb(-places)]
+    native = [int(v) if kind == "bigint" else v for v in values]
+    df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(native)], f"v {kind}, g int")
+    groups = df.groupBy("g").agg(F.sum("v").alias("t"), F.count("v").alias("n"))
+    for r in groups.select("g", mean("t", "n").alias("m"), percent("t", "n").alias("p")).collect():
+        own = [Fraction(v) for i, v in enumerate(values) if i % 7 == r.g]
+        assert r.m == rounded(sum(own) / len(own), 2)
+        assert r.p == rounded(sum(own) * 100 / len(own), 2)
+
+
+def test_the_mean_is_not_that_of_a_rounded_sum(spark):
+    df = spark.createDataFrame([(Decimal("0.0149"),)] * 2, "v decimal(19,4)")
+    assert df.agg(mean("sum(v)", "count(v)")).first()[0] == Decimal("0.01")
+
+
+def test_people(spark):
+    rows = [("Ann", "Lee", date(2000, 2, 29)), (None, "Lee", date(2004, 3, 1)), (None, None, None),
+            ("A", None, date(1960, 1, 1)), ("B", "C", date(2030, 1, 1))]
+    df = spark.createDataFrame(rows, "first string, last string, born date")
+    years = age(F.col("born"), date(2023, 2, 28))
+    found = df.select(
+        full_name(F.col("first"), F.col("last")).alias("name"), years.alias("age"), age_group(years).alias("band")
+    ).collect()
+    assert [tuple(r) for r in found] == [
+        ("Ann Lee", 22, "20-29"), ("Lee", 18, "Under 20"), (None, None, "Unknown"),
+        ("A", 63, "60+"), ("B C", None, "Unknown"),
+    ]
+    assert df.select(age(F.col("born"), date(2023, 3, 1))).first()[0] == 23
+    bands = spark.range(18, 62).select(age_group(F.col("id")).alias("b")).distinct().collect()
+    assert {r.b for r in bands} == {"Under 20", "20-29", "30-39", "40-49", "50-59", "60+"}
+
+
 def test_large_totals_stay_exact(spark):
     big = Decimal(10**17) + Decimal("0.01")
     df = spark.createDataFrame([(big, 3 * 10**12)], "t decimal(38,2), n bigint")

@@ -156,14 +156,61 @@ def test_variation_around_zero_is_null(spark):
 
 def test_gate_reports_failures_first(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z")], "k int, v string")
-    checks = quality.gate(
-        [
-            quality.violations(df, {"v domain": "v not in ('a', 'b')", "k range": "k > 5"}),
-            quality.surplus(df, "k", "k unique"),
-        ]
-    )
+    rules = {
+        "v domain": quality.not_among("v", ("a", "b")),
+        "k range": quality.not_between("k", 0, 5),
+    }
+    checks = quality.gate([quality.violations(df, rules, "k", "k")])
     found = [(r.check_name, r.violations, r.verdict) for r in checks.collect()]
-    assert found == [("k unique", 1, "fail"), ("v domain", 1, "fail"), ("k range", 0, "pass")]
+    assert found == [
+        ("k unique", 1, "fail"),
+        ("v domain", 1, "fail"),
+        ("k present", 0, "pass"),
+        ("k range", 0, "pass"),
+    ]
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_missing_values_and_keys_are_violations(spark, unique):
+    """A NULL in every place, a domain with a quote, and a column that needs quoting."""
+    rows = [(None, None), (None, "Men's"), (3, "x")]
+    df = spark.createDataFrame(rows, "`the key` int, `odd ``name` string")
+    rules = {
+        "domain": quality.not_among("odd `name", ["Men's"]),
+        "range": quality.not_between("the key", 1, 5),
+    }
+    found = {r[0]: r[1] for r in quality.violations(df, rules, "the key", "k", unique).collect()}
+    assert found == {"domain": 2, "range": 2, "k unique": 0, "k present": 2}
+    none = {r[0]: r[1] for r in quality.violations(df.limit(0), rules, "the key", "k", unique).collect()}
+    assert set(none.values()) == {0}
+
+
+def test_expectations(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,)], "v double")
+    bounds = {
+        "rows": (F.count(F.lit(1)), 2, 2),
+        "values": (F.countDistinct("v"), 3, 4),
+        "spread": (F.stddev_samp(F.lit(None)), 0, 1),
+    }
+    found = {r[0]: r[1] for r in quality.expectations(df, bounds).collect()}
+    assert found == {"rows": 0, "values": 1, "spread": 1}
+
+
+@pytest.mark.parametrize("switch", [10**6, 0])
+def test_row_numbers_on_both_sides_of_the_switch(spark, monkeypatch, switch):
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", switch)
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), rnd.choice([None, 1, 2, 2, 2]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    key = lambda r: (r[1] is None, -(r[1] or 0), r[2])
+    for by in ([], ["g"]):
+        ranked = ranking.with_rank(df, "v", "n", 300, by, method="row_number", ties=["id"])
+        got = {r.id: r.n for r in ranked.collect()}
+        for group in {r[0] for r in rows} if by else {None}:
+            own = sorted((r for r in rows if not by or r[0] == group), key=key)
+            assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    with pytest.raises(ValueError, match="unknown method"):
+        ranking.with_rank(df, "v", "n", 300, method="ntile")
 
 
 def test_duplicate_keys_keep_null_as_a_value(spark):
