@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldpan.functions import mean
-from goldpan.operators.ranking import order_positions
+from goldpan.operators import ranking
 
-# Quantile sketches are within rows / SKETCH_ACCURACY of the position asked for.
-SKETCH_ACCURACY = 10_000
+# Equal parts that an interval of values is counted in.
+BINS = 4096
 
 
 def average(column: str, digits: int = 2) -> Column:
@@ -32,87 +33,111 @@ def variation_pct(column: str, digits: int = 2) -> Column:
     return F.expr(f"round(stddev_samp({column}) / nullif(avg({column}), 0) * 100, {digits})")
 
 
-def order_statistics(df: DataFrame, column: str, fractions: dict[str, Fraction]) -> DataFrame:
+def order_statistics(
+    df: DataFrame, column: str, fractions: dict[str, Fraction], also: Sequence[Column] = ()
+) -> DataFrame:
     """One row holding, per fraction, the largest value whose percent rank is within it.
 
     Percent rank is (rows before) / (rows - 1), NULLs first, so this is the value at
     position floor(fraction * (rows - 1)) of the sorted rows: the lower order statistic,
-    not an interpolated percentile.
+    not an interpolated percentile. ``also`` are aggregates of the same rows, in front.
 
-    Exact without sorting the column: a quantile sketch brackets each position, the rows
-    below each bracket are counted, and only values inside brackets are put in order.
-    The driver sees counts and bracket ends.
+    Exact without sorting the column. One pass takes the counts, the extremes and
+    ``also``. The interval between the extremes is counted in equal parts, partial sums per
+    task, and the parts that hold a position are counted anew until few rows are left in
+    them or one value. The driver sees a bounded number of counts; only those last rows are
+    put in order.
     """
-    kind = df.schema[column].dataType.simpleString()
-    values = df.select(column)
-    seen = _sketched(values, column, fractions.values())
-    rows, present = seen["rows"], seen["present"]
+    field = df.schema[column]
+    own = F.col(column)
+    counts = [F.count(F.lit(1)), F.count(own), F.min(own), F.max(own)]
+    pass_one = df.agg(*also, *(c.alias(f"own_{i}_") for i, c in enumerate(counts)))
+    seen = pass_one.first()
+    rows, present, least, greatest = seen[len(also) :]
     wanted = {name: math.floor(f * (rows - 1)) - (rows - present) for name, f in fractions.items()}
     sought = sorted({position for position in wanted.values() if 0 <= position < present})
-    if not sought:
-        empty = values.where("false")
-        return empty.selectExpr(*[f"cast(max({column}) as {kind}) as {name}" for name in wanted])
-    if present < rows or rows < 2 * SKETCH_ACCURACY:
-        # NULLs, or few rows, shift positions away from the fractions sketched.
-        seen = _sketched(values, column, [Fraction(at, present) for at in sought])
-    brackets = _counted(values, column, kind, _merged(seen["ends"]))
-    if not all(any(b.below <= at < b.below + b.rows for b in brackets) for at in sought):
-        brackets = _counted(values, column, kind, [[seen["least"], seen["greatest"]]])
-    inside = " or ".join(f"{column} between {b.low} and {b.high}" for b in brackets)
-    number = "".join(f" when {column} <= {b.high} then {i}" for i, b in enumerate(brackets))
-    candidates = values.where(inside).withColumn("bracket", F.expr(f"case{number} end"))
-    most = sum(b.rows for b in brackets)
-    places = order_positions(candidates, column, most, ["bracket"])
-    below = "".join(f" when {i} then {b.below}L" for i, b in enumerate(brackets))
-    placed = places.withColumn("before", F.expr(f"rows_before + case bracket{below} end"))
-    return placed.selectExpr(
-        *[f"max({column}) filter (where before <= {at}) as {name}" for name, at in wanted.items()]
-    )
+    found = _values_at(df.select(column), field, sought, Span(least, greatest, present, 0))
+    shape = [*pass_one.schema.fields[: len(also)]]
+    shape += [T.StructField(name, field.dataType) for name in wanted]
+    row = (*seen[: len(also)], *(found.get(at) for at in wanted.values()))
+    return df.sparkSession.createDataFrame([row], T.StructType(shape))
 
 
 @dataclass(frozen=True)
-class Bracket:
+class Span:
     """An interval of values, how many rows lie in it and how many below it."""
 
-    low: str
-    high: str
+    low: object
+    high: object
     rows: int
     below: int
 
-
-def _sketched(values: DataFrame, column: str, fractions: Iterable[Fraction]) -> Row:
-    """Counts, extremes, and two ends around each fraction, beyond the sketch's error."""
-    margin = 3 / SKETCH_ACCURACY
-    points = [min(max(float(f) + side, 0.0), 1.0) for f in fractions for side in (-margin, margin)]
-    return values.agg(
-        F.count("*").alias("rows"),
-        F.count(column).alias("present"),
-        F.min(column).alias("least"),
-        F.max(column).alias("greatest"),
-        F.percentile_approx(column, points, SKETCH_ACCURACY).alias("ends"),
+    def holds(self, position: int) -> bool:
+        return self.below <= position < self.below + self.rows
+
+    def condition(self, column: str, kind: str) -> str:
+        return f"{column} between cast('{self.low}' as {kind}) and cast('{self.high}' as {kind})"
+
+
+def _values_at(
+    values: DataFrame, field: T.StructField, sought: Sequence[int], whole: Span
+) -> dict[int, object]:
+    """The value at each position in the order of the values that are not NULL."""
+    kind = field.dataType.simpleString()
+    name = "`" + field.name.replace("`", "``") + "`"
+    spans = [whole] if sought else []
+    while spans:
+        wide = [s for s in spans if s.low != s.high and s.rows > ranking.SINGLE_TASK_ROWS]
+        if not wide:
+            break
+        parts = _parts(values, field, name, kind, wide)
+        kept = {p for p in parts if any(p.holds(at) for at in sought)}
+        narrower = kept - set(wide)
+        spans = sorted({s for s in spans if s not in wide} | kept, key=lambda s: s.below)
+        if not narrower:  # closer together than a double can tell
+            break
+    found = {at: s.low for s in spans for at in sought if s.low == s.high and s.holds(at)}
+    left = [s for s in spans if s.low != s.high]
+    if not left:
+        return found
+    number = "".join(f" when {s.condition(name, kind)} then {i}" for i, s in enumerate(left))
+    candidates = values.withColumn("span_", F.expr(f"case{number} end")).where("span_ is not null")
+    most = sum(s.rows for s in left)
+    places = ranking.order_positions(candidates, field.name, most, ["span_"])
+    below = "".join(f" when {i} then {s.below}L" for i, s in enumerate(left))
+    placed = places.withColumn("before_", F.expr(f"rows_before + case span_{below} end"))
+    open_ = [at for at in sought if at not in found]
+    picked = placed.selectExpr(
+        *[f"max({name}) filter (where before_ <= {at}) as at{i}" for i, at in enumerate(open_)]
     ).first()
-
-
-def _merged(ends: list) -> list[list]:
-    """Pairs of ends as disjoint intervals in order."""
-    spans: list[list] = []
-    for low, high in sorted(zip(ends[0::2], ends[1::2])):
-        if spans and low <= spans[-1][1]:
-            spans[-1][1] = max(high, spans[-1][1])
-        else:
-            spans.append([low, high])
-    return spans
-
-
-def _counted(values: DataFrame, column: str, kind: str, spans: list[list]) -> list[Bracket]:
-    ends = [[f"cast('{value}' as {kind})" for value in span] for span in spans]
-    counts = [
-        count
-        for low, high in ends
-        for count in (
-            f"count_if({column} between {low} and {high})",
-            f"count_if({column} < {low})",
-        )
-    ]
-    found = values.selectExpr(*counts).first()
-    return [Bracket(*pair, found[2 * i], found[2 * i + 1]) for i, pair in enumerate(ends)]
+    return found | dict(zip(open_, picked))
+
+
+def _parts(
+    values: DataFrame, field: T.StructField, name: str, kind: str, spans: Sequence[Span]
+) -> list[Span]:
+    """The spans cut into equal parts, those with rows, each as tight as its values."""
+    dated = isinstance(field.dataType, T.DateType)
+    number = f"double({f'unix_date({name})' if dated else name})"
+    which, part = "", ""
+    for i, s in enumerate(spans):
+        low, high = (f"double({f'unix_date({x})' if dated else x})" for x in (
+            f"cast('{s.low}' as {kind})", f"cast('{s.high}' as {kind})"))
+        scaled = f"floor(({number} - {low}) / nullif({high} - {low}, 0D) * {BINS})"
+        which += f" when {s.condition(name, kind)} then {i}"
+        part += f" when {i} then least(coalesce({scaled}, 0), {BINS - 1})"
+    # In order of the parts: a larger value never has a smaller part.
+    counted = (
+        values.selectExpr(f"{name} as v", f"case{which} end as s")
+        .where("s is not null")
+        .withColumnRenamed("v", field.name)
+        .selectExpr(f"{name} as v", "s", f"case s{part} end as p")
+        .groupBy("s", "p")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    out = []
+    below = {i: s.below for i, s in enumerate(spans)}
+    for r in sorted(counted.collect(), key=lambda r: (r["s"], r["p"])):
+        out.append(Span(r["low"], r["high"], r["n"], below[r["s"]]))
+        below[r["s"]] += r["n"]
+    return out

@@ -1,9 +1,9 @@
 """Ranks over groups.
 
 A ranking without partitions needs one total order. Where the number of ranked rows is
-known to be small a plain window does it in one task. Beyond that the order is cut at
-approximate quantiles into about as many ranges as there are shuffle partitions, each range is
-ordered by its own task, and each starts from the exact count of what lies before it.
+known to be small a plain window does it in one task. Beyond that the engine cuts the order
+into ranges, each range is ordered by its own task, and each starts from the exact count of
+what lies before it.
 """
 
 from __future__ import annotations
@@ -13,16 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from goldpan.sources.storage import cut_lineage
 
 # Rows one task may order by itself.
 SINGLE_TASK_ROWS = 1_000_000
 
-# Ranges a longer order is cut into, at most: each value is compared with every cut.
-MAX_STRETCHES = 1_000
-
 METHODS = {"dense_rank": F.dense_rank, "rank": F.rank, "row_number": F.row_number}
 
 
@@ -144,12 +140,14 @@ def order_positions(
             F.coalesce(F.sum("rows_at").over(earlier), F.lit(0)).alias("rows_before"),
             F.count(F.lit(1)).over(earlier).alias("values_before"),
         )
-    values = cut_lineage(values)
-    values = values.withColumn("stretch", _stretch(values, column))
+    # The engine samples the ranges; checkpointed with their number they stay the same.
+    order = direction(column, descending)
+    dealt = values.repartitionByRange(*(F.col(c) for c in partition_by), order)
+    values = cut_lineage(dealt.withColumn("stretch", F.spark_partition_id()))
     per_stretch = values.groupBy(*partition_by, "stretch").agg(
         F.sum("rows_at").alias("stretch_rows"), F.count(F.lit(1)).alias("stretch_values")
     )
-    earlier = _earlier(W.partitionBy(*partition_by), direction("stretch", descending))
+    earlier = _earlier(W.partitionBy(*partition_by), F.col("stretch"))
     starts = per_stretch.select(
         *[F.col(c).alias(f"of_{c}") for c in partition_by],
         F.col("stretch").alias("of_stretch"),
@@ -170,20 +168,3 @@ def order_positions(
 
 def _earlier(partition, order: Column):
     return partition.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-
-
-def _stretch(values: DataFrame, column: str) -> Column:
-    """Number of the range a value falls in; NULL lies below all of them.
-
-    The cut points are read once and become literals: every job that follows splits
-    the values alike.
-    """
-    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stretches = max(2, min(partitions, MAX_STRETCHES))
-    fractions = [i / stretches for i in range(1, stretches)]
-    sketch = F.percentile_approx(column, fractions, 10 * MAX_STRETCHES)
-    cuts = values.agg(sketch.alias("cuts")).first()["cuts"] or []
-    kind = values.schema[column].dataType
-    points = F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts))])
-    below = F.size(F.filter(points.cast(T.ArrayType(kind)), lambda point: point < F.col(column)))
-    return F.when(F.col(column).isNull(), -1).otherwise(below)

@@ -16,7 +16,7 @@ QUARTILES = {"p25": Fraction(1, 4), "p50_median": Fraction(1, 2), "p75": Fractio
 
 def sales_profile(star: Star) -> DataFrame:
     amount = "sales_amount"
-    moments = star.fact_sales.agg(
+    moments = [
         F.count("*").alias("total_orders"),
         F.sum(amount).alias("total_revenue"),
         F.min(amount).alias("min_order_value"),
@@ -24,10 +24,8 @@ def sales_profile(star: Star) -> DataFrame:
         average(amount).alias("avg_order_value"),
         deviation(amount).alias("stddev_order_value"),
         variation_pct(amount).alias("cv_pct"),
-    )
-    quartiles = order_statistics(star.fact_sales, amount, QUARTILES)
-    row = quartiles.select(F.struct(*QUARTILES)).scalar()
-    return moments.withColumn("q", row).select(*moments.columns, "q.*")
+    ]
+    return order_statistics(star.fact_sales, amount, QUARTILES, moments)
 
 
 def price_and_quantity(star: Star) -> DataFrame:

@@ -90,14 +90,36 @@ def test_order_statistics(spark, single_task_rows):
             assert list(found[0]) == [None if v is None else Decimal(v) / 4 for v in expected]
 
 
-def test_order_statistics_recovers_from_a_bad_sketch(spark, monkeypatch):
-    """Brackets that miss their positions are noticed and replaced."""
-    wrong = lambda column, ends, accuracy: F.array(*[F.lit(5.0)] * len(ends))
-    monkeypatch.setattr(measures.F, "percentile_approx", wrong)
-    df = spark.range(2_000).selectExpr("cast(id * id % 1009 as double) as x")
-    ordered = sorted(r.x for r in df.collect())
-    found = order_statistics(df, "x", QUARTERS).first()
-    assert list(found) == [ordered[math.floor(f * 1_999)] for f in QUARTERS.values()]
+@pytest.mark.parametrize("bins", [2, 7, 4096])
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "double", "bigint", "date"])
+def test_order_statistics_of_ties_nulls_and_one_heavy_value(spark, monkeypatch, bins, kind):
+    """Refined down to single values: no row is left to one task."""
+    monkeypatch.setattr(measures, "BINS", bins)
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 3)
+    rnd = random.Random(bins)
+    for heavy, nulls in ((0, 0), (300, 0), (0, 200), (150, 37)):
+        numbers = [rnd.choice([rnd.randint(-500, 500), rnd.randint(0, 10**6)]) for _ in range(200)]
+        numbers += [77] * heavy + [None] * nulls
+        make = {
+            "decimal(18,2)": lambda n: Decimal(n) / 4,
+            "double": lambda n: n / 8,
+            "bigint": int,
+            "date": lambda n: date.fromordinal(700_000 + n),
+        }[kind]
+        own = [None if n is None else make(n) for n in numbers]
+        df = spark.createDataFrame([(v,) for v in own], f"`the value` {kind}")
+        row = order_statistics(df, "the value", QUARTERS, [F.count("*").alias("rows")]).first()
+        order = sorted(own, key=lambda v: (v is not None, v if v is not None else 0))
+        assert row["rows"] == len(own)
+        for name, fraction in QUARTERS.items():
+            assert row[name] == order[math.floor(fraction * (len(own) - 1))]
+
+
+def test_order_statistics_of_values_closer_than_doubles(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 3)
+    big = 10**18
+    df = spark.createDataFrame([(big + i,) for i in range(20)], "x bigint")
+    assert order_statistics(df, "x", {"m": Fraction(1, 2)}).first()["m"] == big + 9
 
 
 def test_shares_sum_to_a_hundred(spark, single_task_rows):
