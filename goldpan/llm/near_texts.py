@@ -151,9 +151,12 @@ def near_links(suspects: DataFrame, least: float = LIKENESS, block: int = BLOCK)
     """
     counted = suspects.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks"))
     chunk = F.pmod(F.xxhash64("same"), F.col("chunks"))
+    # Dealt out anew by chunk: a root of many texts is split, and so is the join before.
     blocks = stored(
         suspects.join(counted, "root")
-        .groupBy("root", "chunks", chunk.alias("chunk"))
+        .withColumn("chunk", chunk)
+        .repartition("root", "chunk")
+        .groupBy("root", "chunks", "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("same", "set"))).alias("held"))
     )
     inside = _inside(blocks, least)
@@ -213,7 +216,8 @@ def unique(
     ).withColumn("digest", F.unhex(F.sha2("text", 256)))
     wanted = suspects.select("root", "same", F.col("first.key").alias("wkey"), F.col("first.digest").alias("wdigest"))
     same_row = chosen["key"].eqNullSafe(wanted["wkey"]) & (chosen["digest"] == wanted["wdigest"])
-    bodies = chosen.join(wanted, same_row).select("root", "same", "text")
+    # Both sides are shuffled at every size: neither has a bound to broadcast it by.
+    bodies = chosen.join(wanted.hint("merge"), same_row).select("root", "same", "text")
     schema = pa.schema([("root", pa.int64()), ("same", pa.string()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +246,7 @@ def _rows(docs: DataFrame, staying: DataFrame, ids: DataFrame, key: str, text: s
 
     def among(some: DataFrame) -> DataFrame:
         same = marked["_key"].eqNullSafe(some["key"]) & (marked["_digest"] == some["digest"])
-        return marked.join(some, same, "left_semi")
+        return marked.join(some.hint("merge"), same, "left_semi")
 
     repeated = ids.groupBy("key", "digest").count().where("count > 1").select("key", "digest")
     both = staying["key"].eqNullSafe(repeated["key"]) & (staying["digest"] == repeated["digest"])

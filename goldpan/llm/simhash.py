@@ -1,9 +1,10 @@
 """SimHash near-duplicates by exact tiled comparison.
 
-Equal fingerprints collapse first. Distinct ones are cut into cells of equal population
+Equal fingerprints collapse first. Distinct ones are cut into cells of like population
 counts (upper half, lower half) and cells into tiles of a bounded size. Two fingerprints
 within the radius differ by at most the radius in the sum of their half counts, so a tile
-meets only the tiles of the few cells that near. Tile pairs are compared in full with
+meets only the tiles of the few cells that near. Cells are as wide as a third of the
+radius: narrower ones would send each tile to many more. Tile pairs are compared in full with
 numpy: exclusive-or and bit counts, block by block, blocks skipped by quarter counts.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from goldpan.llm.common import batched, rows, stored
 
 SEED = 42
-TILE = 4096  # fingerprints in a tile, on average at most
+TILE = 1 << 15  # fingerprints in a tile, on average at most
 BLOCK = 128  # side of the blocks that a tile pair is compared in
 WINDOW = 1 << 16  # shingles hashed at once
 QUARTERS = np.array([48, 32, 16, 0], np.uint64)
@@ -122,18 +123,36 @@ def links_between(
     return sorted(found)
 
 
+def width(radius: int) -> int:
+    """Population counts that share a cell."""
+    return max(1, radius // 3)
+
+
+def cells_near(radius: int) -> list[tuple[int, int]]:
+    """Steps between cells that may hold fingerprints within the radius, each pair once."""
+    wide = width(radius)
+
+    def gap(step: int) -> int:
+        return max(0, (abs(step) - 1) * wide + 1)
+
+    span = range(-radius - 1, radius + 2)
+    return [
+        (x, y) for x in span for y in span if gap(x) + gap(y) <= radius and (x, y) >= (0, 0)
+    ]
+
+
 def tiles(distinct: DataFrame, radius: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Tiles (hi, lo, chunk, fps, roots) of distinct fingerprints, and the chunks per cell.
 
-    A cell has at most 33 x 33 values, so the chunk counts are a proven small table.
-    Fingerprints in a tile are ordered by quarter counts; roots are those of their groups
+    There are at most 33 x 33 cells, so the chunk counts are a proven small table. Fingerprints in a tile are ordered by quarter counts; roots are those of their groups
     within the tile.
     """
     lower = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    wide = width(radius)
     celled = distinct.select(
         "fp",
-        F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"),
-        F.bit_count(lower).alias("lo"),
+        F.floor(F.bit_count(F.shiftrightunsigned("fp", 32)) / wide).cast("int").alias("hi"),
+        F.floor(F.bit_count(lower) / wide).cast("int").alias("lo"),
         F.bit_count(F.shiftrightunsigned("fp", 48)).alias("first"),
         F.bit_count(F.shiftrightunsigned(lower, 16)).alias("third"),
     )
@@ -180,12 +199,7 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         .select(F.col("x.fps").alias("a"), F.col("x.roots").alias("b"))
         .where("a <> b")
     )
-    steps = [
-        (x, y)
-        for x in range(radius + 1)
-        for y in range(-radius, radius + 1)
-        if x + abs(y) <= radius and (x > 0 or y >= 0)
-    ]
+    steps = cells_near(radius)
     offsets = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps))
     # One row for each cell that a tile must meet, then for each tile there.
     to_cells = held.select(
