@@ -213,13 +213,16 @@ def labelled_findings(
 ) -> DataFrame:
     """(features, label): findings of known truth in the surroundings of real texts.
 
-    Surroundings come from the ``count`` rows of the smallest hashes, a bounded training
-    sample; an empty table gives findings without surroundings. Here only are texts cut:
-    a finding is placed between the words of such a scene.
+    Surroundings come from at most ``count`` rows, chosen by their hashes, a bounded
+    training sample; an empty table gives findings without surroundings. Here only are
+    texts cut: a finding is placed between the words of such a scene.
     """
     body = F.coalesce(docs[text], F.lit(""))
+    # The share of rows is such that about ``count`` of them come to the driver in all.
+    share = int(min(1.0, count / max(1, docs.count())) * (1 << 40))
     scenery = docs.select(F.xxhash64(key, body).alias("h"), F.substring(body, 1, 400).alias("s"))
-    scenes = [r["s"] for r in scenery.orderBy("h", "s").limit(count).collect()]
+    chosen = scenery.where(F.pmod("h", F.lit(1 << 40)) < share).limit(count).collect()
+    scenes = sorted({r["s"] for r in chosen})
     found, own = dictionary(path), random.Random(seed)
     words = sorted(w for w in found.automaton.keys() if len(w) < 10)
     out = []
