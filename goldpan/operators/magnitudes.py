@@ -59,7 +59,9 @@ def by_dimension(
     Facts are summed before the join, so however they are spread over keys, one row per
     key is joined. If a metric counts distinct values it is one row per key and value,
     and members alike in every attribute are joined once and weighted by their number:
-    a key repeated on both sides never pairs each fact with each copy of the member.
+    a key repeated on both sides never pairs each fact with each copy of the member. Those
+    facts are the left side of an inner join, which adaptive execution can split where a
+    key has many; members without facts are added after.
     """
     distinct = [m for m in metrics if m.kind == "distinct"]
     if distinct:
@@ -74,8 +76,12 @@ def by_dimension(
     if members:
         seen = Metric(members.name, "distinct", key) if distinct else members
         totals.insert(0, seen.over_rows())
-    if how == "left":
-        joined = attributes.join(facts, key, "left")
+    if how == "left" and not distinct:
+        joined = attributes.join(facts, key, "left")  # a row per key
     else:
         joined = facts.join(attributes, key)
+    if how == "left" and distinct:
+        keys = fact.select(key).distinct()
+        idle = attributes.join(keys, key, "left_anti")
+        joined = joined.unionByName(idle, allowMissingColumns=True)
     return joined.groupBy(*by).agg(*totals)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
+import random
 import re
 from contextlib import redirect_stdout
-import random
 from datetime import datetime
 
 import pytest
 
+from goldpan.operators.magnitudes import Metric, by_dimension
 from goldpan.plans.catalog import STATEMENTS, run
 from goldpan.sources import gold
 from goldpan.sources.lake import LAKE_SCHEMAS
@@ -125,3 +126,31 @@ def test_a_hot_order_is_split_in_the_build(spark):
         built = gold.order_lines(lines, table)
         assert len(built.collect()) == 30_000
         assert "skew=true" in plan(built)
+
+
+def test_a_hot_member_is_split_where_keys_repeat(spark):
+    """A third of all orders by one customer, customers repeated: the facts' side is split."""
+    rnd = random.Random(2)
+    facts = [(1 if n % 3 == 0 else n, f"{rnd.getrandbits(64):x}") for n in range(30_000)]
+    members = [(k, "ab"[k % 2]) for k in range(0, 60_000, 2)] + [(1, "a"), (1, "a"), (1, "b")]
+    fact = spark.createDataFrame(facts, "id bigint, number string").repartition(8)
+    dim = spark.createDataFrame(members, "id bigint, band string").repartition(8)
+    orders = Metric("orders", "distinct", "number")
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    ):
+        found = by_dimension(fact, dim, "id", ["band"], [orders], "left", Metric("n", "count", "*"))
+        got = {r["band"]: (r["n"], r["orders"]) for r in found.collect()}
+        text = plan(found)
+    bands = {}
+    for k, band in members:
+        bands.setdefault(band, set()).add(k)
+    for band, keys in bands.items():
+        assert got[band] == (len(keys), len({number for k, number in facts if k in keys}))
+    assert "skew=true" in text
