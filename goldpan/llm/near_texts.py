@@ -106,7 +106,7 @@ def _forest(names: list[str], links: np.ndarray) -> Iterator[tuple[str, str]]:
     """Links of each name to the first of its class, by a matrix of links among them."""
     labels = np.arange(len(names))
     x, y = np.nonzero(links)
-    simhash._merge(labels, x, y)
+    simhash.merge(labels, x, y)
     while not np.array_equal(labels, labels[labels]):
         labels = labels[labels]
     return ((names[i], names[j]) for i, j in enumerate(labels) if i != j)

@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldpan.llm.common import batched, rows, stored
+from goldpan.llm.components import components
 
 SEED = 42
 TILE = 1 << 15  # fingerprints in a tile, on average at most
 BLOCK = 128  # side of the blocks that a tile pair is compared in
 WINDOW = 1 << 16  # shingles hashed at once
+SLICE = 1 << 20  # fingerprints in a batch that a task returns
 QUARTERS = np.array([48, 32, 16, 0], np.uint64)
 
 
@@ -90,7 +92,7 @@ def near(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple]:
             yield x + i * BLOCK, y + j * BLOCK
 
 
-def _merge(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+def merge(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """Lowers the labels of linked indexes until each link joins equal labels."""
     while True:
         differ = labels[x] != labels[y]
@@ -106,7 +108,7 @@ def groups_within(fps: np.ndarray, radius: int) -> np.ndarray:
     """Index of the first fingerprint of each one's group in a tile."""
     labels = np.arange(len(fps))
     for x, y in near(fps, fps, radius):
-        _merge(labels, x, y)
+        merge(labels, x, y)
     while not np.array_equal(labels, labels[labels]):
         labels = labels[labels]
     return labels
@@ -184,9 +186,6 @@ def tiles(distinct: DataFrame, radius: int, tile: int = TILE) -> tuple[DataFrame
     return stored(held.mapInArrow(run, schema)), chunks
 
 
-SLICE = 1 << 20  # fingerprints in a batch that a task returns
-
-
 def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all that lie within the radius.
 
@@ -239,8 +238,6 @@ def groups(hashed: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     ``hashed`` has (key, fp). Rows with equal fingerprints are linked; keys that are NULL
     count only where a component has no other.
     """
-    from goldpan.llm.components import components
-
     firsts = stored(hashed.groupBy("fp").agg(F.min("key").alias("first")))
     roots = components(links(firsts.select("fp"), radius, tile))
     rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(

@@ -188,7 +188,9 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     chosen = docs.select(
         docs[key].cast("long").alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")
     ).withColumn("order", F.xxhash64("text"))
-    ranged = chosen.repartitionByRange("key", "order").sortWithinPartitions("key", "order")
+    # The input position lets a range end between rows alike in key and text.
+    spread = chosen.withColumn("at", F.monotonically_increasing_id())
+    ranged = spread.repartitionByRange("key", "order", "at").sortWithinPartitions("key", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
