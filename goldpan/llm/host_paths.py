@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.llm.common import batched, rows
+from goldpan.llm.common import batched, rows, stored
 
 MOST = 0.9  # share of the text that a container must hold
 LINKED = 0.5  # a block with a larger share of linked characters is navigation
@@ -301,7 +301,7 @@ def winners(pages: DataFrame) -> DataFrame:
     The root, path "", holds all of it. Ties go to the path with more votes, then to the
     larger path.
     """
-    cast = votes(pages)
+    cast = stored(votes(pages))  # a row per host and path, read twice
     totals = cast.where("path = ''").select("host", F.col("votes").alias("total"))
     depth = F.length("path") - F.length(F.translate("path", "/", ""))
     holding = cast.join(totals, "host").where(F.col("votes") >= MOST * F.col("total"))
@@ -323,7 +323,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.coalesce(pages[html], F.lit("")).alias("html"),
     )
     kind = chosen.schema["key"].dataType.simpleString()
-    with_winner = chosen.join(winners(chosen), "host", "left").select("key", "url", "html", "winner")
+    # Pages are sorted and merged with the winners, so that adaptive execution can split the
+    # pages of a host that has many.
+    winning = winners(chosen).hint("merge")
+    with_winner = chosen.join(winning, "host", "left").select("key", "url", "html", "winner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
