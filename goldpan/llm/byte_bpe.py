@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from goldpan.llm.common import SLICE_BYTES
 from goldpan.llm.pieces import LONGEST, Encoder, Memory
 
-PAIRS = 1_000_000  # neighbour decisions remembered by a Python worker
-PIECES = 300_000  # pieces of which it remembers the ids
+PAIRS = 300_000  # neighbour decisions remembered by a Python worker
+PIECES = 120_000  # pieces of which it remembers the ids
 TEXTS = 256  # texts encoded at once
 
 

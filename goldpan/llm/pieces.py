@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-MEMORY = 500_000  # stretches (or pieces) in each of the two halves of a memory
+MEMORY = 250_000  # stretches in each of the two halves of a worker's memory
 LONGEST = 64  # characters of a stretch worth remembering
 ID = "<u4"  # ids as stored between stretches and texts
 
@@ -37,6 +37,11 @@ def stretches(text: str) -> list[str]:
     return out
 
 
+def begins_piece(text: str) -> bool:
+    """Whether a text begins as a stretch does: a piece begins there whatever is before."""
+    return text[:1] == " " and not (text[1:2] or " ").isspace()
+
+
 class Memory:
     """A dictionary of bounded size that keeps what was used lately.
 
@@ -68,22 +73,34 @@ class Memory:
 class Encoder:
     """Ids of texts by a function that encodes stretches."""
 
-    def __init__(self, encode: Callable[[Iterable[str]], list[bytes]]) -> None:
+    def __init__(
+        self, encode: Callable[[Iterable[str]], list[bytes]], memory: int = MEMORY
+    ) -> None:
         self.encode = encode
-        self.memory = Memory()
+        self.memory = Memory(memory)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit numbers."""
         cut = [stretches(text) for text in texts]
         firsts = self.encode([parts[0] for parts in cut])
         tails = [parts[1:] for parts in cut]
-        new = self.memory.missing(set().union(*tails))
+        # Values are looked up once; only stretches not found are looked at again.
+        get = self.memory.young.get
+        known = [list(map(get, tail)) for tail in tails]
+        unknown = {
+            part
+            for tail, values in zip(tails, known)
+            for part, value in zip(tail, values)
+            if value is None
+        }
+        new = self.memory.missing(unknown)
         found = self.memory.young
         found.update(zip(new, self.encode([" " + part for part in new])))
-        get = found.__getitem__
         joined = [
-            np.frombuffer(first + b"".join(map(get, tail)), ID)
-            for first, tail in zip(firsts, tails)
+            np.frombuffer(
+                first + b"".join([found[t] if v is None else v for t, v in zip(tail, values)]), ID
+            )
+            for first, tail, values in zip(firsts, tails, known)
         ]
         for part in new:
             if len(part) > LONGEST:
