@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import BinaryIO
 
 import numpy as np
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 
 from goldpan.llm.byte_bpe import small
 from goldpan.llm.common import batched, stored
-from goldpan.llm.pieces import Encoder, Memory
+from goldpan.llm.pieces import Encoder, Memory, begins_piece
 from goldpan.sources.storage import new_folder
 
 MAGIC = b"GOLDPL01"
 BLOCK = 1 << 16
 LEVEL = 1
-PIECES = 300_000
+STRETCHES, PIECES = 500_000, 120_000  # remembered by a Python worker, twice at most
+TOGETHER = 20  # stretches split at once
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -170,15 +172,39 @@ def library_encoder(path: str) -> Encoder:
     split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
     memory = Memory(PIECES)
 
-    def encode(texts: Iterable[str]) -> list[bytes]:
-        cut = [[piece for piece, _ in split(text)] for text in texts]
-        new = memory.missing(set().union(*cut))
+    def cut(texts: list[str]) -> Iterator[list[str]]:
+        """The pieces of each text.
+
+        Texts that begin with a space before a non-blank are split together, as one text:
+        a piece always begins there.
+        """
+        at = 0
+        while at < len(texts):
+            end = at + 1
+            while end < len(texts) and end < at + TOGETHER and begins_piece(texts[end]):
+                end += 1
+            bounds = accumulate(map(len, texts[at:end]))
+            held: list[str] = []
+            bound = next(bounds)
+            for piece, (start, _) in split("".join(texts[at:end])):
+                while start >= bound:
+                    yield held
+                    held, bound = [], next(bounds)
+                held.append(piece)
+            yield held
+            for _ in bounds:
+                yield []
+            at = end
+
+    def encode(texts: list[str]) -> list[bytes]:
+        parts = list(cut(texts))
+        new = memory.missing(set().union(*parts))
         found = memory.young
         for piece in new:
             found[piece] = array("I", [token.id for token in merge(piece)]).tobytes()
-        return [b"".join(map(found.__getitem__, pieces)) for pieces in cut]
+        return [b"".join(map(found.__getitem__, pieces)) for pieces in parts]
 
-    return Encoder(encode)
+    return Encoder(encode, STRETCHES)
 
 
 def write(
@@ -202,7 +228,9 @@ def write(
     chosen = docs.select(
         docs[key].cast("long").alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")
     ).withColumn("order", F.xxhash64("text"))
-    ranged = chosen.repartitionByRange("key", "order").sortWithinPartitions("key", "order")
+    # The input position lets a range end between rows alike in key and text.
+    spread = chosen.withColumn("at", F.monotonically_increasing_id())
+    ranged = spread.repartitionByRange("key", "order", "at").sortWithinPartitions("key", "order")
     schema = pa.schema(
         [("part", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]
     )
@@ -258,5 +286,7 @@ def read(manifest: DataFrame) -> DataFrame:
         return batched(records(), schema, size=10_000)
 
     shape = "key long, start long, n_tokens long, ids_crc32 long"
-    spread = started.select("part", "file", "start").repartition("part")
+    # As many tasks as files: an exact number is not coalesced, however small the manifest.
+    files = max(1, manifest.count())
+    spread = started.select("part", "file", "start").repartition(files, "part")
     return spread.mapInArrow(run, shape)
