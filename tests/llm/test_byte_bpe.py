@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import public_tokenizers as public
 import pytest
@@ -13,11 +14,17 @@ from goldpan.llm import byte_bpe, pieces
 PATH = public.path("byte_bpe_50k.tiktoken")
 
 
+@lru_cache
+def all_ranks():
+    with open(PATH, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+
+
 @pytest.fixture(scope="module")
 def library():
-    with open(PATH, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(
+        "own", pat_str=public.PATTERN, mergeable_ranks=all_ranks(), special_tokens={}
+    )
 
 
 HARD = [
@@ -36,8 +43,7 @@ def test_hard_texts(library, text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="aeinorst hgl.'\n 1é漢=", max_size=60))
 def test_any_text(text):
-    with open(PATH, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    ranks = all_ranks()
     own = byte_bpe.vocabulary(PATH, public.PATTERN)
     for piece in own.split_text(text):
         raw = piece.encode()
