@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 
 from goldpan.llm.common import batched, rows
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+# A key may stand directly after "=", as in .env lines and query strings; "=" is its own only as
+# padding at the end. A run directly before "=" and a value is the name of that value.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+KEY_MARK = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+# Lines as "Proc-Type: 4,ENCRYPTED" or "Version: GnuPG v2"; line ends may be written as \n.
+KEY_HEADERS = r"(?:(?:\s|\\[nr])*[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*(?:[\r\n]|\\[nr]))*"
 PRIVATE_KEY = re.compile(
-    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"
+    rf"-----BEGIN {KEY_MARK}(?:{KEY_HEADERS}[A-Za-z0-9+/=\s\\]*-----END {KEY_MARK})?"
 )
 # Public formats of providers' keys: a fixed value.
 PREFIXES = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|rk_live_|glpat-|eyJ|npm_|SG\.")
@@ -208,10 +213,10 @@ def _finding(draw: random.Random, words: list[str]) -> tuple[str, str, str, str,
     return before, own, draw.choice(["", "", ".", '"']), draw.choice(paths + tests * 2), 0
 
 
-def labelled_findings(
+def labelled_texts(
     docs: DataFrame, path: str, count: int = 3000, key: str = "doc_id", text: str = "text", seed: int = 5
-) -> DataFrame:
-    """(features, label): findings of known truth in the surroundings of real texts.
+) -> Iterator[tuple[str, int, int, str, int]]:
+    """(text, start, stop, path, label): findings of known truth in the surroundings of real texts.
 
     Surroundings come from at most ``count`` rows, chosen by their hashes, a bounded
     training sample; an empty table gives findings without surroundings. Here only are
@@ -225,14 +230,24 @@ def labelled_findings(
     scenes = sorted({r["s"] for r in chosen})
     found, own = dictionary(path), random.Random(seed)
     words = sorted(w for w in found.automaton.keys() if len(w) < 10)
-    out = []
     for i in range(count):
         scene = scenes[i % len(scenes)].split(" ") if scenes else [""]
         at = own.randrange(len(scene) + 1)
         before, secret, after, place, label = _finding(own, words)
         head = " ".join(scene[:at]) + " " + before
         whole = head + secret + after + " " + " ".join(scene[at:])
-        out.append((features(whole, len(head), len(head) + len(secret), place, found), float(label)))
+        yield whole, len(head), len(head) + len(secret), place, label
+
+
+def labelled_findings(
+    docs: DataFrame, path: str, count: int = 3000, key: str = "doc_id", text: str = "text", seed: int = 5
+) -> DataFrame:
+    """(features, label) of ``labelled_texts``."""
+    found = dictionary(path)
+    out = [
+        (features(whole, start, stop, place, found), float(label))
+        for whole, start, stop, place, label in labelled_texts(docs, path, count, key, text, seed)
+    ]
     return docs.sparkSession.createDataFrame(out, "features array<double>, label double").coalesce(1)
 
 
