@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldpan.llm.byte_bpe import encoder, small
 from goldpan.llm.common import WORD_PATTERN, numbered, stored
 
 
@@ -123,6 +124,27 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(docs[key].alias("doc_id"), (words + 1).alias("n_tokens"))
 
 
+def counted_ids(
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, n_tokens): byte-level BPE ids of every whole text, and one token that ends a document.
+
+    NULL is an empty text. The vocabulary's path must exist on every executor.
+    """
+    chosen = docs.select(docs[key].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path, pattern)
+        for part in small(batches):
+            counts = [len(ids) + 1 for ids in own.ids(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"]
+            )
+
+    return chosen.mapInArrow(run, f"doc_id {kind}, n_tokens long")
+
+
 def pieces(items: DataFrame, key: str, length: str, largest: int) -> DataFrame:
     """(key, piece, start, length): items cut into full pieces and a rest.
 

@@ -30,8 +30,12 @@ END_ID = 2
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of all documents by words, with their sequences."""
-    items = packing.counted(table(spark, folder, "documents"))
+    """Pieces of all documents by token ids, with their sequences."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    # Ids are counted once: the pack reads its items twice, to cut ranges and to deal them out.
+    items = stored(
+        packing.counted_ids(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    )
     return packing.pack(items, "doc_id", "n_tokens").select(
         F.col("key").alias("doc_id"),
         "piece",

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import public_tokenizers as public
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from goldpan.llm import packing
+from goldpan.llm import packing, queries
 
 SIZES = [{8: 8.0, 16: 15.0, 32: 31.0}, {10: 10.0, 25: 26.0, 40: 50.0}, {20: 20.0}]
 
@@ -89,3 +91,31 @@ def test_awkward_and_empty(awkward, nothing):
     assert sorted(r["n_tokens"] for r in counted.collect())[:4] == [1, 1, 1, 2]
     assert packing.pack(counted, "doc_id", "n_tokens").count() == awkward.count() + 3
     assert packing.pack(packing.counted(nothing), "doc_id", "n_tokens").count() == 0
+
+
+def ids_of(texts):
+    """Token ids of each text and one at its end, by the tokenizers library."""
+    own = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    return [len(own.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+
+
+def test_lengths_are_token_ids(spark, awkward, nothing):
+    run = "漢字仮名交じり文" * 1600  # 12,800 characters without a space
+    docs = spark.createDataFrame([(100, run), (101, "aGVsbG8gd29ybGQ" * 900)], "doc_id long, text string")
+    path = public.path("byte_bpe_50k.tiktoken")
+    for df in (awkward, docs):
+        texts = [r["text"] for r in df.select("text").collect()]
+        counted = packing.counted_ids(df, path, public.PATTERN)
+        assert sorted(r["n_tokens"] for r in counted.collect()) == sorted(ids_of(texts))
+    pieces = packing.pack(counted, "doc_id", "n_tokens").where("key = 100").collect()
+    assert len(pieces) > 1 and sum(r["length"] for r in pieces) == ids_of([run])[0]
+    assert packing.counted_ids(nothing, path, public.PATTERN).count() == 0
+
+
+def test_query_packs_token_ids(spark, lake, documents):
+    held = Counter()
+    for r in queries.op1_best_fit_packing(spark, lake).collect():
+        held[r["doc_id"]] += r["n_tokens"]
+    rows = documents.select("doc_id", "text").collect()
+    assert held == dict(zip([r["doc_id"] for r in rows], ids_of([r["text"] for r in rows])))
