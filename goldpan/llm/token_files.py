@@ -14,7 +14,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 from typing import BinaryIO
@@ -26,6 +26,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from goldpan.llm.byte_bpe import small
 from goldpan.llm.common import batched, stored
@@ -157,16 +158,34 @@ class Reader:
             start += count
 
 
+class LibraryEncoder(Encoder):
+    """Encodes stretches; texts that hold an added token's string go whole to the library."""
+
+    def __init__(self, tokenizer: Tokenizer, encode: Callable[[Iterable[str]], list[bytes]]) -> None:
+        super().__init__(encode, STRETCHES)
+        self.tokenizer = tokenizer
+        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if any(map(text.__contains__, self.added))]
+        if not whole:
+            return super().ids(texts)
+        plain = list(texts)
+        for i in whole:
+            plain[i] = ""
+        found = super().ids(plain)
+        for i in whole:
+            found[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return found
+
+
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> Encoder:
     """Encodes by a tokenizer file: its own splitter, then its own model on each piece.
 
-    Strings of special tokens are ordinary text, and no special tokens are added.
+    Added tokens in a text become their own ids, as in the library; none are put around it.
     """
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     if tokenizer.normalizer is not None:
         raise ValueError("texts are split before they are normalised")
     split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
@@ -204,7 +223,7 @@ def library_encoder(path: str) -> Encoder:
             found[piece] = array("I", [token.id for token in merge(piece)]).tobytes()
         return [b"".join(map(found.__getitem__, pieces)) for pieces in parts]
 
-    return Encoder(encode, STRETCHES)
+    return LibraryEncoder(tokenizer, encode)
 
 
 def write(

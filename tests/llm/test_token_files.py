@@ -63,6 +63,22 @@ def check(docs):
     assert sorted(seen) == sorted(want)
 
 
+def test_added_tokens_as_the_unaltered_library(spark):
+    own = Tokenizer.from_file(PATH)
+    texts = [
+        "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "no such token", "",
+        "one two  <|endoftext|>\n three <|endoftext| four",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = sorted(tf.read(tf.write(docs, PATH, 2)).collect(), key=lambda r: r["key"])
+    start = 0
+    for text, r in zip(texts, found, strict=True):
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert 50256 in tf.library_encoder(PATH).ids(texts)[0]
+
+
 def test_lake(documents):
     check(documents.repartition(3))
 
