@@ -22,6 +22,8 @@ BLANKS = " \t\n\v\f\r"
 # Marks that end a sentence, closing quotes and brackets aside.
 ENDS = tuple(".!?…:;。！？؟।")
 CLOSERS = "\"'”’»›)]}）」』"
+# A sentence that ends inside a line: full-width marks need no blank after them.
+INSIDE = re.compile(rf"(?:[.!?…؟।][{re.escape(CLOSERS)}]*\s|[。！？])")
 SEPARATORS = re.compile(r"(?<!\S)[|•·»›>/\\–—-]+(?!\S)")
 MARKED = re.compile(r"(?:[#*$%&|<>]{2,}|!{2,}|\?{2,})(?!\S)")
 # Phrases of pages rather than of texts, in lower case.
@@ -57,6 +59,8 @@ class Rules:
     marked_share: float = 0.3  # of a line's words with trailing symbols: not prose
     separators: int = 3  # in a line: a menu or a table row
     separator_share: float = 0.2  # of a line's words
+    long_words: int = 10  # a line of so many words, or
+    long_chars: int = 60  # of so many characters, may lack its last mark if a sentence ends inside
     most_lost: float = 0.5  # share of a document's word characters in failing lines
 
 
@@ -92,9 +96,10 @@ def line_fails(line: str, rules: Rules, marks: bool = True, phrases: bool = True
             return "punctuation"
     if phrases and any(map(line.lower().__contains__, BOILERPLATE)):
         return "boilerplate"
-    if not line.rstrip().rstrip(CLOSERS).endswith(ENDS):
-        return "punctuation"
-    return None
+    if line.rstrip().rstrip(CLOSERS).endswith(ENDS):
+        return None
+    long = len(line.strip()) >= rules.long_chars or len(line.split()) >= rules.long_words
+    return None if long and INSIDE.search(line) else "punctuation"
 
 
 @dataclass

@@ -52,6 +52,18 @@ def test_line_rules():
     assert lq.line_fails("All rights reserved by us.", rules) == "boilerplate"
 
 
+def test_long_lines_of_sentences_need_no_last_mark():
+    prose = " ".join(f"Sentence {i} tells of things number{i} that happened there." for i in range(9))
+    for end in ("", " Call 030 1234567", " and then the text was cut in the mid", ' He said "no." Then'):
+        found = lq.judge(prose + end)
+        assert found.kept and found.cleaned == prose + end and found.lost_chars == 0
+    assert lq.line_fails("这是第一句话，说了很多事情。" * 6 + "最后一句没有写完", lq.Rules()) is None
+    plain = "one long line of many plain words and not a single mark anywhere in it at all"
+    assert lq.line_fails(plain, lq.Rules()) == "punctuation"
+    assert lq.line_fails("One. two three", lq.Rules()) == "punctuation"
+    assert lq.line_fails("see version 3.5 of 12.7 at a.b.example for all of the many words", lq.Rules()) == "punctuation"
+
+
 def test_lines_go_first_then_documents():
     body = "\n".join(f"One{i} may{i} read this{i} sentence{i} as{i} prose{i}." for i in range(9))
     mixed = lq.judge(f"Menu | Home | Out\n{body}\nCopyright, all rights reserved.")
