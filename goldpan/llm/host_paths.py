@@ -34,6 +34,8 @@ DIGITS = re.compile(r"\d+")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math"}
+# End tags of raw text, found in the page itself: a lower-case copy may have other places.
+RAW_END = {name: re.compile(rf"</{name}(?![^\s/>])", re.IGNORECASE | re.ASCII) for name in RAW}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt "
@@ -124,7 +126,6 @@ class Page:
             del stack[depth:]
 
         at, size = 0, len(html)
-        lower: str | None = None
         while at < size:
             found = TAG.search(html, at)
             stop = found.start() if found else size
@@ -151,13 +152,12 @@ class Page:
                         break
                 continue
             if name in RAW:
-                lower = lower or html.lower()
-                close = lower.find(f"</{name}", at)
                 if found[3].endswith("/") and name in ("svg", "math"):
                     continue
-                if close < 0:
+                close = RAW_END[name].search(html, at)
+                if not close:
                     break
-                end = html.find(">", close)
+                end = html.find(">", close.end())
                 at = size if end < 0 else end + 1
                 continue
             if name in VOID:

@@ -44,6 +44,12 @@ def test_awkward_pages(html, text):
     assert hp.Page(html).text(None) == text
 
 
+def test_raw_text_ends_at_its_own_place():
+    """A letter that is two in lower case does not move the end of a script."""
+    html = f"<p>{'İ' * 30}</p><SCRIPT>x</Script ><p>Lost text</p><script>'</scripts>'</script\n><p>b</p>"
+    assert hp.Page(html).text(None) == f"{'İ' * 30}\n\nLost text\n\nb"
+
+
 def test_host_votes_pick_the_path_for_odd_pages(spark):
     """A page of which an aside holds most text follows the other pages of its host."""
     usual = "<body><div class=box>{0}</div><div class=story><p>{1}</p></div></body>"
