@@ -13,6 +13,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,8 @@ DROPPED_NAMES = set(
     "promotion related replies respond search share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget widgets".split()
 )
+# After these, a name says what the element has or lacks: "has-sidebar", "no-sidebar".
+MODIFIERS = set("has no with without".split())
 # Names that say what an element is about, not that it is furniture.
 KEPT_NAMES = set("article content entry post story body main text page".split())
 CLOSES_P = set(
@@ -79,10 +82,11 @@ CONTAINERS = set("html body article main section div center details".split())
 class Block:
     """A stretch of text that ends a line, and the container it is in."""
 
-    __slots__ = ("text", "place", "linked")
+    __slots__ = ("text", "place", "linked", "named", "article")
 
-    def __init__(self, text: str, place: int, linked: int) -> None:
+    def __init__(self, text: str, place: int, linked: int, named: int, article: int) -> None:
         self.text, self.place, self.linked = text, place, linked
+        self.named, self.article = named, article
 
 
 class Page:
@@ -93,7 +97,12 @@ class Page:
         self.paths, self.around = [""], [-1]
         self.names: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
+        # Elements with names of furniture, and articles, each with the one around it (or -1).
+        self.named: list[int] = []
+        self.articles: list[tuple[int, int, str]] = []  # and the named element, and the tag
         self._read(html)
+        if self.named:
+            self._drop_furniture()
 
     def _place(self, around: int, label: str) -> int:
         found = self.names.get((around, label))
@@ -104,8 +113,8 @@ class Page:
         return found
 
     def _read(self, html: str) -> None:
-        # Open elements: tag, container number, furniture above, inside an article.
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # Open elements: tag, container number, dropped, named element and article (or -1).
+        stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, -1, -1)]
         held: list[str] = []
         linked = links = 0
 
@@ -117,7 +126,8 @@ class Page:
                     text = unescape(text)
                 text = " ".join(text.split())
                 if text:
-                    self.blocks.append(Block(text, stack[-1][1], min(linked, len(text))))
+                    _, place, _, named, article = stack[-1]
+                    self.blocks.append(Block(text, place, min(linked, len(text)), named, article))
                 held.clear()
             linked = 0
 
@@ -186,21 +196,72 @@ class Page:
             if name != "span":
                 end_block()
                 links = 0
-            _, place, dropped, article = stack[-1]
+            _, place, dropped, named, article = stack[-1]
             attributes = found[3]
             label = name
             if attributes:
-                classes, drop = _attributes(attributes, name, article)
-                dropped = dropped or drop
+                classes, drop, furniture = _attributes(attributes, name, article >= 0)
+                # Text inside a span belongs to the block around it: it is judged at once.
+                dropped = dropped or drop or furniture and name == "span"
+                if furniture and not dropped:
+                    self.named.append(named)
+                    named = len(self.named) - 1
                 label = name + classes
-            article = article or name in ("article", "main")
-            if name in DROPPED or name == "header" and not article:
+            if name in ("article", "main"):
+                self.articles.append((article, named, name))
+                article = len(self.articles) - 1
+            if name in DROPPED or name == "header" and article < 0:
                 dropped = True
             if name in CONTAINERS:
                 place = self._place(place, label)
-            stack.append((name, place, dropped, article))
+            stack.append((name, place, dropped, named, article))
         end_block()
 
+    def _drop_furniture(self) -> None:
+        """Drops blocks in elements named as furniture, unless these hold the page's article.
+
+        Such a name is not believed around a main, around the largest article if that has more
+        text than all outside of the element, and, where no article is left, on an element
+        that holds most of the page's text.
+        """
+        held, inside = [0] * len(self.named), [0] * len(self.articles)
+        total = 0
+        for block in self.blocks:
+            size = len(block.text)
+            total += size
+            if block.named >= 0:
+                held[block.named] += size
+            if block.article >= 0:
+                inside[block.article] += size
+        # Elements come after those around them: pass sums on, innermost first.
+        for i in range(len(held) - 1, -1, -1):
+            if self.named[i] >= 0:
+                held[self.named[i]] += held[i]
+        for i in range(len(inside) - 1, -1, -1):
+            if self.articles[i][0] >= 0:
+                inside[self.articles[i][0]] += inside[i]
+        believed = [True] * len(held)
+        largest = max(range(len(inside)), key=inside.__getitem__, default=-1)
+        for i, (_, named, tag) in enumerate(self.articles):
+            if named < 0 or not inside[i]:
+                continue
+            if tag == "main" or i == largest and inside[i] > total - held[named]:
+                while named >= 0:
+                    believed[named] = False
+                    named = self.named[named]
+        dropped = self._dropped(believed)
+        if not any(b.article >= 0 and not dropped[b.named] for b in self.blocks):
+            believed = [b and size < MOST * total for b, size in zip(believed, held)]
+            dropped = self._dropped(believed)
+        self.blocks = [b for b in self.blocks if not dropped[b.named]]
+
+    def _dropped(self, believed: list[bool]) -> list[bool]:
+        """Whether each named element, or one around it, is furniture; the last is for none."""
+        dropped = [False] * (len(believed) + 1)
+        for i, around in enumerate(self.named):
+            dropped[i] = believed[i] or dropped[around]
+        return dropped
+
     def shares(self) -> dict[str, float]:
         """Of each container path, the share of article-like text below it."""
         sums: dict[int, int] = defaultdict(int)
@@ -237,25 +298,26 @@ class Page:
         return [b for b in blocks if inside[b.place]]
 
 
-def _attributes(text: str, tag: str, article: bool) -> tuple[str, bool]:
-    """Generalised classes of a tag, and whether it says that the element is furniture."""
-    classes, drop = "", False
+def _attributes(text: str, tag: str, article: bool) -> tuple[str, bool, bool]:
+    """Generalised classes of a tag, whether it hides the element or gives it a role that is
+    dropped, and whether it has a name of furniture."""
+    classes, drop, named = "", False, False
     for found in ATTRIBUTE.finditer(text):
         name = found[1].lower()
         value = found[2] or found[3] or found[4] or ""
         if name == "class":
             general = sorted({DIGITS.sub("#", c) for c in value.split()})
             classes = "".join(f".{c}" for c in general)
-            drop = drop or _furniture(value, tag, article)
+            named = named or _furniture(value, tag, article)
         elif name == "id":
-            drop = drop or _furniture(value, tag, article)
+            named = named or _furniture(value, tag, article)
         elif name == "role":
             drop = drop or value.strip().lower() in DROPPED_ROLES
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             drop = True
         elif name == "style":
             drop = drop or "display:none" in value.replace(" ", "").lower()
-    return classes, drop
+    return classes, drop, named
 
 
 def _furniture(value: str, tag: str, article: bool) -> bool:
@@ -263,6 +325,7 @@ def _furniture(value: str, tag: str, article: bool) -> bool:
         return False
     for name in value.split():
         parts = [x.lower() for x in NAME_PARTS.findall(name)]
+        parts = list(takewhile(lambda part: part not in MODIFIERS, parts))
         hits = DROPPED_NAMES.intersection(parts)
         if article:
             hits -= {"header"}  # of the article itself

@@ -44,6 +44,25 @@ def test_awkward_pages(html, text):
     assert hp.Page(html).text(None) == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<div class='site has-sidebar'>{}</div>",
+        "<div id=page class='layout no-sidebar'>{}</div>",
+        "<section class=notice-board>{}</section>",
+        "<div class='post with-banner'>{}</div>",
+        "<div class=sidebar-left><div class=widget-page>{}</div></div>",
+    ],
+)
+def test_names_of_wrappers_do_not_drop_the_article(wrapper):
+    furniture = "<div class=sidebar><p>side</p></div><div id=comments><article>nice</article></div>"
+    for body in ("<article><p>{}</p></article>", "<main><p>{}</p></main>", "<p>{}</p>"):
+        own = body.format("Some words of the story. " * 9)
+        text = ("Some words of the story. " * 9).strip()
+        assert hp.Page(f"<body>{wrapper.format(own + furniture)}</body>").text(None) == text
+    assert hp.Page(f"<body><article><p>short</p></article>{furniture * 9}</body>").text(None) == "short"
+
+
 def test_raw_text_ends_at_its_own_place():
     """A letter that is two in lower case does not move the end of a script."""
     html = f"<p>{'İ' * 30}</p><SCRIPT>x</Script ><p>Lost text</p><script>'</scripts>'</script\n><p>b</p>"
