@@ -76,25 +76,33 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("html body article main section div center details".split())
+OUTER = {"", "html", "body"}  # containers of whole pages
 
 
 class Block:
     """A stretch of text that ends a line, and the container it is in."""
 
-    __slots__ = ("text", "place", "linked", "named", "article")
+    __slots__ = ("text", "place", "linked", "named", "article", "heading")
 
-    def __init__(self, text: str, place: int, linked: int, named: int, article: int) -> None:
+    def __init__(
+        self, text: str, place: int, linked: int, named: int, article: int, heading: bool
+    ) -> None:
         self.text, self.place, self.linked = text, place, linked
-        self.named, self.article = named, article
+        self.named, self.article, self.heading = named, article, heading
+
+    def navigates(self) -> bool:
+        """Whether it is mostly links."""
+        return self.linked > LINKED * len(self.text)
 
 
 class Page:
     """The text blocks of a page that are not furniture, with their containers."""
 
     def __init__(self, html: str) -> None:
-        # Containers by number: path of tags and classes, and the container around.
-        self.paths, self.around = [""], [-1]
+        # Containers by number: path of tags and classes, tag, and the container around.
+        self.paths, self.tags, self.around = [""], [""], [-1]
         self.names: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
         # Elements with names of furniture, and articles, each with the one around it (or -1).
@@ -104,11 +112,12 @@ class Page:
         if self.named:
             self._drop_furniture()
 
-    def _place(self, around: int, label: str) -> int:
+    def _place(self, around: int, label: str, tag: str) -> int:
         found = self.names.get((around, label))
         if found is None:
             found = self.names[(around, label)] = len(self.paths)
             self.paths.append(f"{self.paths[around]}/{label}")
+            self.tags.append(tag)
             self.around.append(around)
         return found
 
@@ -127,7 +136,13 @@ class Page:
                 text = " ".join(text.split())
                 if text:
                     _, place, _, named, article = stack[-1]
-                    self.blocks.append(Block(text, place, min(linked, len(text)), named, article))
+                    depth = len(stack) - 1
+                    while stack[depth][0] == "span":
+                        depth -= 1
+                    heading = stack[depth][0] in HEADINGS
+                    self.blocks.append(
+                        Block(text, place, min(linked, len(text)), named, article, heading)
+                    )
                 held.clear()
             linked = 0
 
@@ -213,7 +228,7 @@ class Page:
             if name in DROPPED or name == "header" and article < 0:
                 dropped = True
             if name in CONTAINERS:
-                place = self._place(place, label)
+                place = self._place(place, label, name)
             stack.append((name, place, dropped, named, article))
         end_block()
 
@@ -278,24 +293,31 @@ class Page:
         return held
 
     def main(self) -> list[Block]:
-        return [b for b in self.blocks if b.linked <= LINKED * len(b.text)]
+        """The blocks by which containers are scored: a page of links alone is scored by those."""
+        return [b for b in self.blocks if not b.navigates()] or self.blocks
 
     def text(self, path: str | None) -> str:
-        """The blocks below the path, or below the page's own best one if it has none."""
-        blocks = self.main()
-        chosen = self._below(blocks, path) if path is not None else []
+        """The blocks below the path, or below the page's own best one if it has none.
+
+        Links are left out only where no article is found, below the root or the body.
+        """
+        chosen = self._below(path) if path is not None else []
         if not chosen:
             shares = self.shares()
             holding = [p for p, share in shares.items() if share >= MOST]
             own = max(holding, key=lambda p: (p.count("/"), p), default="")
-            chosen = self._below(blocks, own)
+            chosen = self._below(own)
         return "\n\n".join(b.text for b in chosen)
 
-    def _below(self, blocks: list[Block], path: str) -> list[Block]:
-        inside = [False] * len(self.paths)
+    def _below(self, path: str) -> list[Block]:
+        inside, free = [False] * len(self.paths), [False] * len(self.paths)
         for i, own in enumerate(self.paths):
             inside[i] = own == path or (i > 0 and inside[self.around[i]])
-        return [b for b in blocks if inside[b.place]]
+            free[i] = inside[i] and (self.tags[i] not in OUTER or i > 0 and free[self.around[i]])
+        return [
+            b for b in self.blocks
+            if inside[b.place] and (free[b.place] or b.heading or not b.navigates())
+        ]
 
 
 def _attributes(text: str, tag: str, article: bool) -> tuple[str, bool, bool]:

@@ -44,6 +44,17 @@ def test_awkward_pages(html, text):
     assert hp.Page(html).text(None) == text
 
 
+def test_linked_blocks_of_an_article_stay():
+    inside = "<h1><a href=/1>Title</a></h1><p>Some plain text of it.</p><ul><li><a href=a>A source</a></ul><p>By <a href=b>some author</a></p>"
+    want = "Title\n\nSome plain text of it.\n\nA source\n\nBy some author"
+    outside = "<ul><li><a href=x>Home</a><li><a href=y>About</a></ul>"
+    for tag in ("article", "main", "div class=story"):
+        page = hp.Page(f"<body><div class=top>{outside}</div><{tag}>{inside}</{tag.split()[0]}></body>")
+        assert page.text(None) == want
+    assert hp.Page(f"<body>{outside}<h1><a href=/1>Title</a></h1><p>text").text(None) == "Title\n\ntext"
+    assert hp.Page("<body><article><ul><li><a href=a>A source</a></ul></article>").text(None) == "A source"
+
+
 @pytest.mark.parametrize(
     "wrapper",
     [
