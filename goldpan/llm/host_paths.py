@@ -4,14 +4,14 @@ Every page scores its containers by the share of its article-like text that each
 container is named by its generalised path: the tags and classes from the root, without
 positions, digits replaced. Shares are added up per host and path in Spark; the deepest
 path that holds most of the text of a host's pages wins. Pages are then extracted anew
-from the containers of their host's winning path.
+from the whole articles around the containers of their host's winning path.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import unescape
 from itertools import takewhile
 
@@ -296,29 +296,95 @@ class Page:
         """The blocks by which containers are scored: a page of links alone is scored by those."""
         return [b for b in self.blocks if not b.navigates()] or self.blocks
 
-    def text(self, path: str | None) -> str:
-        """The blocks below the path, or below the page's own best one if it has none.
+    def text(self, path: str | None, usual: Collection[str] = ()) -> str:
+        """The article around the path, or around the page's own best one.
 
-        Links are left out only where no article is found, below the root or the body.
+        Its own decides on a page without the path, and on one with more text in containers
+        that are not among the ``usual`` ones of its host than around the path: a page
+        made by another template. Links are left out only outside the article found.
         """
-        chosen = self._below(path) if path is not None else []
+        chosen = self._around(path) if path is not None else []
+        if chosen and usual and self._foreign(chosen, path, usual):
+            chosen = []
         if not chosen:
             shares = self.shares()
             holding = [p for p, share in shares.items() if share >= MOST]
-            own = max(holding, key=lambda p: (p.count("/"), p), default="")
-            chosen = self._below(own)
+            chosen = self._around(max(holding, key=lambda p: (p.count("/"), p), default=""))
         return "\n\n".join(b.text for b in chosen)
 
-    def _below(self, path: str) -> list[Block]:
-        inside, free = [False] * len(self.paths), [False] * len(self.paths)
-        for i, own in enumerate(self.paths):
-            inside[i] = own == path or (i > 0 and inside[self.around[i]])
-            free[i] = inside[i] and (self.tags[i] not in OUTER or i > 0 and free[self.around[i]])
+    def _around(self, path: str) -> list[Block]:
+        """The blocks of the article that the containers of a path are in."""
+        inner = [i for i, own in enumerate(self.paths) if own == path]
+        if not inner:
+            return []
+        outer = {self._article(i) for i in inner}
+        article = {i for i in outer if self.tags[i] in ("article", "main")}
+        article.update(i for i in inner if self.tags[i] not in OUTER)
+        inside, free = self._below(outer), self._below(article)
         return [
             b for b in self.blocks
             if inside[b.place] and (free[b.place] or b.heading or not b.navigates())
         ]
 
+    def _below(self, places: Collection[int]) -> list[bool]:
+        """Of each container, whether it is one of the given or inside one."""
+        inside = [False] * len(self.paths)
+        for i, around in enumerate(self.around):
+            inside[i] = i in places or i > 0 and inside[around]
+        return inside
+
+    def _article(self, place: int) -> int:
+        """The container of the whole article of which a container holds most.
+
+        The nearest article or main around, if it has a heading. Otherwise, below the body,
+        the outermost container that adds a heading, or text of its own beside the inner
+        one, and in which other containers hold little.
+        """
+        at = place
+        while at and self.tags[at] not in ("article", "main"):
+            at = self.around[at]
+        found = at or place
+        inside = self._below({found})
+        if self.tags[found] in OUTER or self.tags[found] == "main":
+            return found
+        if at and any(b.heading and inside[b.place] for b in self.blocks):
+            return found
+        direct: dict[int, int] = defaultdict(int)
+        total: dict[int, int] = defaultdict(int)
+        headings: set[int] = set()
+        for block in self.main():
+            direct[block.place] += len(block.text)
+        for block in self.blocks:
+            if block.heading and not inside[block.place]:
+                headings.add(block.place)
+                direct[block.place] += len(block.text) if block.navigates() else 0
+        for i in range(len(self.paths) - 1, -1, -1):
+            total[i] += direct[i]
+            if i:
+                total[self.around[i]] += total[i]
+                if i in headings:
+                    headings.add(self.around[i])
+        held, own = total[found], 0  # text of the containers passed, beside those in them
+        at = self.around[found]
+        while self.tags[at] not in OUTER:
+            own += direct[at]
+            if total[at] - held - own > (1 - MOST) * total[at]:
+                break
+            if at in headings or direct[at]:
+                found = at
+            at = self.around[at]
+        return found
+
+    def _foreign(self, chosen: list[Block], path: str, usual: Collection[str]) -> bool:
+        """Whether unusual containers hold more text than the chosen blocks."""
+        known = [False] * len(self.paths)
+        for i, own in enumerate(self.paths):
+            above = own == path or not own or path.startswith(f"{own}/")
+            known[i] = i > 0 and known[self.around[i]] or own in usual and not above
+        taken = set(map(id, chosen))
+        foreign = sum(len(b.text) for b in self.main() if id(b) not in taken and not known[b.place])
+        return foreign > sum(len(b.text) for b in chosen)
+
 
 def _attributes(text: str, tag: str, article: bool) -> tuple[str, bool, bool]:
     """Generalised classes of a tag, whether it hides the element or gives it a role that is
@@ -363,7 +429,10 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes) of pages (host, html): shares added up per host and path."""
+    """(host, path, votes, pages) of pages (host, html): shares added up per host and path.
+
+    ``pages`` counts those that have text below the path.
+    """
     schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,27 +446,36 @@ def votes(pages: DataFrame) -> DataFrame:
     cast = pages.select("host", "html").mapInArrow(run, "host string, path string, votes double")
     # Whole thousandths add up alike in any order.
     thousandths = F.sum(F.round(F.col("votes") * 1000).cast("long"))
-    return cast.groupBy("host", "path").agg(thousandths.alias("votes"))
+    return cast.groupBy("host", "path").agg(
+        thousandths.alias("votes"), F.count(F.lit(1)).alias("pages")
+    )
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, winner): the deepest path that holds most of the text of the host's pages.
+    """(host, winner, usual): the deepest path that holds most of the text of the host's pages,
+    and the paths that more than half of these have.
 
     The root, path "", holds all of it. Ties go to the path with more votes, then to the
-    larger path.
+    larger path. Usual paths are at most twice as many as a page has on average.
     """
     cast = stored(votes(pages))  # a row per host and path, read twice
-    totals = cast.where("path = ''").select("host", F.col("votes").alias("total"))
+    totals = cast.where("path = ''").select(
+        "host", F.col("votes").alias("total"), F.col("pages").alias("all_pages")
+    )
     depth = F.length("path") - F.length(F.translate("path", "/", ""))
-    holding = cast.join(totals, "host").where(F.col("votes") >= MOST * F.col("total"))
-    best = F.max_by("path", F.struct(depth, "votes", "path"))
-    return holding.groupBy("host").agg(best.alias("winner"))
+    holds = F.col("votes") >= MOST * F.col("total")
+    common = 2 * F.col("pages") > F.col("all_pages")
+    paths = cast.join(totals, "host").where(holds | common)
+    best = F.max_by(F.when(holds, F.col("path")), F.when(holds, F.struct(depth, "votes", "path")))
+    usual = F.collect_list(F.when(common, F.col("path")))
+    return paths.groupBy("host").agg(best.alias("winner"), usual.alias("usual"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, text) of every page, from the containers of its host's winning path.
+    """(key, url, text) of every page, from the article around its host's winning path.
 
-    A page without that path is extracted from its own best container; without any text
+    A page without that path, or of another template, is extracted from its own best
+    container; without any text
     the result is empty, as for NULL and empty pages. Pages without a host share the host
     "". Repeated rows stay; other columns are ignored.
     """
@@ -411,12 +489,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     # Pages are sorted and merged with the winners, so that adaptive execution can split the
     # pages of a host that has many.
     winning = winners(chosen).hint("merge")
-    with_winner = chosen.join(winning, "host", "left").select("key", "url", "html", "winner")
+    with_winner = chosen.join(winning, "host", "left").select("key", "url", "html", "winner", "usual")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                Page(body).text(path) for body, path in rows(iter([batch]), "html", "winner")
+                Page(body).text(path, frozenset(usual or ()))
+                for body, path, usual in rows(iter([batch]), "html", "winner", "usual")
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("url"), pa.array(texts, pa.string())],

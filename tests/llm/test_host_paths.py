@@ -99,6 +99,38 @@ def test_host_votes_pick_the_path_for_odd_pages(spark):
     assert hp.extract(pages.limit(0)).count() == 0
 
 
+BODY = "<p>" + "Words of the body of it. " * 40 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article><h1>Head</h1><p class=lead>Lead</p><div class=body>{}</div></article>",
+        "<main><h1>Head</h1><p class=lead>Lead</p><article>{}</article></main>",
+        "<div class=post><div class=top><h1>Head</h1></div><p>Lead</p><div class=body>{}</div></div>",
+        "<div class=post><h1><a href=x>Head</a></h1><p>Lead</p><div><div class=body>{}</div></div></div>",
+    ],
+)
+def test_headline_and_lead_are_of_the_article(spark, html):
+    page = f"<body><div class=box><p>Box</p></div>{html.format(BODY)}</body>"
+    want = "Head\n\nLead\n\n" + ("Words of the body of it. " * 40).strip()
+    assert hp.Page(page).text(None) == want
+    pages = spark.createDataFrame([(i, "http://h.org/", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in hp.extract(pages).collect()} == {want}
+
+
+def test_pages_of_another_template(spark):
+    """What unusual containers hold is not left out for a small block below the winner."""
+    usual = f"<body><div class=box>box</div><div class=story>{BODY}</div></body>"
+    other = "<body><div class=story>Teaser</div><section class=long><p>" + "A long report. " * 50 + "</p></section></body>"
+    odd = "<body><div class=box>" + "box " * 300 + "</div><div class=story><p>The story.</p></div></body>"
+    rows = [(i, "http://h.org/", usual) for i in range(40)] + [(40, "http://h.org/", other), (41, "http://h.org/", odd)]
+    found = hp.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    texts = {r["key"]: r["text"] for r in found.collect()}
+    assert ("A long report. " * 50).strip() in texts[40] and texts[41] == "The story."
+    assert texts[0] == ("Words of the body of it. " * 40).strip()
+
+
 def test_articles_of_the_lake(spark, lake):
     pages = spark.read.parquet(f"{lake}/pages.parquet")
     found = {r["key"]: r["text"] for r in hp.extract(pages).collect()}
