@@ -15,6 +15,7 @@ from goldpan.llm import (
     jump_shards,
     line_quality,
     packing,
+    periodic_runs,
     secret_scans,
     simhash,
     token_files,
@@ -139,6 +140,47 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the texts, by the crc of doc_id, a stretch repeats to the end.
+
+    With h = crc32(decimal doc_id), g = floor(h / 10) and n words, a text of h % 10 = 0 has
+    word a + (i - a) % p for each word i >= a, where a = g % n and
+    p = 1 + floor((n - a) / (3 + g % 8)). A NULL doc_id has no h.
+    """
+    hashed = docs.select("doc_id", "text", F.expr("crc32(cast(doc_id AS string))").alias("h"))
+    cut = r"regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1)"
+    place = "CASE WHEN i < x.a THEN i ELSE x.a + (i - x.a) % x.p END"
+    # Structs bind what is computed once: words, then where the stretch begins and its length.
+    repeated = f"""
+        transform(transform(transform(
+            array(struct({cut} AS w, h div 10 AS g)),
+            x -> struct(x.w AS w, x.g AS g, x.g % size(x.w) AS a)),
+            x -> struct(x.w AS w, x.a AS a, 1 + (size(x.w) - x.a) div (3 + x.g % 8) AS p)),
+            x -> array_join(
+                transform(sequence(0, size(x.w) - 1), i -> x.w[cast({place} AS int)]), ' '))[0]
+    """
+    picked = r"h % 10 = 0 AND text RLIKE '[^\\x20\\x09-\\x0D]'"
+    return hashed.select(
+        "doc_id", F.expr(f"CASE WHEN {picked} THEN {repeated} ELSE text END").alias("text")
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find(looped(table(spark, folder, "documents")))
+    line = "concat_ws(',', run.start, run.length, run.period)"
+    best = "strongest"
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"{best}.{name}").alias(name) for name in ("start", "length", "period")),
+        F.expr(f"1000 * {best}.length div {best}.period").alias("exponent_milli"),
+        F.expr(f"sha2(array_join(transform(runs, run -> concat({line}, '\n')), ''), 256)").alias(
+            "runs_sha256"
+        ),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -155,6 +197,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_token_planes": op9_token_planes,
         "op10_secret_scans": op10_secret_scans,
+        "op11_periodic_runs": op11_periodic_runs,
         "pipeline": pipeline,
     }
 
