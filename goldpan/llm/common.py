@@ -24,6 +24,18 @@ def stored(df: DataFrame) -> DataFrame:
     return written(df, new_folder(df.sparkSession))
 
 
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written once, and the folder they lie in: for those who delete it later."""
+    folder = new_folder(df.sparkSession)
+    return written(df, folder), folder
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that an operator wrote and that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Python tuples of some columns, a bounded slice of a batch at a time.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from goldpan.llm import (
     host_paths,
     jump_shards,
     line_quality,
+    ns_clusters,
     packing,
     periodic_runs,
     secret_scans,
@@ -28,6 +30,7 @@ from goldpan.llm.common import stored, table
 SHARDS = 40
 RADIUS = 3
 END_ID = 2
+CLUSTERS, ROUNDS = 40, 5
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,6 +184,28 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_ns_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found = ns_clusters.cluster(table(spark, folder, "embeddings"), CLUSTERS, ROUNDS)
+    held = found.summary.collect()  # a row per cluster
+    whole = sum(r["inertia"] for r in held)
+    digests = [
+        hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()
+        for c in found.centroids.tolist()
+    ]
+    summary = spark.createDataFrame(
+        [(r["cluster"], r["inertia"], whole, digests[r["cluster"]]) for r in held],
+        "cluster int, cluster_inertia long, inertia long, centroid_sha256 string",
+    )
+    return found.assigned.join(F.broadcast(summary), "cluster").select(
+        F.col("key").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        "centroid_sha256",
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -198,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_planes": op9_token_planes,
         "op10_secret_scans": op10_secret_scans,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_ns_clusters": op12_ns_clusters,
         "pipeline": pipeline,
     }
 
