@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from goldpan.llm import (
+    balanced_packing,
     byte_bpe,
     host_paths,
     jump_shards,
@@ -31,6 +32,7 @@ SHARDS = 40
 RADIUS = 3
 END_ID = 2
 CLUSTERS, ROUNDS = 40, 5
+CAPACITY, PACK_END_ID = 2048, 1
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,6 +208,20 @@ def op12_ns_clusters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return balanced_packing.pack(docs, path, PACK_END_ID, CAPACITY).select(
+        F.col("key").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        F.col("sequence").alias("sequence_id"),
+        "offset",
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -224,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scans": op10_secret_scans,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_ns_clusters": op12_ns_clusters,
+        "op13_balanced_packing": op13_balanced_packing,
         "pipeline": pipeline,
     }
 
