@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from goldpan.functions import mean
+from goldpan.functions.moments import deviation_of, variation_of
 from goldpan.operators import ranking
+from goldpan.operators.quality import quoted
 
 # Equal parts that an interval of values is counted in.
 BINS = 4096
+# Rows of an interval that are put in order rather than counted once more.
+FINAL_ROWS = 10_000
 
 
 def average(column: str, digits: int = 2) -> Column:
@@ -23,14 +27,17 @@ def average(column: str, digits: int = 2) -> Column:
     return mean(f"sum({column})", f"count({column})", digits)
 
 
-def deviation(column: str, digits: int = 2) -> Column:
-    """Sample standard deviation; NULL for fewer than two values."""
-    return F.expr(f"round(stddev_samp({column}), {digits})")
+def deviation(column: str, digits: int = 2, kind: T.DataType | None = None) -> Column:
+    """Sample standard deviation; NULL for fewer than two values.
+
+    Exact where ``kind``, the column's type, is that of whole numbers or decimals.
+    """
+    return deviation_of(column, digits, kind)
 
 
-def variation_pct(column: str, digits: int = 2) -> Column:
+def variation_pct(column: str, digits: int = 2, kind: T.DataType | None = None) -> Column:
     """Coefficient of variation in percent; NULL for a zero mean."""
-    return F.expr(f"round(stddev_samp({column}) / nullif(avg({column}), 0) * 100, {digits})")
+    return variation_of(column, digits, kind)
 
 
 def order_statistics(
@@ -40,7 +47,8 @@ def order_statistics(
 
     Percent rank is (rows before) / (rows - 1), NULLs first, so this is the value at
     position floor(fraction * (rows - 1)) of the sorted rows: the lower order statistic,
-    not an interpolated percentile. ``also`` are aggregates of the same rows, in front.
+    not an interpolated percentile. Of a floating column minus infinity is the lowest value and
+    NaN the highest. ``also`` are aggregates of the same rows, in front.
 
     Exact without sorting the column. One pass takes the counts, the extremes and
     ``also``. The interval between the extremes is counted in equal parts, partial sums per
@@ -49,14 +57,26 @@ def order_statistics(
     put in order.
     """
     field = df.schema[column]
-    own = F.col(column)
-    counts = [F.count(F.lit(1)), F.count(own), F.min(own), F.max(own)]
+    own = quoted(column)
+    floating = isinstance(field.dataType, (T.DoubleType, T.FloatType))
+    ends = [float("-inf"), float("inf"), float("nan")] if floating else []
+    finite = F.when(~F.isnan(own) & (F.abs(own) < ends[1]), own) if floating else own
+    counts = [F.count(F.lit(1)), F.count(own), F.count(finite), F.min(finite), F.max(finite)]
+    counts += [F.count_if(own == end) for end in ends]
     pass_one = df.agg(*also, *(c.alias(f"own_{i}_") for i, c in enumerate(counts)))
     seen = pass_one.first()
-    rows, present, least, greatest = seen[len(also) :]
+    rows, present, inner, low, high, *outer = seen[len(also) :]
     wanted = {name: math.floor(f * (rows - 1)) - (rows - present) for name, f in fractions.items()}
-    sought = sorted({position for position in wanted.values() if 0 <= position < present})
-    found = _values_at(df.select(column), field, sought, Span(least, greatest, present, 0))
+    lowest = outer[0] if outer else 0
+    sought = sorted({at for at in wanted.values() if lowest <= at < lowest + inner})
+    values = df.select(finite.alias(column)) if floating else df.select(own)
+    found = _values_at(values, field, sought, Span(low, high, inner, lowest))
+    if outer:
+        for at in wanted.values():
+            if 0 <= at < lowest:
+                found[at] = ends[0]
+            elif lowest + inner <= at:
+                found[at] = ends[1] if at < lowest + inner + outer[1] else ends[2]
     shape = [*pass_one.schema.fields[: len(also)]]
     shape += [T.StructField(name, field.dataType) for name in wanted]
     row = (*seen[: len(also)], *(found.get(at) for at in wanted.values()))
@@ -87,7 +107,7 @@ def _values_at(
     name = "`" + field.name.replace("`", "``") + "`"
     spans = [whole] if sought else []
     while spans:
-        wide = [s for s in spans if s.low != s.high and s.rows > ranking.SINGLE_TASK_ROWS]
+        wide = [s for s in spans if s.low != s.high and s.rows > min(FINAL_ROWS, ranking.SINGLE_TASK_ROWS)]
         if not wide:
             break
         parts = _parts(values, field, name, kind, wide)
@@ -118,12 +138,13 @@ def _parts(
 ) -> list[Span]:
     """The spans cut into equal parts, those with rows, each as tight as its values."""
     dated = isinstance(field.dataType, T.DateType)
-    number = f"double({f'unix_date({name})' if dated else name})"
+    # Halves, so that the gap between the largest doubles is one too.
+    number = f"double({f'unix_date({name})' if dated else name}) / 2"
     which, part = "", ""
     for i, s in enumerate(spans):
-        low, high = (f"double({f'unix_date({x})' if dated else x})" for x in (
+        low, high = (f"double({f'unix_date({x})' if dated else x}) / 2" for x in (
             f"cast('{s.low}' as {kind})", f"cast('{s.high}' as {kind})"))
-        scaled = f"floor(({number} - {low}) / nullif({high} - {low}, 0D) * {BINS})"
+        scaled = f"floor(({number} - ({low})) / nullif(({high}) - ({low}), 0D) * {BINS})"
         which += f" when {s.condition(name, kind)} then {i}"
         part += f" when {i} then least(coalesce({scaled}, 0), {BINS - 1})"
     # In order of the parts: a larger value never has a smaller part.

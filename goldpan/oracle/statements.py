@@ -104,6 +104,22 @@ def by_attribute(column: str, average_too: bool = True, on: str = "") -> str:
       GROUP BY ALL ORDER BY total_revenue DESC NULLS LAST, 1 NULLS FIRST"""
 
 
+def profile_by(dim: str, key: str, column: str) -> str:
+    return f"""
+      WITH placed AS (
+        SELECT {column}, sales_amount AS x, percent_rank() OVER (
+          PARTITION BY {column} ORDER BY sales_amount NULLS FIRST) AS place
+        FROM fact_sales JOIN {dim} USING ({key}))
+      SELECT {column}, count(*) AS total_orders, {dbl("sum(x)")} AS total_revenue,
+             {dbl("min(x)")} AS min_order_value, {dbl("max(x)")} AS max_order_value,
+             {average("x")} AS avg_order_value, {spread("x")} AS stddev_order_value,
+             round(stddev_samp({dbl("x")}) / nullif(avg({dbl("x")}), 0) * 100, 2) AS cv_pct,
+             {dbl("max(x) FILTER (place <= 0.25)")} AS p25,
+             {dbl("max(x) FILTER (place <= 0.50)")} AS p50_median,
+             {dbl("max(x) FILTER (place <= 0.75)")} AS p75
+      FROM placed GROUP BY {column} ORDER BY 1 NULLS FIRST"""
+
+
 def product_board(
     way: str, rank: str, by_key: bool = False, method: str = "dense_rank"
 ) -> str:
@@ -211,6 +227,8 @@ def variants(roles) -> dict[str, str]:
             f"l_orderkey, {whole('l_linenumber')} AS l_linenumber",
         ),
         "p3_7f_dup_document_texts": repeated("documents", "text", "sha256(text) AS text_sha256"),
+        "p4_1b_profile_by_category": profile_by("dim_product", "product_id", "category"),
+        "p4_1c_profile_by_store_type": profile_by("dim_store", "store_id", "store_type"),
         "p5_6d_by_age_group_1995": by_attribute(roles.age_group, on=in_1995),
         "p5_6e_by_gender_1995": by_attribute(roles.gender, on=in_1995),
         "p5_6f_by_marital_1995": by_attribute(roles.marital_status, False, in_1995),

@@ -120,6 +120,12 @@ VARIANTS: dict[str, Statement] = {
         star.source("lineitem"), ["l_orderkey", "l_linenumber"]
     ),
     "p3_7f_dup_document_texts": _repeated_texts,
+    "p4_1b_profile_by_category": partial(
+        measures.sales_profile_by, dim="dim_product", column="category"
+    ),
+    "p4_1c_profile_by_store_type": partial(
+        measures.sales_profile_by, dim="dim_store", column="store_type"
+    ),
     "p5_6d_by_age_group_1995": _by_role(magnitudes.by_segment, "age_group", year=1995),
     "p5_6e_by_gender_1995": _by_role(magnitudes.by_segment, "gender", year=1995),
     "p5_6f_by_marital_1995": _by_role(

@@ -4,37 +4,52 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldpan.functions import mean, percent
 from goldpan.operators.measures import average, deviation, order_statistics, variation_pct
-from goldpan.plans.star import Star
+from goldpan.operators.quantiles import order_statistics_by
+from goldpan.plans.star import KEYS, Star
 
 QUARTILES = {"p25": Fraction(1, 4), "p50_median": Fraction(1, 2), "p75": Fraction(3, 4)}
 
 
-def sales_profile(star: Star) -> DataFrame:
+def _moments(star: Star) -> list[Column]:
     amount = "sales_amount"
-    moments = [
+    kind = star.fact_sales.schema[amount].dataType
+    return [
         F.count("*").alias("total_orders"),
         F.sum(amount).alias("total_revenue"),
         F.min(amount).alias("min_order_value"),
         F.max(amount).alias("max_order_value"),
         average(amount).alias("avg_order_value"),
-        deviation(amount).alias("stddev_order_value"),
-        variation_pct(amount).alias("cv_pct"),
+        deviation(amount, kind=kind).alias("stddev_order_value"),
+        variation_pct(amount, kind=kind).alias("cv_pct"),
     ]
-    return order_statistics(star.fact_sales, amount, QUARTILES, moments)
+
+
+def sales_profile(star: Star) -> DataFrame:
+    return order_statistics(star.fact_sales, "sales_amount", QUARTILES, _moments(star))
+
+
+def sales_profile_by(star: Star, dim: str, column: str) -> DataFrame:
+    """The profile of sales per value of a dimension's column."""
+    key = KEYS[dim]
+    members = star.gold[dim].select(key, column)
+    sold = star.fact_sales.select(key, "sales_amount").join(members, key)
+    profile = order_statistics_by(sold, [column], "sales_amount", QUARTILES, _moments(star))
+    return profile.orderBy(column)
 
 
 def price_and_quantity(star: Star) -> DataFrame:
+    fact = star.fact_sales
     per_unit = mean("sum(sales_amount)", "sum(quantity)")
-    return star.fact_sales.agg(
+    return fact.agg(
         F.min("price").alias("min_unit_price"),
         F.max("price").alias("max_unit_price"),
         average("price").alias("avg_unit_price"),
-        deviation("price").alias("stddev_price"),
+        deviation("price", kind=fact.schema["price"].dataType).alias("stddev_price"),
         F.min("quantity").alias("min_qty_per_order"),
         F.max("quantity").alias("max_qty_per_order"),
         average("quantity").alias("avg_qty_per_order"),
@@ -45,13 +60,14 @@ def price_and_quantity(star: Star) -> DataFrame:
 
 def returns_profile(star: Star) -> DataFrame:
     amount = "return_amount"
+    kind = star.fact_returns.schema[amount].dataType
     return star.fact_returns.agg(
         F.count("*").alias("total_return_transactions"),
         F.sum(amount).alias("total_returned_value"),
         F.min(amount).alias("min_return_amount"),
         F.max(amount).alias("max_return_amount"),
         average(amount).alias("avg_return_amount"),
-        deviation(amount).alias("stddev_return_amount"),
+        deviation(amount, kind=kind).alias("stddev_return_amount"),
     )
 
 
@@ -64,6 +80,7 @@ def return_rate(star: Star) -> DataFrame:
 
 
 def cost_by_category(star: Star) -> DataFrame:
+    kind = star.dim_product.schema["cost"].dataType
     return (
         star.dim_product.groupBy("category")
         .agg(
@@ -71,7 +88,7 @@ def cost_by_category(star: Star) -> DataFrame:
             F.min("cost").alias("min_cost"),
             F.max("cost").alias("max_cost"),
             average("cost").alias("avg_cost"),
-            deviation("cost").alias("stddev_cost"),
+            deviation("cost", kind=kind).alias("stddev_cost"),
             (F.max("cost") - F.min("cost")).alias("cost_range"),
         )
         .orderBy(F.desc("avg_cost"), "category")
@@ -87,6 +104,6 @@ def lead_time(star: Star) -> DataFrame:
             F.min(column).alias(f"min_{column}"),
             F.max(column).alias(f"max_{column}"),
             average(column, 1).alias(f"avg_{column}"),
-            deviation(column, 1).alias(f"stddev_{column}"),
+            deviation(column, 1, known.schema[column].dataType).alias(f"stddev_{column}"),
         ]
     return known.agg(*statistics)

@@ -1,0 +1,206 @@
+"""Order statistics per group and exact deviations, against brute force and SQL."""
+
+from __future__ import annotations
+
+import math
+import random
+from datetime import date
+from decimal import Decimal
+from fractions import Fraction
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from goldpan.functions.moments import deviation_of, variation_of
+from goldpan.operators import measures, quantiles
+from goldpan.oracle.statements import variants
+from goldpan.plans.catalog import run
+from goldpan.plans.star import Roles, Star
+from tests.compare import assert_same
+from tests.conftest import settings
+from tests.retail import database, frames
+
+QUARTERS = {"a": Fraction(1, 4), "b": Fraction(1, 2), "c": Fraction(3, 4), "lo": Fraction(0), "hi": Fraction(1)}
+
+
+def place(v):
+    """NULLs first, NaN last."""
+    if v is None:
+        return (0, 0)
+    return (2, 0) if isinstance(v, float) and math.isnan(v) else (1, v)
+
+
+def expected(values):
+    order = sorted(values, key=place)
+    return [order[math.floor(f * (len(order) - 1))] for f in QUARTERS.values()]
+
+
+def same(got, want):
+    return all(g == w or (g != g and w != w) for g, w in zip(got, want, strict=True))
+
+
+@pytest.fixture(params=[(4096, 10_000), (7, 5), (2, 1)], ids=["whole", "few", "single"])
+def small_steps(request, monkeypatch):
+    bins, final = request.param
+    monkeypatch.setattr(measures, "BINS", bins)
+    monkeypatch.setattr(measures, "FINAL_ROWS", final)
+    monkeypatch.setattr(quantiles, "FINAL_ROWS", final)
+
+
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "double", "bigint", "date"])
+def test_order_statistics_by_group(spark, small_steps, kind):
+    rnd = random.Random(1)
+    make = {
+        "decimal(18,2)": lambda n: Decimal(n) / 4,
+        "double": lambda n: n / 8,
+        "bigint": int,
+        "date": lambda n: date.fromordinal(700_000 + n),
+    }[kind]
+    rows = []
+    for g in ["a", "b", None, "it's", "one", "nulls"]:
+        n = {"a": 300, "one": 1, "nulls": 5}.get(g, rnd.randint(2, 60))
+        for _ in range(n):
+            v = rnd.choice([7, rnd.randint(-500, 500), rnd.randint(0, 10**5)])
+            rows.append((g, 1, None if g == "nulls" or rnd.random() < 0.1 else make(v)))
+    df = spark.createDataFrame(rows, f"`the group` string, low_ int, `v.1` {kind}")
+    found = quantiles.order_statistics_by(
+        df, ["the group", "low_"], "v.1", QUARTERS, [F.count("*").alias("n"), F.max("low_").alias("m")]
+    )
+    assert found.columns == ["the group", "low_", "n", "m", *QUARTERS]
+    assert found.schema["a"].dataType == df.schema["v.1"].dataType
+    got = {r["the group"]: list(r)[2:] for r in found.collect()}
+    assert len(got) == 6
+    for g in got:
+        own = [v for k, _, v in rows if k == g]
+        assert got[g][:2] == [len(own), 1] and got[g][2:] == expected(own)
+
+
+FLOATS = [
+    [math.nan] * 30 + [1.0, 2.0],
+    [math.inf, -math.inf, math.nan, 1.0, None] * 9,
+    [-math.inf] * 3 + [float(i) for i in range(20)],
+    [math.inf] * 40,
+    [1.7e308, -1.7e308, 5e-324, 0.0, -5e-324] * 8,
+    [math.nan],
+]
+
+
+def test_endless_and_missing_numbers(spark, small_steps):
+    rows = [(g, v) for g, values in enumerate(FLOATS) for v in values]
+    df = spark.createDataFrame(rows, "g int, x double")
+    for r in quantiles.order_statistics_by(df, ["g"], "x", QUARTERS).collect():
+        assert same(list(r)[1:], expected(FLOATS[r["g"]])), r
+    for g, values in enumerate(FLOATS):
+        row = measures.order_statistics(df.where(f"g = {g}"), "x", QUARTERS).first()
+        assert same(list(row), expected(values)), (g, row)
+
+
+def test_values_closer_than_doubles(spark, small_steps):
+    df = spark.createDataFrame([(g, 10**18 + i) for g in "ab" for i in range(20)], "g string, x bigint")
+    rows = quantiles.order_statistics_by(df, ["g"], "x", {"m": Fraction(1, 2)}).collect()
+    assert {tuple(r) for r in rows} == {("a", 10**18 + 9), ("b", 10**18 + 9)}
+
+
+def test_empty_and_ungrouped_columns(spark):
+    df = spark.createDataFrame([], "g string, x double")
+    assert quantiles.order_statistics_by(df, ["g"], "x", QUARTERS).collect() == []
+
+
+def test_a_heavy_group_is_not_sorted(spark, monkeypatch):
+    """Two thirds of the rows in one group: rows that reach a window are those of few intervals."""
+    monkeypatch.setattr(quantiles, "FINAL_ROWS", 50)
+    df = spark.range(30_000).selectExpr("if(id % 3 < 2, 0, id) as g", "(id * 7919) % 30011 as x")
+    sent = []
+    settle = quantiles._settle
+    monkeypatch.setattr(
+        quantiles, "_settle", lambda *a: sent.append(a[5].where("g0_ = 0")) or settle(*a)
+    )
+    found = quantiles.order_statistics_by(df, ["g"], "x", {"m": Fraction(1, 2)}).where("g = 0").first()
+    own = sorted((i * 7919) % 30011 for i in range(30_000) if i % 3 < 2)
+    assert found["m"] == own[(len(own) - 1) // 2]
+    assert sum(r["n_"] for r in sent[0].collect()) <= 50
+
+
+def true_deviation(values, digits):
+    """From the definition, in fractions and whole roots."""
+    n = len(values)
+    if n < 2:
+        return None
+    own = [Fraction(v) for v in values]
+    mean = sum(own) / n
+    square = 4 * sum((x - mean) ** 2 for x in own) / (n - 1) * 100**digits
+    return Decimal((math.isqrt(square.numerator // square.denominator) + 1) // 2).scaleb(-digits)
+
+
+@pytest.mark.parametrize(
+    ("kind", "size"),
+    [
+        ("decimal(18,2)", 10**15), ("decimal(9,4)", 10**8), ("decimal(24,6)", 10**15),
+        ("int", 2**31 - 9), ("bigint", 2**40), ("smallint", 9),
+    ],
+)
+def test_exact_deviations(spark, kind, size):
+    rnd = random.Random(size)
+    scale = {"decimal(18,2)": 2, "decimal(9,4)": 4, "decimal(24,6)": 6}.get(kind)
+    rows = []
+    for g in range(40):
+        base = rnd.randint(-size, size)
+        for _ in range(rnd.choice([1, 2, 3, 10, 40])):
+            v = rnd.randint(-size, size) if g % 2 else base - rnd.randint(0, 3)
+            rows.append((g, Decimal(v).scaleb(-scale) if scale else v))
+    df = spark.createDataFrame(rows, f"g int, x {kind}")
+    own = df.schema["x"].dataType
+    columns = [deviation_of("x", 2, own).alias("a"), deviation_of("x", 1, own).alias("b"), variation_of("x", 2, own).alias("c")]
+    one, three = (
+        {r["g"]: tuple(r) for r in df.repartition(n).groupBy("g").agg(*columns).collect()} for n in (1, 3)
+    )
+    assert one == three
+    for g, a, b, c in one.values():
+        values = [v for k, v in rows if k == g]
+        assert (a, b) == (true_deviation(values, 2), true_deviation(values, 1))
+        if a is None or not sum(values):
+            assert c is None
+        else:
+            mean = sum(map(Fraction, values)) / len(values)
+            exact = Fraction(true_deviation(values, 9)) / mean * 100
+            assert abs(Fraction(c) - exact) <= Fraction(5001, 10**6) + abs(exact) / 10**9
+
+
+def test_deviations_at_half_a_cent(spark):
+    """Deviations that lie exactly between two cents are rounded up."""
+    # Values -d and d, n of each, and one at 0: the variance is 2n d^2 / 2n.
+    cases = {0: Decimal("0.005"), 1: Decimal("1.015"), 2: Decimal("123456.785")}
+    rows = [(g, s * d) for g, d in cases.items() for s in (-1, 1) for _ in range(50)]
+    rows += [(g, Decimal(0)) for g in cases]
+    df = spark.createDataFrame(rows, "g int, x decimal(12,3)")
+    kind = df.schema["x"].dataType
+    found = df.repartition(5).groupBy("g").agg(deviation_of("x", 2, kind).alias("s")).collect()
+    assert {r["g"]: r["s"] for r in found} == {
+        0: Decimal("0.01"), 1: Decimal("1.02"), 2: Decimal("123456.79")
+    }
+    # A hair less is rounded down.
+    less = df.selectExpr("g", "cast(x * 0.9999 as decimal(18,9)) as x")
+    found = less.groupBy("g").agg(deviation_of("x", 2, less.schema["x"].dataType).alias("s")).collect()
+    assert {r["g"]: r["s"] for r in found} == {
+        0: Decimal("0.00"), 1: Decimal("1.01"), 2: Decimal("123444.44")
+    }
+
+
+PROFILES = ["p4_1b_profile_by_category", "p4_1c_profile_by_store_type"]
+
+
+@pytest.mark.parametrize("kind", ["clean", "dirty", "dirty_dims", "one", "empty"])
+def test_profiles_match_sql(spark, kind, small_steps):
+    dfs = frames(spark, kind)
+    con = duckdb.connect()
+    database(con, dfs)
+    star = Star(**dfs)
+    never = {
+        "spark__sql__autoBroadcastJoinThreshold": "-1",
+        "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+    }
+    for key in PROFILES:
+        assert_same(run(key, star), con, variants(Roles())[key])
+    with settings(spark, **never):
+        assert_same(run(PROFILES[0], star), con, variants(Roles())[PROFILES[0]])
