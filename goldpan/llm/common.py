@@ -97,6 +97,11 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> D
     )
 
 
+def quoted(name: str) -> str:
+    """A column's name for lookups, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; none for NULL."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

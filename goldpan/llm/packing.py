@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from goldpan.llm.byte_bpe import encoder, small
 from goldpan.llm.common import WORD_PATTERN, numbered, stored
+from goldpan.llm.quick_ids import rank_ids
 
 
 def cost(size: int, overhead: int = 64, attention: int = 32768) -> float:
@@ -135,9 +136,10 @@ def counted_ids(
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        # Packing needs lengths alone: the compiled library counts in a quarter of the time.
+        ids_of = rank_ids(path, pattern, lambda texts: encoder(path, pattern).ids(texts))
         for part in small(batches):
-            counts = [len(ids) + 1 for ids in own.ids(part.column("text").to_pylist())]
+            counts = [len(ids) + 1 for ids in ids_of(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"]
             )

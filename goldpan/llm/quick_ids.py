@@ -20,17 +20,18 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @lru_cache(maxsize=4)
+def _rank_file(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def rank_ids(path: str, pattern: str, other: Ids) -> Ids:
     """Encodes by a rank file, strings of special tokens being ordinary text.
 
     ``other`` encodes texts of very long white space.
     """
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    encode = tiktoken.Encoding(
-        "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
-    ).encode_ordinary
-
+    encode = _rank_file(path, pattern).encode_ordinary
     return lambda texts: [other([x])[0] if blanks(x) else encode(x) for x in texts]
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.llm.common import batched, rows, stored
+from goldpan.llm.common import batched, quoted, rows, stored
 from goldpan.llm.components import components
 
 SEED = 42
@@ -246,3 +246,35 @@ def groups(hashed: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     labels = rooted.join(lowest, "root").select("fp", "component")
     return hashed.join(labels, "fp").select("key", "fp", "component")
+
+
+def unique(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, tile: int = TILE
+) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the one of the lowest key.
+
+    Components are those of ``groups``: NULL, empty and blank texts have one fingerprint and are one
+    of them. A NULL key comes last; of rows with one key the text of the lower digest stays,
+    of rows alike in key and text any one. All columns, whatever their names, stay as they
+    are; an empty table gives no rows.
+    """
+    body = F.coalesce(docs[quoted(text)], F.lit(""))
+    own = docs[quoted(key)]
+    row = F.struct(own.isNull().alias("unknown"), own.alias("key"), F.sha2(body, 256).alias("digest"))
+    hashed = stored(fingerprints(docs.select(row.alias("row"), body.alias("body")), "row", "body"))
+    other = ~F.col("key").eqNullSafe(F.col("component"))
+    gone = groups(hashed, radius, tile).where(other).select("key").distinct()
+    held = next(name for name in ("row_", "row__", "row___") if name not in docs.columns)
+    marked = docs.select("*", row.alias(held))
+
+    def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        fields = ("unknown", "key", "digest")
+        same = [rows[f"{held}.{f}"].eqNullSafe(some[f"key.{f}"]) for f in fields]
+        return rows.join(some, same, how)
+
+    staying = among(marked, stored(gone), "left_anti")
+    repeated = hashed.groupBy("key").count().where("count > 1").select("key")
+    if not repeated.isEmpty():
+        once = among(staying, repeated, "left_anti")
+        staying = once.unionByName(among(staying, repeated, "left_semi").dropDuplicates([held]))
+    return staying.drop(held)

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from goldpan.llm import near_texts, simhash
+from goldpan.llm import simhash
 from goldpan.llm.components import components
 
 
@@ -95,19 +95,12 @@ def test_awkward_and_empty(awkward, nothing):
     assert simhash.groups(simhash.fingerprints(nothing)).count() == 0
 
 
-def jaccard(a, b):
-    a, b = set(near_texts.shingles(a).tolist()), set(near_texts.shingles(b).tolist())
-    return len(a & b) / len(a | b)
-
-
-def test_alike_is_exact():
-    draw = random.Random(4)
-    sets = [np.unique([draw.randint(0, 60) for _ in range(draw.randint(0, 50))]).astype(np.int64) for _ in range(40)]
-    got = near_texts.alike(sets[:25], sets[25:], 0.3)
-    for i, a in enumerate(sets[:25]):
-        for j, b in enumerate(sets[25:]):
-            union = len(np.union1d(a, b))
-            assert got[i, j] == (len(np.intersect1d(a, b)) >= 0.3 * union - 1e-3)
+def survivors(texts):
+    """{key} of the lowest key of each component, all pairs compared."""
+    keys = sorted(texts)
+    fps = {k: slow(texts[k]) for k in keys}
+    links = [(a, b) for a in keys for b in keys if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    return set(classes(keys, links).values())
 
 
 def copies(draw, groups, each):
@@ -124,23 +117,32 @@ def copies(draw, groups, each):
     return out
 
 
-@pytest.mark.parametrize("groups, each, block", [(60, 4, 128), (3, 60, 8)])
-def test_unique_keeps_one_of_each_group(spark, monkeypatch, groups, each, block):
-    monkeypatch.setattr(near_texts.near_links, "__defaults__", (0.8, block))
+@pytest.mark.parametrize("groups, each, tile", [(60, 4, 1 << 15), (3, 60, 8)])
+def test_unique_keeps_one_of_each_component(spark, groups, each, tile):
     texts = copies(random.Random(groups), groups, each)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, same string")
-    links = [
-        (i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8
-    ]
-    want = set(classes(range(len(texts)), links).values())
-    got = [r["doc_id"] for r in near_texts.unique(docs).collect()]
-    assert len(got) == len(set(got))
-    # Candidates are sampled bits: a rare pair near the bound may be missed, none is invented.
-    assert want <= set(got) and len(set(got) - want) <= 0.02 * len(texts)
+    rows = [(i, t, "x", i * 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_ string, `a.b` long").repartition(3)
+    got = simhash.unique(docs, tile=tile).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(survivors(dict(enumerate(texts))))
+    assert all(r["row_"] == "x" and r["a.b"] == 2 * r["doc_id"] and r["text"] == texts[r["doc_id"]] for r in got)
 
 
-def test_unique_of_awkward_rows(awkward, nothing):
-    got = near_texts.unique(awkward)
+def test_unique_of_awkward_rows(spark, awkward, nothing):
+    got = simhash.unique(awkward)
     assert got.schema == awkward.schema
-    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["0", "10", "3", "6", "7", "8", "9", "None"]
-    assert near_texts.unique(nothing).count() == 0
+    texts = {r["doc_id"]: r["text"] for r in awkward.collect() if r["doc_id"] is not None}
+    want = [str(k) for k in survivors(texts)] + ["None"]  # the text without a key has no copy
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(want)
+    assert simhash.unique(nothing).count() == 0
+
+
+def test_unique_of_repeated_rows_and_keys(spark):
+    """Rows alike stay once, keys repeated with other texts are rows of their own, NULL keys last."""
+    prose = "the quick brown fox jumps over the lazy dog by the river "
+    rows = [
+        (1, prose * 3), (1, prose * 3), (1, "quite another text of several words here"),
+        (None, prose * 3), (None, "a third text that nobody has copied at all"), (2, None), (3, " "), (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "`the key` long, `te.xt` string").repartition(3)
+    got = sorted(map(str, map(tuple, simhash.unique(docs, "the key", "te.xt").collect())))
+    assert got == sorted(map(str, [rows[0], rows[2], rows[4], rows[5]]))
