@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldpan.llm import line_quality, near_texts, packing, secret_scans
+from goldpan.llm import line_quality, packing, secret_scans, simhash
 from goldpan.llm.common import stored, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RADIUS = 3  # bits
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the lowest doc_id."""
-    return near_texts.unique(docs)
+    """One document of each group of near copies, that of the lowest doc_id.
+
+    Near copies are what links of at most three bits between SimHash fingerprints reach.
+    """
+    return simhash.unique(docs, radius=RADIUS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +35,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with the sequences they are packed into."""
-    return packing.pack(packing.counted(docs), "doc_id", "n_tokens").select(
+    """The pieces of all documents, in token ids, with the sequences they are packed into."""
+    items = stored(packing.counted_ids(docs, VOCABULARY, public_tokenizers.PATTERN))
+    return packing.pack(items, "doc_id", "n_tokens").select(
         F.col("key").alias("doc_id"),
         "piece",
         "start",
