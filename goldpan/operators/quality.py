@@ -27,6 +27,47 @@ def orphans(
     return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias(name))
 
 
+def references(
+    fact: DataFrame, checks: Mapping[str, tuple[str, DataFrame, str]]
+) -> DataFrame:
+    """One row: fact rows without a match, per reference, from one scan of the fact.
+
+    ``checks`` names a reference and gives the fact's key, the dimension and its key. A NULL
+    key is an orphan. Each row becomes a row per reference, counted per key before anything is
+    shuffled; then the different keys of all references meet those of all dimensions in
+    one anti-join, where a key that holds a third of the rows is one row.
+    """
+    kinds = {n: fact.select(quoted(key)).schema[0].dataType for n, (key, _, _) in checks.items()}
+    # Keys of one type are compared as they are, others as texts.
+    text = len({kind.simpleString() for kind in kinds.values()}) > 1
+    cast = "string" if text else next(iter(kinds.values())).simpleString()
+    pairs = [
+        F.struct(F.lit(i).alias("which_"), quoted(key).cast(cast).alias("fk_"))
+        for i, (key, _, _) in enumerate(checks.values())
+    ]
+    per_key = (
+        fact.select(F.inline(F.array(*pairs)))
+        .groupBy("which_", "fk_")
+        .agg(F.count(F.lit(1)).alias("n_"))
+    )
+    keys = []
+    for i, (name, (_, dim, dim_key)) in enumerate(checks.items()):
+        # As the fact's type first: 1 and 1.0 are one key, whatever their texts are.
+        own = quoted(dim_key).cast(kinds[name]).cast(cast)
+        keys.append(dim.select(F.lit(i).alias("of_"), own.alias("pk_")))
+    known = reduce(DataFrame.unionByName, keys).distinct()
+    same = (F.col("which_") == F.col("of_")) & (F.col("fk_") == F.col("pk_"))
+    lost = per_key.join(known, same, "left_anti")
+    return lost.agg(
+        *(
+            F.coalesce(F.sum(F.when(F.col("which_") == i, F.col("n_"))), F.lit(0))
+            .cast("bigint")
+            .alias(name)
+            for i, name in enumerate(checks)
+        )
+    )
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     """Key values that occur more than once, most frequent first.
 

@@ -9,6 +9,7 @@ what lies before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,9 @@ from goldpan.sources.storage import cut_lineage
 # Rows one task may order by itself.
 SINGLE_TASK_ROWS = 1_000_000
 
+# Up to this many rows a group, a filter on ranks limits each group before rows are shuffled.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 METHODS = {"dense_rank": F.dense_rank, "rank": F.rank, "row_number": F.row_number}
 
 
@@ -97,6 +101,99 @@ def with_rank(
     return groups.join(positions, match).select(*kept, (F.col(before) + 1).alias(rank))
 
 
+def best_per_group(
+    groups: DataFrame,
+    measure: str,
+    k: int,
+    rank: str,
+    partition_by: Sequence[str],
+    rows: int,
+    ties: Sequence[str],
+    descending: bool = True,
+    method: str = "dense_rank",
+) -> DataFrame:
+    """The rows of the first ``k`` ranks of each group, ranked.
+
+    ``row_number`` gives ``k`` rows a group, numbered among equals in order of ``ties``; the
+    ranks keep all that tie. ``rows`` is a bound on the number of rows ranked. A filter on a
+    window's rank limits each group within each task before rows are shuffled, so a group of
+    any size sends ``k`` rows a task. Ties have no such bound: beyond what one task may
+    order, ranks are found among the distinct values of a group, of which ``k`` are left, and
+    rows look theirs up in a join that can be split.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}: one of {', '.join(METHODS)}")
+    order = direction(measure, descending)
+    limited = int(groups.sparkSession.conf.get(GROUP_LIMIT, "1000"))
+    if k > limited and rows > SINGLE_TASK_ROWS:  # groups are not limited by task any more
+        ranked = with_rank(groups, measure, rank, rows, partition_by, descending, method, ties)
+        return ranked.where(F.col(rank) <= k)
+    if method == "row_number":
+        over = W.partitionBy(*partition_by).orderBy(order, *ties)
+        return groups.withColumn(rank, F.row_number().over(over)).where(F.col(rank) <= k)
+    over = W.partitionBy(*partition_by).orderBy(order)
+    if rows <= SINGLE_TASK_ROWS:
+        return groups.withColumn(rank, METHODS[method]().over(over)).where(F.col(rank) <= k)
+    values = groups.groupBy(*partition_by, measure).agg(F.count(F.lit(1)).alias("rows_at_"))
+    best = values.withColumn("place_", F.dense_rank().over(over)).where(F.col("place_") <= k)
+    if method == "rank":
+        earlier = F.coalesce(F.sum("rows_at_").over(_earlier(W.partitionBy(*partition_by), order)), F.lit(0))
+        best = best.withColumn("place_", earlier + 1).where(F.col("place_") <= k)
+    keys = [*partition_by, measure]
+    found = best.select(*(F.col(c).alias(f"at{i}_") for i, c in enumerate(keys)), "place_")
+    match = [groups[c].eqNullSafe(found[f"at{i}_"]) for i, c in enumerate(keys)]
+    place = F.col("place_").cast("int").alias(rank)
+    return groups.join(found, match).select(*(groups[c] for c in groups.columns), place)
+
+
+def with_percent_rank(
+    df: DataFrame, measure: str, name: str, partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """Adds PERCENT_RANK of every row: rows before it over all other rows, 0 for a row alone.
+
+    NULLs come first and are ranked. Rows are counted per value and values cut into ranges,
+    so that no group, however large, is ordered by one task; rows get their place in a join by
+    value, which can be split where a value has many rows.
+    """
+    keys = [*partition_by, measure]
+    named = [f"at{i}_" for i in range(len(keys))]
+    groups, value = named[:-1], named[-1]
+    values = df.groupBy(*(F.col(c).alias(a) for c, a in zip(keys, named))).agg(
+        F.count(F.lit(1)).alias("rows_at_")
+    )
+    dealt = values.repartitionByRange(*named).withColumn("range_", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    counts = dealt.groupBy(*groups, "range_").agg(F.sum("rows_at_").alias("n_"))
+    starts = _range_starts(counts, groups)
+    inside = F.coalesce(F.sum("rows_at_").over(_earlier(W.partitionBy(*groups, "range_"), F.col(value))), F.lit(0))
+    local = dealt.withColumn("inside_", inside)
+    same = [local[c].eqNullSafe(starts[c]) for c in [*groups, "range_"]]
+    places = local.join(starts, same).select(
+        *(local[c] for c in named),
+        F.when(F.col("all_") == 1, F.lit(0.0))
+        .otherwise((F.col("start_") + F.col("inside_")).cast("double") / (F.col("all_") - 1))
+        .alias("place_"),
+    )
+    match = [df[c].eqNullSafe(places[a]) for c, a in zip(keys, named)]
+    return df.join(places, match).select(*(df[c] for c in df.columns), F.col("place_").alias(name))
+
+
+def _range_starts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Per group and range: rows before it (``start_``) and rows of the group (``all_``).
+
+    Without groups there is a row per task: these are added up by the client.
+    """
+    if groups:
+        by = W.partitionBy(*groups)
+        start = F.coalesce(F.sum("n_").over(_earlier(by, F.col("range_"))), F.lit(0))
+        return counts.select(*groups, "range_", start.alias("start_"), F.sum("n_").over(by).alias("all_"))
+    held = sorted(tuple(r) for r in counts.select("range_", "n_").collect())
+    before = [0, *accumulate(n for _, n in held)]
+    found = [(at, start, before[-1]) for (at, _), start in zip(held, before)]
+    shape = "range_ int, start_ bigint, all_ bigint"
+    return F.broadcast(counts.sparkSession.createDataFrame(found, shape))
+
+
 def numbered(
     df: DataFrame, partition_by: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:

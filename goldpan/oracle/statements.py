@@ -150,6 +150,22 @@ def rank_in_category(method: str, ties: str = "") -> str:
       FROM g ORDER BY category NULLS FIRST, rank_within_category"""
 
 
+def best_in_category(method: str, k: int = 3) -> str:
+    ties = "product_name NULLS FIRST, category NULLS FIRST, subcategory NULLS FIRST"
+    within = f", {ties}" if method == "row_number" else ""
+    return f"""
+      WITH g AS (
+        SELECT product_name, category, subcategory, sum(quantity) AS units,
+               sum(sales_amount) AS revenue
+        FROM fact_sales JOIN dim_product USING (product_id) GROUP BY ALL)
+      SELECT product_name, category, subcategory, {whole("units")} AS units_sold,
+             {dbl("revenue")} AS total_revenue,
+             {method}() OVER (PARTITION BY category ORDER BY revenue DESC NULLS LAST{within})
+               AS rank_within_category
+      FROM g QUALIFY rank_within_category <= {k}
+      ORDER BY category NULLS FIRST, rank_within_category, {ties}"""
+
+
 def sign_off(roles, keys: dict[str, str]) -> str:
     checks = []
 
@@ -221,6 +237,11 @@ def variants(roles) -> dict[str, str]:
         "p3_6g_customers_without_events": lost(
             "customer", "events", "c_custkey", "customers_without_events", "user_id"
         ),
+        "p3_6h_orphan_references": "SELECT "
+        + ", ".join(
+            f"({lost('fact_sales', f'dim_{name}', f'{name}_id', 'n')}) AS orphan_{name}s"
+            for name in ("customer", "product", "store")
+        ),
         "p3_7e_dup_raw_lines": repeated(
             "lineitem",
             "l_orderkey, l_linenumber",
@@ -229,6 +250,13 @@ def variants(roles) -> dict[str, str]:
         "p3_7f_dup_document_texts": repeated("documents", "text", "sha256(text) AS text_sha256"),
         "p4_1b_profile_by_category": profile_by("dim_product", "product_id", "category"),
         "p4_1c_profile_by_store_type": profile_by("dim_store", "store_id", "store_type"),
+        "p4_1d_sales_by_percent_rank": f"""
+          SELECT order_number, {whole("order_year")} AS order_year,
+                 {dbl("sales_amount")} AS sales_amount,
+                 percent_rank() OVER (ORDER BY sales_amount NULLS FIRST) AS percent_rank,
+                 percent_rank() OVER (PARTITION BY order_year ORDER BY sales_amount NULLS FIRST)
+                   AS percent_rank_in_year
+          FROM fact_sales""",
         "p5_6d_by_age_group_1995": by_attribute(roles.age_group, on=in_1995),
         "p5_6e_by_gender_1995": by_attribute(roles.gender, on=in_1995),
         "p5_6f_by_marital_1995": by_attribute(roles.marital_status, False, in_1995),
@@ -241,6 +269,9 @@ def variants(roles) -> dict[str, str]:
         "p6_4c_rank_in_category_row_number": rank_in_category(
             "row_number", ", product_name NULLS FIRST, category NULLS FIRST, subcategory NULLS FIRST"
         ),
+        "p6_4d_best3_in_category": best_in_category("row_number"),
+        "p6_4e_best3_ranks_in_category": best_in_category("dense_rank"),
+        "p6_4f_best3_places_in_category": best_in_category("rank"),
     }
 
 

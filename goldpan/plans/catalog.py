@@ -116,6 +116,7 @@ VARIANTS: dict[str, Statement] = {
     "p3_6g_customers_without_events": _lost(
         "customer", "c_custkey", "events", "user_id", "customers_without_events"
     ),
+    "p3_6h_orphan_references": quality.orphan_references,
     "p3_7e_dup_raw_lines": lambda star: duplicate_keys(
         star.source("lineitem"), ["l_orderkey", "l_linenumber"]
     ),
@@ -126,6 +127,7 @@ VARIANTS: dict[str, Statement] = {
     "p4_1c_profile_by_store_type": partial(
         measures.sales_profile_by, dim="dim_store", column="store_type"
     ),
+    "p4_1d_sales_by_percent_rank": ranking.sales_by_place,
     "p5_6d_by_age_group_1995": _by_role(magnitudes.by_segment, "age_group", year=1995),
     "p5_6e_by_gender_1995": _by_role(magnitudes.by_segment, "gender", year=1995),
     "p5_6f_by_marital_1995": _by_role(
@@ -144,6 +146,9 @@ VARIANTS: dict[str, Statement] = {
     "p6_4c_rank_in_category_row_number": partial(
         ranking.products_in_category, method="row_number"
     ),
+    "p6_4d_best3_in_category": partial(ranking.best_in_category, method="row_number"),
+    "p6_4e_best3_ranks_in_category": partial(ranking.best_in_category, method="dense_rank"),
+    "p6_4f_best3_places_in_category": partial(ranking.best_in_category, method="rank"),
 }
 
 

@@ -19,6 +19,7 @@ from goldpan.operators.quality import (
     not_between,
     orphans,
     quoted,
+    references,
     violations,
 )
 from goldpan.plans.star import KEYS, Star
@@ -75,6 +76,19 @@ def orphan_returns(star: Star) -> DataFrame:
     return _lost(star, "fact_returns", "fact_sales", "order_number", "orphan_returns")
 
 
+def orphan_references(star: Star) -> DataFrame:
+    """Orphans of every dimension that sales refer to, from one scan of them."""
+    checks = {
+        name: (KEYS[dim], star.gold[dim], KEYS[dim])
+        for name, dim in (
+            ("orphan_customers", "dim_customer"),
+            ("orphan_products", "dim_product"),
+            ("orphan_stores", "dim_store"),
+        )
+    }
+    return references(star.fact_sales, checks)
+
+
 def duplicates(star: Star, name: str) -> DataFrame:
     return duplicate_keys(star.gold[name], [KEYS[name]])
 
@@ -96,8 +110,9 @@ def sanity(star: Star) -> DataFrame:
 def sign_off(star: Star) -> DataFrame:
     """The gate: every expectation, reference and key with its violations and verdict.
 
-    A missing value or key is a violation. Each object is scanned once, and once more for
-    the counts and variations that the roles expect of it, if any.
+    A missing value or key is a violation. Each object is scanned once for its rules, sales once
+    for all their references and once for returns, and objects once more for the counts and
+    variations that the roles expect of them, if any.
     """
     roles, parts = star.roles, []
     for name, df in star.gold.items():
@@ -120,9 +135,13 @@ def sign_off(star: Star) -> DataFrame:
             expected[f"{name}.{column} variation"] = (spread, *bounds)
         if expected:
             parts.append(expectations(df, expected))
-    for statement in (orphan_customers, orphan_products, orphan_stores, orphan_returns):
+    for statement in (orphan_references, orphan_returns):
         lost = statement(star)
-        (name,) = lost.columns
-        label = F.lit(name.replace("_", " ")).alias("check_name")
-        parts.append(lost.select(label, F.col(name).alias("violations")))
+        pairs = [
+            F.struct(
+                F.lit(name.replace("_", " ")).alias("check_name"), F.col(name).alias("violations")
+            )
+            for name in lost.columns
+        ]
+        parts.append(lost.select(F.inline(F.array(*pairs))))
     return gate(parts)

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from goldpan.functions import half_up
 from goldpan.operators.magnitudes import Metric, by_attributes, by_dimension
-from goldpan.operators.ranking import leaderboard, settled, with_rank
+from goldpan.operators.ranking import (
+    best_per_group,
+    leaderboard,
+    settled,
+    with_percent_rank,
+    with_rank,
+)
 from goldpan.plans.magnitudes import (
     AVERAGE,
     MONTH,
@@ -73,6 +79,23 @@ def products_in_category(star: Star, method: str = "dense_rank") -> DataFrame:
     )
 
 
+def best_in_category(star: Star, method: str, k: int = 3) -> DataFrame:
+    """The best products of each category: three of them, or all of the first three ranks."""
+    groups = sales_by(star, "dim_product", PRODUCT, UNITS, REVENUE, orders=False)
+    groups, rows = settled(groups, star.rows("dim_product"))
+    best = best_per_group(
+        groups, REVENUE.name, k, "rank_within_category", ["category"], rows, PRODUCT, method=method
+    )
+    return best.orderBy("category", "rank_within_category", *PRODUCT)
+
+
+def sales_by_place(star: Star) -> DataFrame:
+    """Every sale with its percent rank by amount, among all sales and among those of its year."""
+    sales = star.fact_sales.select("order_number", "order_year", "sales_amount")
+    ranked = with_percent_rank(sales, "sales_amount", "percent_rank")
+    return with_percent_rank(ranked, "sales_amount", "percent_rank_in_year", ["order_year"])
+
+
 def stores_two_ways(star: Star) -> DataFrame:
     """Revenue rank beside the rank of the on-time rate.
 
