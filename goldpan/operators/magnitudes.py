@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Columns that operators add; dimensions and facts have none of these names.
+COPIES, VALUE = "copies__", "value__"
+
+
 @dataclass(frozen=True)
 class Metric:
     """A fact metric by SQL expression: ``count`` or ``sum`` of it, or its ``distinct`` count.
@@ -57,31 +62,69 @@ def by_dimension(
     facts. ``members`` counts the members themselves.
 
     Facts are summed before the join, so however they are spread over keys, one row per
-    key is joined. If a metric counts distinct values it is one row per key and value,
-    and members alike in every attribute are joined once and weighted by their number:
-    a key repeated on both sides never pairs each fact with each copy of the member. Those
-    facts are the left side of an inner join, which adaptive execution can split where a
-    key has many; members without facts are added after.
+    key is joined. Distinct counts have a way of their own, ``_distinct``.
     """
-    distinct = [m for m in metrics if m.kind == "distinct"]
-    if distinct:
-        kept = [key, *[m.expression for m in distinct]]
-        facts = by_attributes(fact, kept, [m for m in metrics if m.kind != "distinct"])
-        attributes = dim.groupBy(*dict.fromkeys([key, *by])).agg(F.count("*").alias("copies"))
-        totals = [m.over_partials("copies") for m in metrics]
-    else:
-        facts = by_attributes(fact, [key], metrics)
-        attributes = dim.select(*dict.fromkeys([key, *by]))
-        totals = [m.over_partials() for m in metrics]
+    if any(m.kind == "distinct" for m in metrics):
+        return _distinct(fact, dim, key, by, metrics, how, members)
+    facts = by_attributes(fact, [key], metrics)
+    attributes = dim.select(*dict.fromkeys([key, *by]))
+    totals = [m.over_partials() for m in metrics]
     if members:
-        seen = Metric(members.name, "distinct", key) if distinct else members
-        totals.insert(0, seen.over_rows())
-    if how == "left" and not distinct:
+        totals.insert(0, members.over_rows())
+    if how == "left":
         joined = attributes.join(facts, key, "left")  # a row per key
     else:
         joined = facts.join(attributes, key)
-    if how == "left" and distinct:
-        keys = fact.select(key).distinct()
-        idle = attributes.join(keys, key, "left_anti")
-        joined = joined.unionByName(idle, allowMissingColumns=True)
     return joined.groupBy(*by).agg(*totals)
+
+
+def _distinct(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    by: Sequence[str],
+    metrics: Sequence[Metric],
+    how: str,
+    members: Metric | None,
+) -> DataFrame:
+    """``by_dimension`` with distinct counts, each from groupings of its own.
+
+    A distinct count is the number of rows after grouping by group and value: no row is
+    copied per count. Facts are grouped by value and key first. Where they are bucketed by
+    the value, all rows of a value lie in one task, so neither that grouping nor, if
+    the members are few enough to be broadcast, the one by group and value moves a fact.
+    Members alike in every attribute are joined once and weighted by their number: a key
+    repeated on both sides never pairs each fact with each copy of the member. Facts are
+    the left side of an inner join, which adaptive execution can split where a key has many.
+    Members are counted without the facts, but for which keys these have at all.
+    """
+    attributes = dim.groupBy(*dict.fromkeys([key, *by])).agg(F.count("*").alias(COPIES))
+    distinct = [m for m in metrics if m.kind == "distinct"]
+    others = [m for m in metrics if m.kind != "distinct"]
+    branches = []
+    for i, metric in enumerate(distinct):
+        sums = others if i == 0 else []  # once are enough
+        values = fact.withColumn(VALUE, F.expr(metric.expression))
+        facts = by_attributes(values, [VALUE, key], sums)
+        joined = facts.join(attributes, key)
+        totals = [m.over_partials(COPIES) for m in sums] or [F.lit(None).alias("none_")]
+        per_value = joined.groupBy(*by, VALUE).agg(*totals)
+        counted = F.count(VALUE).alias(metric.name)
+        again = [F.sum(m.name).alias(m.name) for m in sums]
+        branches.append(per_value.groupBy(*by).agg(counted, *again))
+    if members:
+        seen = attributes
+        if how != "left":
+            seen = attributes.join(fact.select(key).distinct(), key, "left_semi")
+        branches.append(seen.groupBy(*by).agg(F.count(key).alias(members.name)))
+    elif how == "left":
+        branches.append(attributes.select(*by).distinct())
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+    named = ([members] if members else []) + list(metrics)
+    totals = [
+        F.sum(m.name).alias(m.name)
+        if m.kind == "sum"
+        else F.coalesce(F.sum(m.name), F.lit(0)).alias(m.name)
+        for m in named
+    ]
+    return every.groupBy(*by).agg(*totals)
