@@ -270,7 +270,8 @@ def unique(
     def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
         fields = ("unknown", "key", "digest")
         same = [rows[f"{held}.{f}"].eqNullSafe(some[f"key.{f}"]) for f in fields]
-        return rows.join(some, same, how)
+        # Shuffled at every size: neither side has a bound to broadcast it by.
+        return rows.join(some.hint("merge"), same, how)
 
     staying = among(marked, stored(gone), "left_anti")
     repeated = hashed.groupBy("key").count().where("count > 1").select("key")
