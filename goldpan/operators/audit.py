@@ -25,28 +25,46 @@ def column_audit(
     All columns are aggregated together and the single result row is turned into
     rows, where one query per column would scan the table once per column.
     """
-    wide = [f"{measure.format(c=f'`{c}`')} as m{i}" for i, c in enumerate(columns)]
-    rows = [f"struct('{c}' as {label}, m{i} as {value})" for i, c in enumerate(columns)]
-    return df.selectExpr(*wide).selectExpr(f"inline(array({', '.join(rows)}))")
+    wide = [F.expr(measure.format(c=name_of(c))).alias(f"m{i}") for i, c in enumerate(columns)]
+    rows = [
+        F.struct(F.lit(c).alias(label), F.col(f"m{i}").alias(value)) for i, c in enumerate(columns)
+    ]
+    return df.agg(*wide).select(F.inline(F.array(*rows)))
+
+
+def name_of(column: str) -> str:
+    """A column's exact name in SQL, whatever characters that has."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def column_dictionary(df: DataFrame, layer: str, name: str) -> DataFrame:
     """Declared position, type and nullability with measured longest text and NULL count."""
     wide, rows = [], []
     for i, field in enumerate(df.schema.fields):
-        text = isinstance(field.dataType, T.StringType)
-        longest = f"max(length(`{field.name}`))" if text else "null"
+        own = name_of(field.name)
+        longest = F.expr(f"max(length({own}))" if isinstance(field.dataType, T.StringType) else "null")
         wide += [
-            f"cast({longest} as bigint) as length{i}",
-            f"{NULL_COUNT.format(c=f'`{field.name}`')} as nulls{i}",
+            longest.cast("bigint").alias(f"length{i}"),
+            F.expr(NULL_COUNT.format(c=own)).alias(f"nulls{i}"),
         ]
+        described = {
+            "schema_name": layer,
+            "object_name": name,
+            "col_position": i + 1,
+            "column_name": field.name,
+            "data_type": field.dataType.simpleString(),
+        }
+        told = [F.lit(v).alias(k) for k, v in described.items()]
+        told[2] = F.lit(i + 1).cast("bigint").alias("col_position")
         rows.append(
-            f"struct('{layer}' as schema_name, '{name}' as object_name, {i + 1}L as col_position, "
-            f"'{field.name}' as column_name, '{field.dataType.simpleString()}' as data_type, "
-            f"length{i} as max_length, '{'YES' if field.nullable else 'NO'}' as is_nullable, "
-            f"nulls{i} as null_count)"
+            F.struct(
+                *told,
+                F.col(f"length{i}").alias("max_length"),
+                F.lit("YES" if field.nullable else "NO").alias("is_nullable"),
+                F.col(f"nulls{i}").alias("null_count"),
+            )
         )
-    return df.selectExpr(*wide).selectExpr(f"inline(array({', '.join(rows)}))")
+    return df.agg(*wide).select(F.inline(F.array(*rows)))
 
 
 def row_counts(entries: Iterable[Entry]) -> DataFrame:
@@ -60,11 +78,16 @@ def row_counts(entries: Iterable[Entry]) -> DataFrame:
     tagged = [entry.df.selectExpr(f"{i} as object") for i, entry in enumerate(entries)]
     counts = reduce(DataFrame.union, tagged).groupBy("object").agg(F.count("*").alias("n"))
     described = [
-        f"struct({i} as object, '{e.layer}' as schema_name, '{e.name}' as object_name, "
-        f"'{e.kind}' as object_type, {len(e.df.columns)}L as column_count)"
+        F.struct(
+            F.lit(i).alias("object"),
+            F.lit(e.layer).alias("schema_name"),
+            F.lit(e.name).alias("object_name"),
+            F.lit(e.kind).alias("object_type"),
+            F.lit(len(e.df.columns)).cast("bigint").alias("column_count"),
+        )
         for i, e in enumerate(entries)
     ]
-    objects = spark.range(1).selectExpr(f"inline(array({', '.join(described)}))")
+    objects = spark.range(1).select(F.inline(F.array(*described)))
     return objects.join(counts, "object", "left").selectExpr(
         "schema_name", "object_name", "object_type", "column_count", "coalesce(n, 0L) as row_count"
     )
