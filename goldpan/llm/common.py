@@ -102,6 +102,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """The frame with columns named c0, c1, ...: tasks take names without dots or quotes only."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; none for NULL."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -2,7 +2,9 @@
 
 Every line is judged by punctuation, navigation and boilerplate rules; lines that fail go;
 a document that loses too much of its text so is rejected, as are very short and very
-repetitive ones. Words are runs of anything but ASCII white space.
+repetitive ones. Of a line of several sentences those with a phrase of boilerplate go, not the
+line. Headings and other lines without a last mark always go. Words are runs of
+anything but ASCII white space.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldpan.llm.common import batched, rows
+from goldpan.llm.common import batched, by_place, rows
 
 SYMBOLS = "#*$%&|<>"  # the counted symbols, a fixed value
 BLANKS = " \t\n\v\f\r"
@@ -24,6 +27,10 @@ ENDS = tuple(".!?…:;。！？؟।")
 CLOSERS = "\"'”’»›)]}）」』"
 # A sentence that ends inside a line: full-width marks need no blank after them.
 INSIDE = re.compile(rf"(?:[.!?…؟।][{re.escape(CLOSERS)}]*\s|[。！？])")
+# The last marks of every script, closing quotes and brackets aside, and letters of scripts that
+# write none.
+LAST = regex.compile(rf"[\p{{Sentence_Terminal}}…:;]+[{re.escape(CLOSERS)}\s]*$")
+UNMARKED = regex.compile(r"[\p{Thai}\p{Lao}]")
 SEPARATORS = re.compile(r"(?<!\S)[|•·»›>/\\–—-]+(?!\S)")
 MARKED = re.compile(r"(?:[#*$%&|<>]{2,}|!{2,}|\?{2,})(?!\S)")
 # Phrases of pages rather than of texts, in lower case.
@@ -99,7 +106,24 @@ def line_fails(line: str, rules: Rules, marks: bool = True, phrases: bool = True
     if line.rstrip().rstrip(CLOSERS).endswith(ENDS):
         return None
     long = len(line.strip()) >= rules.long_chars or len(line.split()) >= rules.long_words
-    return None if long and INSIDE.search(line) else "punctuation"
+    if long and INSIDE.search(line):
+        return None
+    if line.isascii():
+        return "punctuation"
+    if LAST.search(line):
+        return None
+    unmarked = len(UNMARKED.findall(line))
+    return None if long and 2 * unmarked > len(line.strip()) else "punctuation"
+
+
+def without_phrases(line: str) -> str:
+    """The line without its sentences that hold a phrase of boilerplate; as it is if all do."""
+    if not any(map(line.lower().__contains__, BOILERPLATE)):
+        return line
+    ends = [found.end() for found in INSIDE.finditer(line)]
+    parts = [line[a:b] for a, b in zip([0, *ends], [*ends, len(line)])]
+    kept = [x for x in parts if not any(map(x.lower().__contains__, BOILERPLATE))]
+    return "".join(kept) if any(x.strip(BLANKS) for x in kept) else line
 
 
 @dataclass
@@ -136,10 +160,13 @@ def judge(text: str, rules: Rules = Rules()) -> Verdict:
         dup_lines += again
         seen.add(line)
         # A line that the document has had before is boilerplate too.
-        if again or line_fails(line, rules, marks, phrases):
-            lost += len(line) - sum(map(line.count, BLANKS))
+        left = line if again or not phrases else without_phrases(line)
+        if again or line_fails(left, rules, marks, phrases):
+            left = None
         else:
-            kept_lines.append(line)
+            kept_lines.append(left)
+        if left is not line:
+            lost += _solid(line) - _solid(left or "")
     kept = not failed and lost <= rules.most_lost * word_chars
     symbols = sum(map(text.count, SYMBOLS))
     return Verdict(
@@ -147,6 +174,11 @@ def judge(text: str, rules: Rules = Rules()) -> Verdict:
     )
 
 
+def _solid(text: str) -> int:
+    """Characters in words."""
+    return len(text) - sum(map(text.count, BLANKS))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")
 
 
@@ -186,25 +218,29 @@ def clean(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", rules:
     """The columns of ``docs`` for the documents that are kept, with their cleaned texts.
 
     Rows need no key: text and verdict travel with the row. ``n_chars``, if there is such a
-    column, follows the new text.
+    column, follows the new text. NULL, empty and blank texts are rejected, repeated rows
+    judged one by one, an empty table gives no rows. Other columns stay, whatever their names.
     """
-    fields = docs.schema.fields
+    names = docs.columns
+    plain = by_place(docs)
+    body_at = f"c{names.index(text)}"
+    size_at = f"c{names.index(n_chars)}" if n_chars in names else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, texts = [], []
-            for i, (body,) in enumerate(rows(iter([batch]), text)):
+            for i, (body,) in enumerate(rows(iter([batch]), body_at)):
                 verdict = judge(body or "", rules)
                 if verdict.kept:
                     keep.append(i)
                     texts.append(verdict.cleaned)
             part = batch.take(pa.array(keep, pa.int64()))
-            at = part.schema.get_field_index(text)
+            at = part.schema.get_field_index(body_at)
             part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-            if n_chars in part.schema.names:
-                at = part.schema.get_field_index(n_chars)
+            if size_at:
+                at = part.schema.get_field_index(size_at)
                 sizes = pa.array(map(len, texts), part.schema.field(at).type)
                 part = part.set_column(at, part.schema.field(at), sizes)
             yield part
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in fields)).mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

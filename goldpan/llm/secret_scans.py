@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldpan.llm.common import batched, rows
+from goldpan.llm.common import batched, by_place, rows
 
 # A key may stand directly after "=", as in .env lines and query strings; "=" is its own only as
 # padding at the end. A run directly before "=" and a value is the name of that value.
@@ -223,10 +223,12 @@ def labelled_texts(
     texts cut: a finding is placed between the words of such a scene.
     """
     body = F.coalesce(docs[text], F.lit(""))
-    # The share of rows is such that about ``count`` of them come to the driver in all.
-    share = int(min(1.0, count / max(1, docs.count())) * (1 << 40))
-    scenery = docs.select(F.xxhash64(key, body).alias("h"), F.substring(body, 1, 400).alias("s"))
-    chosen = scenery.where(F.pmod("h", F.lit(1 << 40)) < share).limit(count).collect()
+    # A share of rows a little above ``count``, then the first by hash: the same rows however the
+    # table lies in files, and few are put in order.
+    share = int(min(1.0, (1.2 * count + 100) / max(1, docs.count())) * (1 << 40))
+    place = F.pmod(F.xxhash64(key, body), F.lit(1 << 40))
+    scenery = docs.select(place.alias("h"), F.substring(body, 1, 400).alias("s"))
+    chosen = scenery.where(F.col("h") < share).orderBy("h", "s").limit(count).collect()
     scenes = sorted({r["s"] for r in chosen})
     found, own = dictionary(path), random.Random(seed)
     words = sorted(w for w in found.automaton.keys() if len(w) < 10)
@@ -356,15 +358,18 @@ def redacted(
     """All rows and columns of ``docs``, confirmed secrets replaced by a mark.
 
     Texts without any are untouched, NULLs too. ``n_chars``, if there is such a column,
-    follows the new text.
+    follows the new text. Repeated rows are scanned one by one, an empty table gives no rows,
+    columns of any name stay as they are.
     """
-    fields = docs.schema.fields
+    names = docs.columns
+    plain = by_place(docs)
+    at_of = {name: f"c{names.index(name)}" for name in (text, path, n_chars) if name in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = dictionary(vocabulary)
         for batch in batches:
             texts: list[str | None] = []
-            chosen = (text, path) if path in batch.schema.names else (text,)
+            chosen = [at_of[name] for name in (text, path) if name in at_of]
             for body, *place in rows(iter([batch]), *chosen):
                 pieces, at = [], 0
                 for start, stop, _, chance in scan(body or "", place[0] if place else None, forest, words):
@@ -373,8 +378,8 @@ def redacted(
                         at = stop
                 texts.append("".join([*pieces, body[at:]]) if pieces else body)
             for name, values in ((text, texts), (n_chars, None)):
-                if name in batch.schema.names:
-                    at = batch.schema.get_field_index(name)
+                if name in at_of:
+                    at = batch.schema.get_field_index(at_of[name])
                     if values is None:
                         values = [
                             old if new is None else len(new)
@@ -384,7 +389,7 @@ def redacted(
                     batch = batch.set_column(at, kind, pa.array(values, kind.type))
             yield batch
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in fields)).mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def trained(spark: SparkSession, docs: DataFrame, vocabulary: str) -> Forest:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,48 +58,81 @@ def words(text: str) -> Counter:
     return Counter(text.encode().lower().split())
 
 
+def _drawn(terms: list[bytes], samples: int) -> tuple[np.ndarray, ...]:
+    """Hashes of terms, the logarithm of their values at weight 1, and what these come from."""
+    hashes = np.array([xxhash.xxh64_intdigest(term, 1) for term in terms], np.uint64)
+    rate, log_c, offset = draws(hashes, samples)
+    # At weight 1 the quantised weight is 0.
+    return hashes, log_c - rate * (1 - offset), rate, log_c, offset
+
+
+def _least(
+    at: np.ndarray,
+    weights: np.ndarray,
+    hashes: np.ndarray,
+    single: np.ndarray,
+    rate: np.ndarray,
+    log_c: np.ndarray,
+    offset: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest value per position among the terms ``at``, and the mark of its term and step."""
+    values = single[at]
+    many = np.flatnonzero(weights > 1)
+    chosen_rate, chosen_offset = rate[at[many]], offset[at[many]]
+    steps = np.floor(np.log(weights[many])[:, None] / chosen_rate + chosen_offset)
+    values[many] = log_c[at[many]] - chosen_rate * (steps - chosen_offset + 1)
+    best = values.argmin(axis=0)
+    step = np.zeros(len(best), np.uint64)
+    row = np.full(len(at), -1)
+    row[many] = np.arange(len(many))
+    heavy = np.flatnonzero(row[best] >= 0)
+    step[heavy] = steps[row[best[heavy]], heavy].astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        mark = _mix(hashes[at[best]] + (step + np.uint64(1)) * GOLDEN) >> np.uint64(48)
+    return values[best, np.arange(len(best))], mark
+
+
+def _sketch_long(weights: Counter, samples: int) -> np.ndarray:
+    """The samples of one set, a block of terms at a time: memory does not follow its size."""
+    least, marks = np.full(samples, np.inf), np.zeros(samples, np.uint64)
+    items = iter(weights.items())
+    while block := list(islice(items, TERMS)):
+        counts = np.array([n for _, n in block], np.float32)
+        drawn = _drawn([term for term, _ in block], samples)
+        values, mark = _least(np.arange(len(block)), counts, *drawn)
+        lower = values < least
+        least[lower], marks[lower] = values[lower], mark[lower]
+    return marks
+
+
 def sketch(texts: list[Counter], samples: int = SAMPLES) -> np.ndarray:
     """A row of 16-bit samples per weighted set.
 
-    An empty set has the samples 0; those of others are never all 0 but by chance.
+    An empty set has the samples 0; those of others are never all 0 but by chance. Terms are
+    drawn ``TERMS`` at a time, those of a set with more a block after the other.
     """
     out = np.zeros((len(texts), samples), np.uint16)
     place: dict[bytes, int] = {}
     held: list[int] = []
 
     def flush() -> None:
-        names = list(place)
-        hashes = np.array([xxhash.xxh64_intdigest(name, 1) for name in names], np.uint64)
-        rate, log_c, offset = draws(hashes, samples)
-        # The logarithm of the sampled value at weight 1, where the quantised weight is 0.
-        single = log_c - rate * (1 - offset)
+        drawn = _drawn(list(place), samples)
         for i in held:
-            terms, weights = list(texts[i]), np.fromiter(texts[i].values(), np.float32)
-            at = np.array([place[t] for t in terms])
-            values = single[at]
-            many = np.flatnonzero(weights > 1)
-            chosen_rate, chosen_offset = rate[at[many]], offset[at[many]]
-            steps = np.floor(np.log(weights[many])[:, None] / chosen_rate + chosen_offset)
-            values[many] = log_c[at[many]] - chosen_rate * (steps - chosen_offset + 1)
-            best = values.argmin(axis=0)
-            step = np.zeros(samples, np.uint64)
-            row = np.full(len(terms), -1)
-            row[many] = np.arange(len(many))
-            heavy = np.flatnonzero(row[best] >= 0)
-            step[heavy] = steps[row[best[heavy]], heavy].astype(np.int64).view(np.uint64)
-            with np.errstate(over="ignore"):
-                out[i] = _mix(hashes[at[best]] + (step + np.uint64(1)) * GOLDEN) >> np.uint64(48)
+            at = np.array([place[t] for t in texts[i]])
+            weights = np.fromiter(texts[i].values(), np.float32)
+            out[i] = _least(at, weights, *drawn)[1]
         place.clear()
         held.clear()
 
     for i, weights in enumerate(texts):
-        if not weights:
-            continue
-        for term in weights:
-            place.setdefault(term, len(place))
-        held.append(i)
-        if len(place) >= TERMS:
-            flush()
+        if len(weights) > TERMS:
+            out[i] = _sketch_long(weights, samples)
+        elif weights:
+            for term in weights:
+                place.setdefault(term, len(place))
+            held.append(i)
+            if len(place) >= TERMS:
+                flush()
     if held:
         flush()
     return out

@@ -64,6 +64,33 @@ def test_long_lines_of_sentences_need_no_last_mark():
     assert lq.line_fails("see version 3.5 of 12.7 at a.b.example for all of the many words", lq.Rules()) == "punctuation"
 
 
+def test_a_phrase_costs_its_sentence_not_the_document():
+    prose = " ".join(f"Sentence {i} tells of things number{i} that happened there." for i in range(90))
+    for phrase in ("The site is powered by wind.", "See the terms of use!", "It was licensed under a deed;", "Lorem ipsum?"):
+        more = " ".join(f"Part {i} reports on matters topic{i} which arose elsewhere." for i in range(90))
+        found = lq.judge(f"{prose} {phrase} {more}")
+        assert found.kept and phrase not in found.cleaned and "matters" in found.cleaned
+        assert found.lost_chars < 250
+    short = lq.judge(f"{prose}\nAll rights reserved. Powered by us.")
+    assert short.cleaned == prose and short.lost_chars == len("Allrightsreserved.Poweredbyus.")
+
+
+def test_prose_of_scripts_with_other_marks_or_none():
+    for line in (
+        "یہ ایک مکمل جملہ ہے جو یہاں ختم ہوتا ہے۔", "ይህ ሙሉ ዓረፍተ ነገር ነው።", "Սա ամբողջական նախադասություն է։",
+        "这是一个完整的句子。", "これは文です。」", "यह एक वाक्य है।", "នេះជាប្រយោគមួយ។",
+        "ภาษาไทยเขียนโดยไม่มีเครื่องหมายจบประโยคและคนอ่านก็เข้าใจได้จากบริบทของข้อความทั้งหมด",
+    ):
+        assert lq.line_fails(line, lq.Rules()) is None, line
+    assert lq.line_fails("เมนูหลัก", lq.Rules()) == "punctuation"  # a short line without marks
+
+
+def test_odd_names_stay(spark):
+    text = "\n".join(f"One{i} may{i} read this{i} sentence{i} as{i} prose{i}." for i in range(9))
+    docs = spark.createDataFrame([(1, text, "x", "y")], "doc_id long, text string, `a.b` string, `it``s` string")
+    assert [tuple(r) for r in lq.clean(docs).collect()] == [(1, text, "x", "y")]
+
+
 def test_lines_go_first_then_documents():
     body = "\n".join(f"One{i} may{i} read this{i} sentence{i} as{i} prose{i}." for i in range(9))
     mixed = lq.judge(f"Menu | Home | Out\n{body}\nCopyright, all rights reserved.")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers as public
 import pytest
+from pyspark.sql import functions as F
 
 from goldpan.llm import secret_scans as ss
 
@@ -107,3 +108,26 @@ def test_awkward_and_empty(awkward, nothing, forest):
     assert ss.redacted(nothing, forest, VOCABULARY).count() == 0
     assert ss.findings(awkward, forest, VOCABULARY, path=None).count() == 1
     assert len(ss.labelled_findings(nothing, VOCABULARY, count=50).collect()) == 50
+
+
+def test_training_sample_does_not_depend_on_the_layout(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('word ', id, ' of a scene ', id * 7) as text")
+    seen = [
+        list(ss.labelled_texts(some, VOCABULARY, count=150))
+        for some in (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(1))
+    ]
+    assert len(seen[0]) == 150 and seen[0] == seen[1] == seen[2]
+
+
+def test_redaction_keeps_columns_of_odd_names(spark, forest):
+    secret = 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" and more.'
+    docs = spark.createDataFrame(
+        [(1, secret, "x", "y"), (1, secret, "x", "y"), (2, None, "z", None)],
+        "doc_id long, text string, `a.b` string, `it``s` string",
+    )
+    found = ss.redacted(docs, forest, VOCABULARY)
+    assert found.columns == docs.columns and found.schema == docs.schema
+    rows = sorted(map(tuple, found.collect()), key=str)
+    assert [(r[0], r[2], r[3]) for r in rows] == [(1, "x", "y"), (1, "x", "y"), (2, "z", None)]
+    assert all("9f86" not in (r[1] or "") for r in rows) and rows[2][1] is None
+    assert ss.redacted(docs.limit(0), forest, VOCABULARY).count() == 0

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import xxhash
 
 from goldpan.llm import weighted_sampling as ws
 
@@ -31,6 +33,52 @@ def test_sketch_does_not_depend_on_company(monkeypatch):
     assert np.array_equal(whole[3:4], ws.sketch(texts[3:4]))
 
 
+def one_word_at_a_time(weights, samples):
+    """Consistent weighted samples by their definition, a word and a position after the other."""
+    whole = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & whole
+        return x ^ x >> 31
+
+    def uniforms(h, n):
+        bits = mixed((h + n * 0x9E3779B97F4A7C15) & whole)
+        return [np.float32(x + 0.5) * np.float32(2.0**-24) for x in (bits >> 40, bits >> 8 & 0xFFFFFF)]
+
+    out = []
+    for s in range(samples):
+        best = None
+        for word, weight in weights.items():
+            h = xxhash.xxh64_intdigest(word, 1)
+            (a, b), (c, d) = uniforms(h, s + 1), uniforms(h, samples + s + 1)
+            beta = uniforms(h, 2 * samples + s + 1)[0]
+            rate, log_c = -np.log(a * b), np.log(-np.log(c * d))
+            t = np.floor(np.log(np.float32(weight)) / rate + beta) if weight > 1 else np.float32(0)
+            value = log_c - rate * (t - beta + 1)
+            if best is None or value < best[0]:
+                best = value, h, int(t)
+        out.append(mixed((best[1] + (best[2] + 1) * 0x9E3779B97F4A7C15) & whole) >> 48)
+    return out
+
+
+def test_samples_by_definition(monkeypatch):
+    draw = np.random.default_rng(3)
+    sets = [Counter({f"w{i}".encode(): int(draw.choice([1, 1, 2, 5, 900])) for i in range(n)}) for n in (1, 3, 30)]
+    want = [one_word_at_a_time(s, 16) for s in sets]
+    assert ws.sketch(sets, 16).tolist() == want
+    monkeypatch.setattr(ws, "TERMS", 7)  # the last one in blocks
+    assert ws.sketch(sets, 16).tolist() == want
+
+
+def test_a_million_different_words_in_bounded_memory():
+    weights = Counter({b"%d" % i: 1 + i % 3 for i in range(1_000_000)})
+    tracemalloc.start()
+    ws.sketch([weights])
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
 def test_empty_texts():
     none, some = ws.sketch([Counter(), ws.words("a b")])
     assert ws.likeness(none, none) == 1 and ws.likeness(none, some) == 0 == ws.likeness(some, none)
