@@ -37,11 +37,6 @@ def stretches(text: str) -> list[str]:
     return out
 
 
-def begins_piece(text: str) -> bool:
-    """Whether a text begins as a stretch does: a piece begins there whatever is before."""
-    return text[:1] == " " and not (text[1:2] or " ").isspace()
-
-
 class Memory:
     """A dictionary of bounded size that keeps what was used lately.
 

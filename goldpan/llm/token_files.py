@@ -14,9 +14,8 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import BinaryIO
 
 import numpy as np
@@ -26,18 +25,15 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from goldpan.llm.byte_bpe import small
 from goldpan.llm.common import batched, stored
-from goldpan.llm.pieces import Encoder, Memory, begins_piece
+from goldpan.llm.quick_ids import library_ids
 from goldpan.sources.storage import new_folder
 
 MAGIC = b"GOLDPL01"
 BLOCK = 1 << 16
 LEVEL = 1
-STRETCHES, PIECES = 500_000, 120_000  # remembered by a Python worker, twice at most
-TOGETHER = 20  # stretches split at once
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -158,72 +154,21 @@ class Reader:
             start += count
 
 
-class LibraryEncoder(Encoder):
-    """Encodes stretches; texts that hold an added token's string go whole to the library."""
-
-    def __init__(self, tokenizer: Tokenizer, encode: Callable[[Iterable[str]], list[bytes]]) -> None:
-        super().__init__(encode, STRETCHES)
-        self.tokenizer = tokenizer
-        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, text in enumerate(texts) if any(map(text.__contains__, self.added))]
-        if not whole:
-            return super().ids(texts)
-        plain = list(texts)
-        for i in whole:
-            plain[i] = ""
-        found = super().ids(plain)
-        for i in whole:
-            found[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
-        return found
-
-
-@lru_cache(maxsize=4)
-def library_encoder(path: str) -> Encoder:
-    """Encodes by a tokenizer file: its own splitter, then its own model on each piece.
+@dataclass(frozen=True)
+class LibraryEncoder:
+    """Encodes by a tokenizer file, with the ids that the tokenizers library gives.
 
     Added tokens in a text become their own ids, as in the library; none are put around it.
     """
-    tokenizer = Tokenizer.from_file(path)
-    if tokenizer.normalizer is not None:
-        raise ValueError("texts are split before they are normalised")
-    split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-    memory = Memory(PIECES)
 
-    def cut(texts: list[str]) -> Iterator[list[str]]:
-        """The pieces of each text.
+    path: str
 
-        Texts that begin with a space before a non-blank are split together, as one text:
-        a piece always begins there.
-        """
-        at = 0
-        while at < len(texts):
-            end = at + 1
-            while end < len(texts) and end < at + TOGETHER and begins_piece(texts[end]):
-                end += 1
-            bounds = accumulate(map(len, texts[at:end]))
-            held: list[str] = []
-            bound = next(bounds)
-            for piece, (start, _) in split("".join(texts[at:end])):
-                while start >= bound:
-                    yield held
-                    held, bound = [], next(bounds)
-                held.append(piece)
-            yield held
-            for _ in bounds:
-                yield []
-            at = end
-
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = list(cut(texts))
-        new = memory.missing(set().union(*parts))
-        found = memory.young
-        for piece in new:
-            found[piece] = array("I", [token.id for token in merge(piece)]).tobytes()
-        return [b"".join(map(found.__getitem__, pieces)) for pieces in parts]
-
-    return LibraryEncoder(tokenizer, encode)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, "<u4") for ids in library_ids(self.path)(texts)]
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def write(
