@@ -112,7 +112,10 @@ class Vocabulary:
 
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece of text."""
-        name = text.decode("latin-1")
+        return self.named(text.decode("latin-1"))
+
+    def named(self, name: str) -> list[int]:
+        """Ids of one piece whose bytes are Latin-1 characters."""
         whole = self.rank.get(name)
         if whole is not None:
             return [whole]
@@ -130,13 +133,12 @@ class Vocabulary:
 
     def _backtrack(self, name: str, taken: list[int], refused: int) -> list[int]:
         """Ids of a piece of which ``taken`` came first and ``refused`` does not follow."""
-        longest = [-1] * len(name)
-        for end, (i, n) in self.automaton.iter(name):
-            start = end + 1 - n  # ends ascend: the last match from a start is the longest
-            longest[start] = i
         length, shorter, known = self.length, self.shorter, self.fits.get
         closed: set[int] = set()
-        at = sum(length[i] for i in taken)
+        at = sum([length[i] for i in taken])
+        # Matches that begin before the last token are looked for only where it is given up.
+        begin = at - length[taken[-1]]
+        longest = self._longest(name, begin)
         token = shorter[refused]
         while at < len(name):
             last = taken[-1] if taken else -1
@@ -159,16 +161,31 @@ class Vocabulary:
                 taken.pop()
                 at -= length[last]
                 token = shorter[last]
+                if at < begin:
+                    begin = 0
+                    longest = self._longest(name, begin)
         return taken
 
+    def _longest(self, name: str, begin: int) -> list[int]:
+        """The longest token that begins at each place from ``begin`` on."""
+        longest = [-1] * len(name)
+        for end, (i, n) in self.automaton.iter(name, begin):
+            longest[end + 1 - n] = i  # ends ascend: the last match from a start is the longest
+        return longest
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, its pieces encoded separately, as bytes."""
-        cut = [self.split_text(text) for text in texts]
+        # A word of ASCII letters is one piece, and the caller remembers it.
+        plain = [x.isascii() and x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) for x in texts]
+        cut = [() if word else self.split_text(x) for x, word in zip(texts, plain)]
         new = self.memory.missing(set().union(*cut))
         found = self.memory.young
         for text in new:
             found[text] = array("I", self.piece(text.encode())).tobytes()
-        joined = [b"".join(map(found.__getitem__, pieces)) for pieces in cut]
+        joined = [
+            array("I", self.named(x)).tobytes() if word else b"".join([found[p] for p in pieces])
+            for x, word, pieces in zip(texts, plain, cut)
+        ]
         for text in new:
             if len(text) > LONGEST:
                 del found[text]
