@@ -104,6 +104,20 @@ def by_attribute(column: str, average_too: bool = True, on: str = "") -> str:
       GROUP BY ALL ORDER BY total_revenue DESC NULLS LAST, 1 NULLS FIRST"""
 
 
+def table_profile(table: str, numbers: Sequence[str], texts: Sequence[str]) -> str:
+    rows = []
+    for c in [*numbers, *texts]:
+        value, text = (dbl(c), "NULL") if c in numbers else ("NULL", f"CAST({c} AS VARCHAR)")
+        rows.append(
+            f"SELECT '{c}' AS column_name, count(*) AS row_count, "
+            f"count(*) - count({c}) AS null_count, {dbl(f'min({value})')} AS lowest, "
+            f"{dbl(f'max({value})')} AS highest, CAST(min({text}) AS VARCHAR) AS first_text, "
+            f"CAST(max({text}) AS VARCHAR) AS last_text, "
+            f"{whole(f'max(length(CAST({text} AS VARCHAR)))')} AS longest FROM {table}"
+        )
+    return " UNION ALL ".join(rows) + " ORDER BY null_count DESC, column_name"
+
+
 def profile_by(dim: str, key: str, column: str) -> str:
     return f"""
       WITH placed AS (
@@ -228,6 +242,14 @@ def variants(roles) -> dict[str, str]:
         "p2_2f_domain_segment_collated": """
           SELECT min(segment) AS segment_value FROM dim_customer
           GROUP BY lower(rtrim(segment, ' ')) ORDER BY 1 NULLS FIRST""",
+        "p3_4b_line_profile": table_profile(
+            "lineitem",
+            (
+                "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                "l_extendedprice", "l_discount", "l_tax",
+            ),
+            ("l_returnflag", "l_linestatus", "l_shipdate"),
+        ),
         "p3_6e_orders_without_lines": lost(
             "orders", "lineitem", "o_orderkey", "orders_without_lines", "l_orderkey"
         ),

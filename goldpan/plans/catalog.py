@@ -107,6 +107,7 @@ VARIANTS: dict[str, Statement] = {
     "p2_2f_domain_segment_collated": lambda star: domain(
         star.dim_customer, "segment", "segment_value", "UTF8_LCASE_RTRIM"
     ),
+    "p3_4b_line_profile": quality.line_profile,
     "p3_6e_orders_without_lines": _lost(
         "orders", "o_orderkey", "lineitem", "l_orderkey", "orders_without_lines"
     ),

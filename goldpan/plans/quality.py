@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from goldpan.operators.audit import NULL_COUNT, column_audit
 from goldpan.operators.measures import average
+from goldpan.operators.profiles import profile
 from goldpan.operators.quality import (
     coverage,
     duplicate_keys,
@@ -55,6 +56,14 @@ def returns_nulls(star: Star) -> DataFrame:
     return _nulls(star.fact_returns, star.roles.returns_audit)
 
 
+def line_profile(star: Star) -> DataFrame:
+    """What the raw order lines hold, merged from what is known of each of their files."""
+    lines = star.source("lineitem")
+    found = profile(lines, ",".join(sorted(lines.inputFiles())[:1]))
+    exact = found.drop("distinct_estimate", "median_estimate")
+    return exact.orderBy(F.desc("null_count"), "column_name")
+
+
 def _lost(star: Star, fact: str, dim: str, key: str, name: str) -> DataFrame:
     unique = KEYS[dim] == key and star.unique(dim)
     return orphans(star.gold[fact], key, star.gold[dim], key, name, unique)
