@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 # Columns that operators add; dimensions and facts have none of these names.
-COPIES, VALUE = "copies__", "value__"
+COPIES, VALUE, SEEN = "copies__", "value__", "seen__"
 
 
 @dataclass(frozen=True)
@@ -78,6 +78,56 @@ def by_dimension(
     return joined.groupBy(*by).agg(*totals)
 
 
+def by_groupings(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    groupings: Mapping[str, Sequence[str]],
+    metrics: Sequence[Metric],
+    members: Metric,
+    active: str,
+    label: str = "grouping",
+) -> DataFrame:
+    """``by_dimension`` for several groupings of one dimension at once, from one scan of the fact.
+
+    Rows are led by the grouping's name, then every attribute, NULL where the grouping has
+    none. All members are counted, and under the name ``active`` those with facts. The fact is
+    reduced to a row per key, which holds what adds up; grouping sets roll these rows up. What
+    does not add up over keys (a distinct count) cannot come from them: then each grouping
+    is calculated on its own.
+    """
+    columns = list(dict.fromkeys(c for by in groupings.values() for c in by))
+    found = Metric(active, "count", f"case when {SEEN} then {key} end")
+    kinds = {c: dim.schema[c].dataType for c in columns}
+    if any(m.kind == "distinct" for m in [*metrics, members]):
+        parts = []
+        for name, by in groupings.items():
+            own = by_dimension(fact, dim, key, by, metrics, "left", members)
+            having = by_dimension(fact, dim, key, by, [], "inner", replace(members, name=active))
+            renamed = having.select(*(F.col(c).alias(f"of_{i}") for i, c in enumerate(by)), active)
+            same = [F.col(c).eqNullSafe(F.col(f"of_{i}")) for i, c in enumerate(by)]
+            count = F.coalesce(F.col(active), F.lit(0)).alias(active)
+            attributes = [
+                F.col(c) if c in by else F.lit(None).cast(kinds[c]).alias(c) for c in columns
+            ]
+            totals = [members.name, count, *(m.name for m in metrics)]
+            parts.append(
+                own.join(renamed, same, "left").select(F.lit(name).alias(label), *attributes, *totals)
+            )
+        return reduce(DataFrame.unionByName, parts)
+    facts = by_attributes(fact, [key], metrics).withColumn(SEEN, F.lit(True))
+    joined = dim.select(*dict.fromkeys([key, *columns])).join(facts, key, "left")
+    totals = [members.over_rows(), found.over_rows(), *(m.over_partials() for m in metrics)]
+    sets = [[F.col(c) for c in by] for by in groupings.values()]
+    rolled = joined.groupingSets(sets, *columns).agg(F.grouping_id().alias(SEEN), *totals)
+    # A set's id has a bit for each column it leaves out, the first column's the highest.
+    named = F.lit(None).cast("string")
+    for name, by in groupings.items():
+        bits = sum(1 << i for i, c in enumerate(reversed(columns)) if c not in by)
+        named = F.when(F.col(SEEN) == bits, name).otherwise(named)
+    return rolled.select(named.alias(label), *columns, members.name, active, *(m.name for m in metrics))
+
+
 def _distinct(
     fact: DataFrame,
     dim: DataFrame,

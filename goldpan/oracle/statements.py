@@ -134,6 +134,29 @@ def profile_by(dim: str, key: str, column: str) -> str:
       FROM placed GROUP BY {column} ORDER BY 1 NULLS FIRST"""
 
 
+def customer_groupings(roles) -> str:
+    sets = {
+        "continent": ["continent"],
+        "country": ["country", "continent"],
+        "age group": [roles.age_group],
+        "gender": [roles.gender],
+        "marital status": [roles.marital_status],
+    }
+    columns = list(dict.fromkeys(c for by in sets.values() for c in by))
+    parts = []
+    for name, by in sets.items():
+        shown = ", ".join(f"c.{c}" if c in by else f"NULL AS {c}" for c in columns)
+        parts.append(f"""
+          SELECT '{name}' AS "grouping", {shown}, count(DISTINCT c.customer_id) AS customer_count,
+                 count(DISTINCT s.customer_id) AS active_customers,
+                 count(DISTINCT s.order_number) AS total_orders,
+                 {dbl("sum(s.sales_amount)")} AS total_revenue,
+                 {average("s.sales_amount")} AS avg_order_value
+          FROM dim_customer c LEFT JOIN fact_sales s ON c.customer_id = s.customer_id
+          GROUP BY {", ".join(f"c.{c}" for c in by)}""")
+    return " UNION ALL ".join(parts)
+
+
 def product_board(
     way: str, rank: str, by_key: bool = False, method: str = "dense_rank"
 ) -> str:
@@ -282,6 +305,7 @@ def variants(roles) -> dict[str, str]:
         "p5_6d_by_age_group_1995": by_attribute(roles.age_group, on=in_1995),
         "p5_6e_by_gender_1995": by_attribute(roles.gender, on=in_1995),
         "p5_6f_by_marital_1995": by_attribute(roles.marital_status, False, in_1995),
+        "p5_8_customer_groupings": customer_groupings(roles),
         "p6_1b_top10_products_by_key": product_board("DESC", "revenue_rank", by_key=True),
         "p6_1c_top10_products_rank": product_board("DESC", "revenue_rank", method="rank"),
         "p6_1d_top10_products_row_number": product_board(

@@ -134,6 +134,7 @@ VARIANTS: dict[str, Statement] = {
     "p5_6f_by_marital_1995": _by_role(
         magnitudes.by_segment, "marital_status", average=False, year=1995
     ),
+    "p5_8_customer_groupings": magnitudes.customer_groupings,
     "p6_1b_top10_products_by_key": lambda star: ranking.product_board(
         star, True, "revenue_rank", by_key=True
     ),

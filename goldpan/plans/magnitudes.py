@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from goldpan.functions import mean
 from goldpan.operators.domain import with_share
-from goldpan.operators.magnitudes import Metric, by_attributes, by_dimension
+from goldpan.operators.magnitudes import Metric, by_attributes, by_dimension, by_groupings
 from goldpan.plans.star import KEYS, Star
 
 UNITS = Metric("units_sold", "sum", "quantity")
@@ -130,3 +130,21 @@ def by_segment(
 def monthly_trend(star: Star) -> DataFrame:
     revenue = Metric("monthly_revenue", "sum", "sales_amount")
     return sales_by_own(star, MONTH, UNITS, revenue).orderBy(*MONTH)
+
+
+def customer_groupings(star: Star) -> DataFrame:
+    """Customers, orders and revenue by every customer attribute, all from one scan of sales."""
+    roles, dim = star.roles, "dim_customer"
+    groupings = {
+        "continent": ["continent"],
+        "country": ["country", "continent"],
+        "age group": [roles.age_group],
+        "gender": [roles.gender],
+        "marital status": [roles.marital_status],
+    }
+    metrics = [distinct_keys(star, "fact_sales", ORDERS, dim), REVENUE, PRICED]
+    counted = members(star, dim, "customer_count")
+    found = by_groupings(
+        star.fact_sales, star.dim_customer, KEYS[dim], groupings, metrics, counted, "active_customers"
+    )
+    return with_average(found).orderBy("grouping", F.desc(REVENUE.name), *found.columns[1:6])
