@@ -24,21 +24,31 @@ from goldpan.llm.common import batched, rows, stored
 MOST = 0.9  # share of the text that a container must hold
 LINKED = 0.5  # a block with a larger share of linked characters is navigation
 
-TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL,
+# A tag of which no value holds "<" or ">", up to the next of these: most are.
+SIMPLE = re.compile(
+    r"<(/?)([A-Za-z][^\s/<>\"']*)([^<>\"']*(?:(?:\"[^\"<>]*\"|'[^'<>]*')[^<>\"']*)*)>"
 )
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+UNQUOTED = re.compile(r"[^>\"']*")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(
     r"([A-Za-z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.DOTALL
 )
 DIGITS = re.compile(r"\d+")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg"}
+# Formulas are text of the sentence; what repeats them in another notation is not.
+RAW |= {"annotation", "annotation-xml"}
 # End tags of raw text, found in the page itself: a lower-case copy may have other places.
 RAW_END = {name: re.compile(rf"</{name}(?![^\s/>])", re.IGNORECASE | re.ASCII) for name in RAW}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set(
+MATH = set(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover "
+    "semantics".split()
+)
+INLINE = MATH | set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt "
     "ruby s samp small strike strong sub sup time tt u var".split()
 )
@@ -61,6 +71,10 @@ DROPPED_NAMES = set(
 MODIFIERS = set("has no with without".split())
 # Names that say what an element is about, not that it is furniture.
 KEPT_NAMES = set("article content entry post story body main text page".split())
+# A paragraph is furniture only if its name has no other part: not a "share-price".
+PLAIN_NAMES = set("area bar box button buttons link links message text wrap wrapper".split())
+# Containers that stand for an article by such a class: headers in them are the article's own.
+ARTICLE_NAMES = set("article entry hentry post story".split())
 CLOSES_P = set(
     "address article aside blockquote center details div dl fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt tr td "
@@ -81,6 +95,66 @@ CONTAINERS = set("html body article main section div center details".split())
 OUTER = {"", "html", "body"}  # containers of whole pages
 
 
+class Tags:
+    """The tags and comments of a page, in time linear in its length whatever it leaves open.
+
+    A tag ends at the next ">" outside of quotes. Where there is none, its "<" is text. Walks
+    that have found none are remembered by the places they have been to: another walk that
+    comes to one of these finds none either.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = html.rfind(">")
+        self.dead: set[int] = set()
+        self.until = -1  # tags that begin before this place have no end
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" of a closing tag, name, attributes); comments have no name."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            found = SIMPLE.match(html, start)
+            if found:
+                return start, found.end(), found[1], found[2], found[3]
+            if html.startswith("<!--", start):
+                end = COMMENT_END.search(html, start + 2)
+                return start, end.end() if end else len(html), "", "", ""
+            if start > self.last:
+                at = start + 1
+                continue
+            found = NAME.match(html, start)
+            if found:
+                end = self._end(found.end())
+                if end >= 0:
+                    return start, end + 1, found[1], found[2], html[found.end() : end]
+            elif html[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, html.find(">", start) + 1, "", "", ""
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the ">" that ends a tag, or -1."""
+        if at < self.until:
+            return -1
+        html, seen, first = self.html, [], -1
+        while at not in self.dead:
+            seen.append(at)
+            mark = UNQUOTED.match(html, at).end()
+            if mark == len(html):
+                break
+            if html[mark] == ">":
+                return mark
+            first = mark if first < 0 else first
+            close = html.find(html[mark], mark + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        # All tags that begin before the first quote come to the same.
+        self.until = max(self.until, first)
+        return -1
+
+
 class Block:
     """A stretch of text that ends a line, and the container it is in."""
 
@@ -122,8 +196,9 @@ class Page:
         return found
 
     def _read(self, html: str) -> None:
-        # Open elements: tag, container number, dropped, named element and article (or -1).
-        stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, -1, -1)]
+        # Open elements: tag, container number, dropped, named element and article (or -1), and
+        # whether it is in an article or in a container called one.
+        stack: list[tuple[str, int, bool, int, int, bool]] = [("", 0, False, -1, -1, False)]
         held: list[str] = []
         linked = links = 0
 
@@ -135,7 +210,7 @@ class Page:
                     text = unescape(text)
                 text = " ".join(text.split())
                 if text:
-                    _, place, _, named, article = stack[-1]
+                    _, place, _, named, article, _ = stack[-1]
                     depth = len(stack) - 1
                     while stack[depth][0] == "span":
                         depth -= 1
@@ -151,20 +226,20 @@ class Page:
             del stack[depth:]
 
         at, size = 0, len(html)
+        tags = Tags(html)
         while at < size:
-            found = TAG.search(html, at)
-            stop = found.start() if found else size
+            found = tags.next(at)
+            stop = found[0] if found else size
             if stop > at and not stack[-1][2]:
                 held.append(html[at:stop])
                 linked += (stop - at) if links else 0
             if not found:
                 break
-            at = found.end()
-            name = found[2]
-            if name is None:
+            _, at, closing, name, attributes = found
+            if not name:
                 continue
             name = name.lower()
-            if found[1]:
+            if closing:
                 if name in INLINE or name == "span":
                     links = 0 if name == "a" else links
                     if name == "span" and stack[-1][0] == "span":
@@ -177,7 +252,7 @@ class Page:
                         break
                 continue
             if name in RAW:
-                if found[3].endswith("/") and name in ("svg", "math"):
+                if attributes.endswith("/") and name in ("svg", "annotation", "annotation-xml"):
                     continue
                 close = RAW_END[name].search(html, at)
                 if not close:
@@ -211,11 +286,12 @@ class Page:
             if name != "span":
                 end_block()
                 links = 0
-            _, place, dropped, named, article = stack[-1]
-            attributes = found[3]
+            _, place, dropped, named, article, within = stack[-1]
             label = name
             if attributes:
-                classes, drop, furniture = _attributes(attributes, name, article >= 0)
+                classes, drop, furniture = _attributes(attributes, name, article >= 0, within)
+                if name in CONTAINERS and not ARTICLE_NAMES.isdisjoint(classes.lower().split(".")):
+                    within = True
                 # Text inside a span belongs to the block around it: it is judged at once.
                 dropped = dropped or drop or furniture and name == "span"
                 if furniture and not dropped:
@@ -225,11 +301,12 @@ class Page:
             if name in ("article", "main"):
                 self.articles.append((article, named, name))
                 article = len(self.articles) - 1
-            if name in DROPPED or name == "header" and article < 0:
+                within = True
+            if name in DROPPED or name == "header" and not within:
                 dropped = True
             if name in CONTAINERS:
                 place = self._place(place, label, name)
-            stack.append((name, place, dropped, named, article))
+            stack.append((name, place, dropped, named, article, within))
         end_block()
 
     def _drop_furniture(self) -> None:
@@ -386,9 +463,12 @@ class Page:
         return foreign > sum(len(b.text) for b in chosen)
 
 
-def _attributes(text: str, tag: str, article: bool) -> tuple[str, bool, bool]:
+def _attributes(text: str, tag: str, article: bool, within: bool) -> tuple[str, bool, bool]:
     """Generalised classes of a tag, whether it hides the element or gives it a role that is
-    dropped, and whether it has a name of furniture."""
+    dropped, and whether it has a name of furniture.
+
+    Headings have none, nor have sections of an article by their ids: these are made from headings.
+    """
     classes, drop, named = "", False, False
     for found in ATTRIBUTE.finditer(text):
         name = found[1].lower()
@@ -396,9 +476,10 @@ def _attributes(text: str, tag: str, article: bool) -> tuple[str, bool, bool]:
         if name == "class":
             general = sorted({DIGITS.sub("#", c) for c in value.split()})
             classes = "".join(f".{c}" for c in general)
-            named = named or _furniture(value, tag, article)
+            named = named or _furniture(value, tag, within)
         elif name == "id":
-            named = named or _furniture(value, tag, article)
+            section = article and tag == "section"
+            named = named or not section and _furniture(value, tag, within)
         elif name == "role":
             drop = drop or value.strip().lower() in DROPPED_ROLES
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
@@ -409,7 +490,7 @@ def _attributes(text: str, tag: str, article: bool) -> tuple[str, bool, bool]:
 
 
 def _furniture(value: str, tag: str, article: bool) -> bool:
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
         return False
     for name in value.split():
         parts = [x.lower() for x in NAME_PARTS.findall(name)]
@@ -417,6 +498,8 @@ def _furniture(value: str, tag: str, article: bool) -> bool:
         hits = DROPPED_NAMES.intersection(parts)
         if article:
             hits -= {"header"}  # of the article itself
+        if tag == "p" and not hits.union(PLAIN_NAMES).issuperset(parts):
+            continue
         if hits and not (parts[-1] in KEPT_NAMES and hits <= {"related", "search", "share"}):
             return True
     return False

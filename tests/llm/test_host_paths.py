@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from goldpan.llm import host_paths as hp
@@ -139,3 +141,33 @@ def test_articles_of_the_lake(spark, lake):
         assert "".join(found[r["page_id"]].split()) == "".join(
             hp.unescape(hp.re.sub("<[^>]*>", "", body)).split()
         )
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<article><h2 id="search">Search</h2><p>a</article>', "Search\n\na"),
+        ('<article><p>x</p><section id="comments"><h2>Comments in code</h2><p>b</section></article>', "x\n\nComments in code\n\nb"),
+        ('<article><p>x</p><section id="related-work"><h2>Related work</h2><p>c</section></article>', "x\n\nRelated work\n\nc"),
+        ('<article><p>x</p><section class="comments"><p>nice</section><div id="comments"><p>nice</div></article>', "x"),
+        ('<body><header><h1>Site</h1></header><div class="post"><header><h1>Head</h1></header><p>a</p></div>', "Head\n\na"),
+        ('<body><div class="post"><div class="post-header"><h1>Head</h1></div><p>a</p></div>', "Head\n\na"),
+        ('<p class="share-price">Up</p><p class="social-science">Field</p><p class="share">Tell</p>', "Up\n\nField"),
+        ("<p>We have <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> here", "We have x = 1 here"),
+        ("<p>It is <math><semantics><mi>y</mi><annotation encoding=tex>\\\\y</annotation></semantics></math> then", "It is y then"),
+        ('<p title="a > b < c">d</p><p>of <a href=\'x">y\'>e</a></p>', "d\n\nof e"),
+        ('<p>a <b "c</p> d', 'a <b "c\n\nd'),
+    ],
+)
+def test_names_made_from_headings_and_formulas(html, text):
+    assert hp.Page(html).text(None) == text
+
+
+@pytest.mark.parametrize(
+    "part", ['<a "', "<a '", "<a ", '<a b="', "<", "</", "<!", "<a \"'", "<a '\" ", '<a "x>', "<!--", "<a><b \"", "&", '<p>"']
+)
+def test_broken_pages_take_linear_time(part):
+    for end in ("", ">", '">', "'>", "\"'>"):
+        began = time.process_time()
+        hp.Page(part * (1_000_000 // len(part)) + end)
+        assert time.process_time() - began < 12, (part, end)
