@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from goldpan.llm.common import batched, rows, stored
 
 MOST = 0.9  # share of the text that a container must hold
+LARGE_HOSTS = 1000  # a host of at least the inverse share of all pages is a large one
 LINKED = 0.5  # a block with a larger share of linked characters is navigation
 
 # A tag of which no value holds "<" or ">", up to the next of these: most are.
@@ -535,8 +536,8 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, winner, usual): the deepest path that holds most of the text of the host's pages,
-    and the paths that more than half of these have.
+    """(host, winner, usual, all_pages): the deepest path that holds most of the text of the host's
+    pages, the paths that more than half of these have, and how many pages have text.
 
     The root, path "", holds all of it. Ties go to the path with more votes, then to the
     larger path. Usual paths are at most twice as many as a page has on average.
@@ -551,7 +552,9 @@ def winners(pages: DataFrame) -> DataFrame:
     paths = cast.join(totals, "host").where(holds | common)
     best = F.max_by(F.when(holds, F.col("path")), F.when(holds, F.struct(depth, "votes", "path")))
     usual = F.collect_list(F.when(common, F.col("path")))
-    return paths.groupBy("host").agg(best.alias("winner"), usual.alias("usual"))
+    return paths.groupBy("host").agg(
+        best.alias("winner"), usual.alias("usual"), F.max("all_pages").alias("all_pages")
+    )
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -569,10 +572,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.coalesce(pages[html], F.lit("")).alias("html"),
     )
     kind = chosen.schema["key"].dataType.simpleString()
-    # Pages are sorted and merged with the winners, so that adaptive execution can split the
-    # pages of a host that has many.
-    winning = winners(chosen).hint("merge")
-    with_winner = chosen.join(winning, "host", "left").select("key", "url", "html", "winner", "usual")
+    winning = stored(winners(chosen))
+    # Hosts of a large share of all pages, as many as have such a share at most, are broadcast, and
+    # their pages dealt out by their own texts; others are merged with the winners by host.
+    whole = winning.agg(F.sum("all_pages")).first()[0] or 0
+    large = winning.where(F.col("all_pages") * LARGE_HOSTS >= whole)
+    large = large.select("host", F.struct("winner", "usual").alias("own"))
+    small = winning.select(F.col("host").alias("of"), F.struct("winner", "usual").alias("found"))
+    dealt = F.when(F.col("own").isNull(), F.col("host")).otherwise(
+        F.concat(F.lit("\n"), F.xxhash64("url", "html"))  # no host begins so
+    )
+    marked = chosen.join(F.broadcast(large), "host", "left").withColumn("dealt", dealt)
+    joined = marked.join(small.hint("merge"), F.col("dealt") == F.col("of"), "left")
+    best = F.coalesce("own", "found")
+    with_winner = joined.select("key", "url", "html", best["winner"].alias("winner"), best["usual"].alias("usual"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -171,3 +171,18 @@ def test_broken_pages_take_linear_time(part):
         began = time.process_time()
         hp.Page(part * (1_000_000 // len(part)) + end)
         assert time.process_time() - began < 12, (part, end)
+
+
+@pytest.mark.parametrize("hosts", [1000, 3, 0])
+def test_pages_of_large_and_small_hosts(spark, monkeypatch, hosts):
+    """The same texts whether a host's winner is broadcast or merged."""
+    monkeypatch.setattr(hp, "LARGE_HOSTS", hosts)
+    usual = "<body><div class=box>{0}</div><div class=story{2}><p>{1}</p></div></body>"
+    rows = [(i, "http://hot.org/", usual.format("b", f"words {i} " * 40, "")) for i in range(60)]
+    rows += [(100 + i, f"http://h{i % 5}.org/", usual.format("b", f"text {i} " * 40, "s")) for i in range(20)]
+    rows += [(200, "http://hot.org/", usual.format("box " * 300, "Short.", "")), (201, "http://hot.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["key"]: r["text"] for r in hp.extract(pages).collect()}
+    assert len(found) == len(rows) and found[200] == "Short." and found[201] == ""
+    assert all(found[i] == f"words {i} " * 39 + f"words {i}" for i in range(60))
+    assert all(found[100 + i] == f"text {i} " * 39 + f"text {i}" for i in range(20))
