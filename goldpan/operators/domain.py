@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldpan.functions import percent
+from goldpan.operators.magnitudes import Metric
 from goldpan.operators.ranking import SINGLE_TASK_ROWS, settled
 
 
@@ -25,6 +26,22 @@ def domain(df: DataFrame, column: str, name: str, collation: str | None = None)
     return merged.select(name).orderBy(name)
 
 
+def one_spelling(
+    groups: DataFrame, columns: Sequence[str], metrics: Sequence[Metric], collation: str
+) -> DataFrame:
+    """Groups whose attributes compare equal under a collation as one, shown by the smallest spelling.
+
+    ``metrics`` are counts and sums that the groups hold already; they add up, so the facts are
+    summed by exact spelling first and only groups meet. NULL is a value of its own.
+    """
+    if any(m.kind == "distinct" for m in metrics):
+        raise ValueError("distinct counts of groups do not add up")
+    same = [F.collate(F.col(c), collation).alias(f"same{i}_") for i, c in enumerate(columns)]
+    shown = [F.min(c).alias(c) for c in columns]
+    merged = groups.groupBy(*same).agg(*shown, *(m.over_partials() for m in metrics))
+    return merged.drop(*(f"same{i}_" for i in range(len(columns))))
+
+
 def value_counts(
     df: DataFrame, columns: Sequence[str], name: str, counted: str | None = None
 ) -> DataFrame:

@@ -27,6 +27,22 @@ def orphans(
     return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias(name))
 
 
+def orphans_alike(
+    fact: DataFrame, key: str, dim: DataFrame, dim_key: str, name: str, collation: str
+) -> DataFrame:
+    """``orphans`` of text keys that need only compare equal under a collation.
+
+    Spellings are made distinct on either side before keys are compared, so the collation is
+    applied once per spelling, not once per row.
+    """
+    per_key = fact.groupBy(quoted(key).alias("fk")).agg(F.count(F.lit(1)).alias("n"))
+    known = dim.select(quoted(dim_key).alias("pk")).distinct()
+    alike = per_key.select(F.collate("fk", collation).alias("fk"), "n").groupBy("fk").agg(F.sum("n").alias("n"))
+    keys = known.select(F.collate("pk", collation).alias("pk")).distinct()
+    lost = alike.join(keys, alike.fk == keys.pk, "left_anti")
+    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias(name))
+
+
 def references(
     fact: DataFrame, checks: Mapping[str, tuple[str, DataFrame, str]]
 ) -> DataFrame:

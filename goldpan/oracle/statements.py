@@ -203,6 +203,10 @@ def best_in_category(method: str, k: int = 3) -> str:
       ORDER BY category NULLS FIRST, rank_within_category, {ties}"""
 
 
+def alike(column: str) -> str:
+    return f"lower(strip_accents(rtrim({column}, ' ')))"
+
+
 def sign_off(roles, keys: dict[str, str]) -> str:
     checks = []
 
@@ -287,6 +291,9 @@ def variants(roles) -> dict[str, str]:
             f"({lost('fact_sales', f'dim_{name}', f'{name}_id', 'n')}) AS orphan_{name}s"
             for name in ("customer", "product", "store")
         ),
+        "p3_6i_customers_beyond_stores": f"""
+          SELECT count(*) AS customers_beyond_stores FROM dim_customer c
+          ANTI JOIN dim_store s ON {alike("s.region")} = {alike("c.continent")}""",
         "p3_7e_dup_raw_lines": repeated(
             "lineitem",
             "l_orderkey, l_linenumber",
@@ -311,6 +318,16 @@ def variants(roles) -> dict[str, str]:
         "p6_1d_top10_products_row_number": product_board(
             "DESC", "revenue_rank", method="row_number"
         ),
+        "p6_1e_top10_subcategories_alike": f"""
+          WITH g AS (
+            SELECT min(category) AS category, min(subcategory) AS subcategory,
+                   sum(quantity) AS units, sum(sales_amount) AS revenue
+            FROM fact_sales JOIN dim_product USING (product_id)
+            GROUP BY {alike("category")}, {alike("subcategory")})
+          SELECT category, subcategory, {whole("units")} AS units_sold,
+                 {dbl("revenue")} AS total_revenue,
+                 dense_rank() OVER (ORDER BY revenue DESC NULLS LAST) AS revenue_rank
+          FROM g ORDER BY revenue_rank, category NULLS FIRST, subcategory NULLS FIRST LIMIT 10""",
         "p6_4b_rank_in_category_rank": rank_in_category("rank"),
         "p6_4c_rank_in_category_row_number": rank_in_category(
             "row_number", ", product_name NULLS FIRST, category NULLS FIRST, subcategory NULLS FIRST"

@@ -88,6 +88,10 @@ STATEMENTS: dict[str, Statement] = {
 }
 
 
+# Texts alike but for case, accents, forms of the apostrophe and blanks at their end.
+ALIKE = "UNICODE_CI_AI_RTRIM"
+
+
 def _lost(fact: str, key: str, dim: str, dim_key: str, name: str) -> Statement:
     return lambda star: orphans(star.source(fact), key, star.source(dim), dim_key, name)
 
@@ -118,6 +122,9 @@ VARIANTS: dict[str, Statement] = {
         "customer", "c_custkey", "events", "user_id", "customers_without_events"
     ),
     "p3_6h_orphan_references": quality.orphan_references,
+    "p3_6i_customers_beyond_stores": partial(
+        quality.customers_beyond_stores, collation=ALIKE
+    ),
     "p3_7e_dup_raw_lines": lambda star: duplicate_keys(
         star.source("lineitem"), ["l_orderkey", "l_linenumber"]
     ),
@@ -144,6 +151,9 @@ VARIANTS: dict[str, Statement] = {
     "p6_1d_top10_products_row_number": lambda star: ranking.product_board(
         star, True, "revenue_rank", method="row_number"
     ),
+    "p6_1e_top10_subcategories_alike": partial(
+        ranking.product_types_alike, collation=ALIKE
+    ),
     "p6_4b_rank_in_category_rank": partial(ranking.products_in_category, method="rank"),
     "p6_4c_rank_in_category_row_number": partial(
         ranking.products_in_category, method="row_number"

@@ -19,6 +19,7 @@ from goldpan.operators.quality import (
     not_among,
     not_between,
     orphans,
+    orphans_alike,
     quoted,
     references,
     violations,
@@ -98,6 +99,13 @@ def orphan_references(star: Star) -> DataFrame:
     return references(star.fact_sales, checks)
 
 
+def customers_beyond_stores(star: Star, collation: str) -> DataFrame:
+    """Customers of continents that no store's region is spelt like."""
+    return orphans_alike(
+        star.dim_customer, "continent", star.dim_store, "region", "customers_beyond_stores", collation
+    )
+
+
 def duplicates(star: Star, name: str) -> DataFrame:
     return duplicate_keys(star.gold[name], [KEYS[name]])
 

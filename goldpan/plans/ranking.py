@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldpan.functions import half_up
+from goldpan.operators.domain import one_spelling
 from goldpan.operators.magnitudes import Metric, by_attributes, by_dimension
 from goldpan.operators.ranking import (
     best_per_group,
@@ -79,6 +80,14 @@ def products_in_category(star: Star, method: str = "dense_rank") -> DataFrame:
     )
 
 
+def product_types_alike(star: Star, collation: str) -> DataFrame:
+    """Ten subcategories by revenue, spellings that compare equal taken together."""
+    by = ["category", "subcategory"]
+    groups = sales_by(star, "dim_product", by, UNITS, REVENUE, orders=False)
+    merged = one_spelling(groups, by, [UNITS, REVENUE], collation)
+    return leaderboard(merged, REVENUE.name, 10, "revenue_rank", by)
+
+
 def best_in_category(star: Star, method: str, k: int = 3) -> DataFrame:
     """The best products of each category: three of them, or all of the first three ranks."""
     groups = sales_by(star, "dim_product", PRODUCT, UNITS, REVENUE, orders=False)
