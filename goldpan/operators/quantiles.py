@@ -3,7 +3,7 @@
 Values of a group are counted in equal parts of an interval, partial sums per task. The parts that
 hold a position sought are intervals of the next pass, and so on until few rows are left in
 each or one value. Only those rows are put in order. What is known of the groups (counts,
-positions, intervals) is a small table that is checkpointed after each pass; the rows meet
+positions, intervals) is a small table that is written after each pass; the rows meet
 it by group, where Spark broadcasts it or splits a group of many rows.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from goldpan.operators import measures
 from goldpan.operators.quality import quoted
-from goldpan.sources.storage import cut_lineage
+from goldpan.sources.storage import kept
 
 # Rows of one interval of one group that are put in order by a task.
 FINAL_ROWS = 10_000
@@ -74,7 +74,7 @@ def order_statistics_by(
     for i, f in enumerate(positions):
         place = F.expr(f"(rows_ - 1) * {f.numerator}L div {f.denominator}L")
         groups = groups.withColumn(f"at{i}_", place - before)
-    groups = cut_lineage(groups)
+    groups = kept(groups)
     named = list(keys.values())
     sought = [F.col(f"at{i}_") for i in range(len(positions))]
     places = groups.select(*named, *sought)
@@ -94,7 +94,7 @@ def order_statistics_by(
         held = parts.join(_named(places, "of_"), _same(named, "of_")).where(
             " or ".join(f"at{i}_ between below_ and below_ + n_ - 1" for i in range(len(positions)))
         )
-        new = cut_lineage(held.select(*named, "low_", "high_", "below_", "n_", "whole_"))
+        new = kept(held.select(*named, "low_", "high_", "below_", "n_", "whole_"))
         # Parts as large as what was cut: values closer together than doubles can tell.
         stuck = (F.col("n_") == F.col("whole_")) & (F.col("n_") > FINAL_ROWS)
         settled = settled.unionByName(new.where(stuck).drop("whole_"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from goldpan.sources.storage import cut_lineage
+from goldpan.sources.storage import cut_lineage, kept
 
 # Rows one task may order by itself.
 SINGLE_TASK_ROWS = 1_000_000
@@ -162,7 +162,7 @@ def with_percent_rank(
         F.count(F.lit(1)).alias("rows_at_")
     )
     dealt = values.repartitionByRange(*named).withColumn("range_", F.spark_partition_id())
-    dealt = cut_lineage(dealt)
+    dealt = kept(dealt)
     counts = dealt.groupBy(*groups, "range_").agg(F.sum("rows_at_").alias("n_"))
     starts = _range_starts(counts, groups)
     inside = F.coalesce(F.sum("rows_at_").over(_earlier(W.partitionBy(*groups, "range_"), F.col(value))), F.lit(0))

@@ -46,3 +46,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint on shared storage: later jobs read it, none recompute it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to a folder of their own: a checkpoint would compute them twice."""
+    return written(df, new_folder(df.sparkSession))
