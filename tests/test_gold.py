@@ -89,6 +89,42 @@ def test_the_build_aggregates_by_hash(spark):
     assert "SortAggregate" not in plan and plan.count("HashAggregate") == 4
 
 
+def test_rows_are_dealt_out_before_anything_is_computed(spark):
+    """What the last shuffle of the build moves are the lake's columns, measures as doubles."""
+    tables = [gold.read_table(spark, LAKE, name) for name in ("lineitem", "orders")]
+    dealt = gold.with_derived(gold.order_lines(*tables, 4))
+    text = dealt._jdf.queryExecution().executedPlan().toString()
+    moved = text[text.index("REPARTITION_BY_NUM") :]
+    assert "order_number" not in moved and "days_to_due" not in moved
+    assert "l_quantity" in moved and "md5" not in moved
+    whole = gold.with_derived(gold.order_lines(*tables))
+    assert sorted(dealt.collect(), key=str) == sorted(whole.collect(), key=str)
+
+
+def test_measures_moved_as_doubles_are_the_same_decimals(spark):
+    rnd = random.Random(4)
+    values = [0.0, -0.0, 0.1, -0.05, 1e-7, 5e-7, 2.5e-6, 4503599627.370497, 123456789012345.67, 9.9e17]
+    for power in range(-24, 59):
+        values += [rnd.choice([1, -1]) * rnd.uniform(2.0**power, 2.0 ** (power + 1)) for _ in range(300)]
+        values += [round(rnd.uniform(2.0**power, 2.0 ** (power + 1)), 6) for _ in range(300)]
+    lines = spark.createDataFrame([line(i, 1, amount=x) for i, x in enumerate(values)], LAKE_SCHEMAS["lineitem"])
+    was = lines.select("l_orderkey", gold.F.col("l_extendedprice").cast(gold.EXACT).alias("was"))
+    moved = gold.distinct_rows(lines, gold.LINE)
+    assert dict(moved.dtypes)["l_extendedprice"] == "double"
+    now = moved.select("l_orderkey", gold.exact("l_extendedprice").alias("now"))
+    both = was.join(now, "l_orderkey")
+    assert both.count() == len(values) and both.where("not was <=> now").count() == 0
+    # Rows alike to a millionth are still one.
+    twice = [line(1, 1, amount=0.1), line(1, 1, amount=0.1 + 1e-9), line(1, 1, amount=0.100001)]
+    alike = spark.createDataFrame(twice, LAKE_SCHEMAS["lineitem"])
+    assert gold.distinct_rows(alike, gold.LINE).count() == 2
+
+
+def test_silver_is_stored_compactly(spark):
+    files = gold.lake_star(spark, LAKE).source("order_lines").inputFiles()
+    assert files and all(name.endswith(".zstd.parquet") for name in files)
+
+
 def test_unknown_places_and_values_reach_the_audits(spark, tmp_path):
     """Members without a nation, lines without an order and NULL balances, against SQL."""
     tables = {name: gold.read_table(spark, LAKE, name) for name in LAKE_SCHEMAS}
