@@ -25,33 +25,46 @@ from goldpan.llm.common import batched, rows, stored
 
 SAMPLES = 64
 TERMS = 20_000  # distinct words sampled at once
+KEPT = 30_000  # distinct words of which a task keeps what it has drawn
+BLOCK = 256  # words whose hashes are mixed at once: they stay in a core's cache
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # fixed values of the splitmix64 generator
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX_A
-    x = (x ^ (x >> np.uint64(27))) * MIX_B
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= MIX_A
+    x ^= x >> np.uint64(27)
+    x *= MIX_B
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniforms(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers above 0 and below 1 from each hash."""
-    scale = np.float32(2.0**-24)
-    high = (bits >> np.uint64(40)).astype(np.float32)
-    low = ((bits >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32)
-    return (high + np.float32(0.5)) * scale, (low + np.float32(0.5)) * scale
+    """Two uniform numbers above 0 and below 1 from each hash: of its upper and its lower half."""
+    halves = np.ascontiguousarray(bits, "<u8").view("<u4") >> np.uint32(8)
+    numbers = halves.view("<i4").astype(np.float32)  # 24 bits, signed or not
+    numbers += np.float32(0.5)
+    numbers *= np.float32(2.0**-24)
+    return numbers[:, 1::2], numbers[:, ::2]
 
 
 def draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word and position: a gamma variate, the logarithm of another, an offset."""
     steps = np.arange(1, 3 * samples + 1, dtype=np.uint64) * GOLDEN
-    with np.errstate(over="ignore"):
-        bits = _mix(hashes[:, None] + steps[None, :])
-    a, b = _uniforms(bits[:, :samples])
-    c, d = _uniforms(bits[:, samples : 2 * samples])
-    offset, _ = _uniforms(bits[:, 2 * samples :])
-    return -np.log(a * b), np.log(-np.log(c * d)), offset
+    out = tuple(np.empty((len(hashes), samples), np.float32) for _ in range(3))
+    for at in range(0, len(hashes), BLOCK):
+        rate, log_c, offset = (x[at : at + BLOCK] for x in out)
+        with np.errstate(over="ignore"):
+            bits = _mix(hashes[at : at + BLOCK, None] + steps[None, :])
+        high, low = _uniforms(bits)
+        both = high[:, : 2 * samples] * low[:, : 2 * samples]
+        logs = np.log(both, out=both)
+        np.negative(logs, out=logs)
+        rate[:] = logs[:, :samples]
+        np.log(logs[:, samples:], out=log_c)
+        offset[:] = high[:, 2 * samples :]
+    return out
 
 
 def words(text: str) -> Counter:
@@ -105,33 +118,92 @@ def _sketch_long(weights: Counter, samples: int) -> np.ndarray:
     return marks
 
 
-def sketch(texts: list[Counter], samples: int = SAMPLES) -> np.ndarray:
+class _Places(dict):
+    """The row of each term; a new one gets the next."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = row = len(self)
+        return row
+
+
+class Terms:
+    """What was drawn for terms, kept for later sets: of ``KEPT`` terms at most, the most used."""
+
+    def __init__(self, samples: int = SAMPLES) -> None:
+        self.samples, self.size = samples, 0
+        self.place = _Places()
+        self.table = [np.empty(0, np.uint64), *(np.empty((0, samples), np.float32) for _ in range(4))]
+        self.uses = np.empty(0, np.uint32)
+
+    def rows(self, weights: Counter) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, weights), np.int64, len(weights))
+
+    @property
+    def new(self) -> int:
+        return len(self.place) - self.size
+
+    def draw(self) -> None:
+        """Draws what is new."""
+        if not self.new:
+            return
+        size, self.size = self.size, len(self.place)
+        if self.size > len(self.uses):
+            more = 2 * self.size - size
+            for i, old in enumerate([*self.table, self.uses]):
+                wide = np.zeros((more, *old.shape[1:]), old.dtype)
+                wide[:size] = old[:size]
+                if i < len(self.table):
+                    self.table[i] = wide
+                else:
+                    self.uses = wide
+        drawn = _drawn(list(islice(self.place, size, None)), self.samples)
+        for whole, part in zip(self.table, drawn):
+            whole[size : self.size] = part
+        self.uses[size : self.size] = 0
+
+    def trim(self) -> None:
+        """Beyond the limit, forgets all but the half of it that was used most."""
+        if self.size <= KEPT:
+            return
+        few = KEPT // 2
+        used = self.uses[: self.size]
+        left = np.sort(np.argpartition(used, self.size - few)[self.size - few :])
+        terms = list(self.place)
+        self.place = _Places((terms[row], i) for i, row in enumerate(left.tolist()))
+        for whole in self.table:
+            whole[:few] = whole[left]
+        self.uses[:few] = used[left] // 2  # what was used long ago counts less
+        self.size = few
+
+
+def sketch(
+    texts: list[Counter], samples: int = SAMPLES, known: Terms | None = None
+) -> np.ndarray:
     """A row of 16-bit samples per weighted set.
 
     An empty set has the samples 0; those of others are never all 0 but by chance. Terms are
-    drawn ``TERMS`` at a time, those of a set with more a block after the other.
+    drawn ``TERMS`` at a time, those of a set with more a block after the other. Those in
+    ``known`` are not drawn again; samples are the same with and without it.
     """
+    known = known or Terms(samples)
     out = np.zeros((len(texts), samples), np.uint16)
-    place: dict[bytes, int] = {}
-    held: list[int] = []
+    held: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
-        drawn = _drawn(list(place), samples)
-        for i in held:
-            at = np.array([place[t] for t in texts[i]])
-            weights = np.fromiter(texts[i].values(), np.float32)
-            out[i] = _least(at, weights, *drawn)[1]
-        place.clear()
+        known.draw()
+        for i, at in held:
+            counts = np.fromiter(texts[i].values(), np.float32, len(at))
+            out[i] = _least(at, counts, *known.table)[1]
+            known.uses[at] += 1
         held.clear()
+        known.trim()
 
     for i, weights in enumerate(texts):
         if len(weights) > TERMS:
             out[i] = _sketch_long(weights, samples)
         elif weights:
-            for term in weights:
-                place.setdefault(term, len(place))
-            held.append(i)
-            if len(place) >= TERMS:
+            held.append((i, known.rows(weights)))
+            if known.new >= TERMS:
                 flush()
     if held:
         flush()
@@ -155,8 +227,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kind = chosen.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Terms()
         for batch in batches:
-            found = sketch([words(x) for (x,) in rows(iter([batch]), "text")])
+            found = sketch([words(x) for (x,) in rows(iter([batch]), "text")], known=known)
             digits = pa.array([x.astype(">u2").tobytes().hex() for x in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("key"), digits], ["key", "fingerprint"])
 
@@ -188,12 +261,12 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def _compared(pairs: list[tuple[int, str, str]]) -> list[tuple]:
+def _compared(pairs: list[tuple[int, str, str]], known: Terms | None = None) -> list[tuple]:
     """Results for (key, text, next text)."""
     edited = [_edited(text, following) for _, text, following in pairs]
     texts = [text for _, text, _ in pairs]
     nexts = [following for _, _, following in pairs]
-    found = sketch([words(x) for x in [*texts, nexts[-1], *edited]])
+    found = sketch([words(x) for x in [*texts, nexts[-1], *edited]], known=known)
     n = len(pairs)
     # Texts come in order: the next text of all but the last is the following one.
     return [
@@ -228,6 +301,7 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        known = Terms()
 
         def records() -> Iterator[tuple]:
             held: list[tuple[int, str]] = []
@@ -238,11 +312,11 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 held.append(record)
                 if len(held) > GROUP:
                     pairs = [(k, t, u) for (k, t), (_, u) in zip(held, held[1:])]
-                    yield from ((*x, "done", part, None) for x in _compared(pairs))
+                    yield from ((*x, "done", part, None) for x in _compared(pairs, known))
                     held = held[-1:]
             if len(held) > 1:
                 pairs = [(k, t, u) for (k, t), (_, u) in zip(held, held[1:])]
-                yield from ((*x, "done", part, None) for x in _compared(pairs))
+                yield from ((*x, "done", part, None) for x in _compared(pairs, known))
             if held:
                 yield (*(held[-1][0], *empty), "last", part, held[-1][1])
 
@@ -265,7 +339,8 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     schema = pa.schema(COLUMNS)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (_compared([pair])[0] for pair in rows(batches, "key", "text", "following"))
+        known = Terms()
+        found = (_compared([pair], known)[0] for pair in rows(batches, "key", "text", "following"))
         return batched(found, schema)
 
     names = [name for name, _ in COLUMNS]

@@ -124,3 +124,26 @@ def test_awkward_and_empty(awkward, nothing):
     assert ws.fingerprints(nothing).count() == 0
     alone = {r["key"]: r["fingerprint"] for r in ws.fingerprints(awkward).collect()}
     assert alone == prints
+
+
+def test_words_of_earlier_texts_are_not_drawn_again(monkeypatch):
+    texts = [ws.words(f"a b c {i % 9} a {i % 7} b w{i}") for i in range(200)]
+    whole = ws.sketch(texts)
+    drawn, own = [], ws._drawn
+    monkeypatch.setattr(ws, "_drawn", lambda terms, samples: drawn.extend(terms) or own(terms, samples))
+    known = ws.Terms()
+    parts = [ws.sketch(texts[i : i + 10], known=known) for i in range(0, 200, 10)]
+    assert np.array_equal(whole, np.concatenate(parts))
+    assert len(drawn) == len(set(drawn)) == len(set().union(*texts))
+
+
+def test_what_was_drawn_is_kept_of_few_words(monkeypatch):
+    texts = [ws.words(f"a b c {i % 9} a {i % 7} b w{i} w{i + 1}") for i in range(200)]
+    whole = ws.sketch(texts)
+    monkeypatch.setattr(ws, "KEPT", 20)
+    monkeypatch.setattr(ws, "TERMS", 15)
+    known = ws.Terms()
+    parts = [ws.sketch(texts[i : i + 10], known=known) for i in range(0, 200, 10)]
+    assert np.array_equal(whole, np.concatenate(parts))
+    assert known.size == len(known.place) <= 20 and {b"a", b"b", b"c"} <= known.place.keys()
+    assert all(known.table[0][row] == xxhash.xxh64_intdigest(term, 1) for term, row in known.place.items())
