@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldpan.functions import half_up
+from goldpan.operators import ranking
 from goldpan.plans.star import Entry, Roles, Star
 from goldpan.sources.lake import LAKE_SCHEMAS, read_table, table_bytes
 from goldpan.sources.storage import new_folder, written
@@ -100,6 +101,8 @@ LAKE_ROLES = Roles(
 
 MONEY = "decimal(18,2)"
 BUCKET_BYTES = 1 << 30
+# Parts that the values of a key are counted in.
+HASHES = 1 << 16
 
 
 def geography(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -183,14 +186,29 @@ ORDER = {
 }
 
 
-def distinct_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def distinct_rows(
+    df: DataFrame, columns: dict[str, str], dealt: tuple[int, str] | None = None
+) -> DataFrame:
     """Rows equal in every given column once: a hash aggregate that starts before the shuffle.
 
     Exact decimals are moved as the doubles next to them, a third of the bytes, from which
     ``exact`` restores them: no two that floating point columns yield have one double.
+
+    ``dealt`` names a number of partitions and a column: rows are first dealt out by it and then
+    collapse in place, copies being neighbours. That is for columns that are ``evenly_keyed``.
     """
     kinds = ((F.col(name).cast(kind), kind) for name, kind in columns.items())
-    return df.select(*(c.cast("double") if kind == EXACT else c for c, kind in kinds)).distinct()
+    rows = df.select(*(c.cast("double") if kind == EXACT else c for c, kind in kinds))
+    return (rows.repartition(*dealt) if dealt else rows).distinct()
+
+
+def evenly_keyed(df: DataFrame, key: str) -> bool:
+    """Whether no value of a column, NULL included, has more rows than one task may hold.
+
+    Proven from counts of the values' hashes, which are no smaller than those of the values.
+    """
+    hashes = df.select(F.pmod(F.hash(key), F.lit(HASHES)).alias("hash")).groupBy("hash").count()
+    return (hashes.agg(F.max("count")).first()[0] or 0) <= ranking.SINGLE_TASK_ROWS
 
 
 def exact(name: str) -> Column:
@@ -199,24 +217,34 @@ def exact(name: str) -> Column:
 
 
 def order_lines(
-    lineitem: DataFrame, orders: DataFrame, partitions: int | None = None
+    lineitem: DataFrame, orders: DataFrame, partitions: int | None = None, even: bool = False
 ) -> DataFrame:
     """Every different order line, with what its order says; lines without an order too.
 
-    Exact copies count once, however many there are: each task sends one. Lines that
-    share order and line number but differ elsewhere are sales of their own, and so is a
-    line under each of the different orders that claim one key. The order number ends
-    in a digest of all columns, which makes it unique; it is NULL where the order or the
-    line number is. A quantity that is not whole stops the build.
+    Exact copies count once, however many there are. Lines that share order and line
+    number but differ elsewhere are sales of their own, and so is a line under each of the
+    different orders that claim one key. The order number ends in a digest of all columns,
+    which makes it unique; it is NULL where the order or the line number is. A quantity
+    that is not whole stops the build.
 
     With ``partitions`` rows are dealt out into so many by order number. They are shuffled
     as they come from the lake: the number, the widest column and one that does not compress,
     is computed before for its hash alone and once more after.
+
+    ``even`` says that both tables are ``evenly_keyed`` by order: then one shuffle of each
+    serves copies and join. Otherwise copies collapse before they are shuffled, so that each
+    task sends one, and the join has exchanges of its own, where adaptive execution splits a
+    hot order.
     """
-    lines = distinct_rows(lineitem, LINE)
-    once = distinct_rows(orders, ORDER)
+    dealt = (partitions, "l_orderkey"), (partitions, "o_orderkey")
+    lines = distinct_rows(lineitem, LINE, dealt[0] if partitions and even else None)
+    once = distinct_rows(orders, ORDER, dealt[1] if partitions and even else None)
     joined = lines.join(once, lines.l_orderkey == once.o_orderkey, "left")
-    texts = (F.coalesce(exact(c).cast("string"), F.lit("")) for c in [*LINE, *ORDER])
+    # The key of the order is that of the line, or there is none: one bit of it is moved.
+    ordered = F.col("o_orderkey").isNotNull().alias("ordered")
+    joined = joined.select(*LINE, ordered, *[c for c in ORDER if c != "o_orderkey"])
+    told = {"o_orderkey": F.when(F.col("ordered"), F.col("l_orderkey"))}
+    texts = (F.coalesce(told.get(c, exact(c)).cast("string"), F.lit("")) for c in [*LINE, *ORDER])
     parts = [F.col("l_orderkey"), F.col("l_linenumber"), F.md5(F.concat_ws("|", *texts))]
     number = F.concat(*[x for part in parts for x in (part.cast("string"), F.lit("-"))][:-1])
     if partitions:
@@ -370,7 +398,9 @@ def build_star(spark: SparkSession, folder: str) -> Star:
     schema = "silver_" + target.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {schema} LOCATION '{target}'")
     size = table_bytes(spark, folder, "lineitem")
-    lines = with_derived(order_lines(lake["lineitem"], lake["orders"], _partitions(spark)))
+    even = all(evenly_keyed(lake[t], c) for t, c in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")))
+    dealt = order_lines(lake["lineitem"], lake["orders"], _partitions(spark), even)
+    lines = with_derived(dealt)
     lines = write_order_lines(spark, lines, target, schema, size, dealt=True)
     places = lake["nation"], lake["region"]
     dimensions = {

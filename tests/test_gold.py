@@ -101,6 +101,57 @@ def test_rows_are_dealt_out_before_anything_is_computed(spark):
     assert sorted(dealt.collect(), key=str) == sorted(whole.collect(), key=str)
 
 
+def test_evenly_keyed_lines_are_shuffled_twice(spark):
+    """Once for copies and the join with their orders, once to be dealt out by number."""
+    tables = [gold.read_table(spark, LAKE, name) for name in ("lineitem", "orders")]
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+    ):
+        dealt = gold.with_derived(gold.order_lines(*tables, 4, even=True))
+        text = dealt._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 3  # lines, orders, lines
+        assert text.count("REPARTITION_BY_NUM") == 3 and "SortAggregate" not in text
+        found = sorted(dealt.collect(), key=str)
+    whole = gold.with_derived(gold.order_lines(*tables))
+    assert found == sorted(whole.collect(), key=str)
+
+
+def test_the_build_shuffles_each_table_once_for_copies_and_join(spark, monkeypatch):
+    found = []
+    order_lines = gold.order_lines
+    monkeypatch.setattr(gold, "order_lines", lambda *args: found.append(args) or order_lines(*args))
+    rows = gold.build_star(spark, LAKE).rows("fact_sales")
+    monkeypatch.setattr(gold.ranking, "SINGLE_TASK_ROWS", 1)
+    assert gold.build_star(spark, LAKE).rows("fact_sales") == rows
+    assert [args[3] for args in found] == [True, False]
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_copies_unknown_keys_and_repeated_orders_collapse_alike(spark, even):
+    rnd = random.Random(6)
+    lines = [
+        line(rnd.choice([None, 1, 2, 3, 99]), rnd.choice([None, 1, 2]), rnd.choice([None, "2000-01-05"]),
+             rnd.randint(1, 2), flag=rnd.choice([None, "", "R"]))
+        for _ in range(600)
+    ]
+    orders = [order(k, customer=c) for k, c in [(1, 1), (1, 1), (1, 2), (2, 1), (None, 1), (3, None), (3, 7)]]
+    tables = lake(spark, lines, orders)
+    found = gold.order_lines(*tables, 4, even).collect()
+    partners = {1: 2, 2: 1, 3: 2}
+    assert len(found) == sum(partners.get(x[0], 1) for x in set(lines))
+    assert sorted(found, key=str) == sorted(gold.order_lines(*tables).collect(), key=str)
+
+
+def test_keys_are_even_only_where_no_value_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(gold.ranking, "SINGLE_TASK_ROWS", 50)
+    assert gold.evenly_keyed(spark.range(1000), "id")
+    assert gold.evenly_keyed(spark.range(0), "id")
+    for hot in ("if(id < 60, 7, id)", "if(id < 60, null, id)"):
+        assert not gold.evenly_keyed(spark.range(1000).selectExpr(f"{hot} as id"), "id")
+
+
 def test_measures_moved_as_doubles_are_the_same_decimals(spark):
     rnd = random.Random(4)
     values = [0.0, -0.0, 0.1, -0.05, 1e-7, 5e-7, 2.5e-6, 4503599627.370497, 123456789012345.67, 9.9e17]
